@@ -239,8 +239,9 @@ def _required(tokens: list[_Token]) -> tuple[tuple[str, ...], ...]:
                 k = end
         k += 1
     found.append((run,))
-    kept = [s for s in dict.fromkeys(found) if s and min(map(len, s)) >= 2]
-    return tuple(kept)
+    found = [s for s in dict.fromkeys(found) if s and all(s)]
+    long = [s for s in found if min(map(len, s)) >= 2]
+    return tuple(long or found)
 
 
 def to_jvm(source: str) -> JvmRegex:

@@ -13,11 +13,11 @@ RESULT_SCHEMA = (
     "description: string, elements: array<struct<source_mapping: struct<lines: array<int>>>>>>>, "
     "unreadable string"
 )
-# Id, title and class prefixes and links of external findings.
+# Prefixes and links of external findings.
 ID_PREFIX = "SL-"
 TITLE_PREFIX = "[Slither] "
 SWC_PREFIX = "slither:"
-HELP_URL = "https://github.com/crytic/slither/wiki/Detector-Documentation#"
+HELP_PREFIX = "See https://github.com/crytic/slither/wiki/Detector-Documentation#"
 REFERENCE_URL = "https://github.com/crytic/slither"
 
 
@@ -42,7 +42,7 @@ def _finding(detector: Column) -> Column:
         F.col("path").alias("file"),
         F.coalesce(F.get(first, F.lit(0)), F.lit(0)).alias("line"),
         F.lit("").alias("code_snippet"),
-        F.concat(F.lit(HELP_URL), check).alias("recommendation"),
+        F.concat(F.lit(HELP_PREFIX), check).alias("recommendation"),
         F.array(F.lit(REFERENCE_URL)).alias("references"),
     )
 
