@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-WORD = "[0-9A-Za-z_]"
+WORD = r"\w"  # ASCII in java.util.regex, unlike its \b
 BLANK_SET = r"\t\n\f\r "
 BLANK = f"[{BLANK_SET}]"
 
@@ -184,7 +184,7 @@ def _starts_with_word(tokens: list[_Token], k: int) -> bool:
         return False
     token = tokens[k]
     if token.kind == "lit" or token.jvm in (r"\w", r"\d"):
-        word = token.kind == "set" or re.fullmatch(WORD, token.char) is not None
+        word = token.kind == "set" or re.fullmatch(WORD, token.char, re.ASCII) is not None
         return word and _least(tokens, k) > 0
     if token.kind == "open" and token.char == "":
         end = _group_end(tokens, k)
@@ -204,7 +204,7 @@ def _edge(tokens: list[_Token], k: int) -> str:
     if _starts_with_word(tokens, k + 1):
         return f"(?<!{WORD})"
     before = tokens[k - 1] if k else None
-    if before and before.kind == "lit" and re.fullmatch(WORD, before.char):
+    if before and before.kind == "lit" and re.fullmatch(WORD, before.char, re.ASCII):
         return f"(?!{WORD})"
     return f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
@@ -244,6 +244,41 @@ def _required(tokens: list[_Token]) -> tuple[tuple[str, ...], ...]:
     return tuple(long or found)
 
 
+def _after_edge(tokens: list[_Token], k: int) -> tuple[str, int]:
+    """A word boundary before literal text, as text first and a look back after it:
+    the matcher then finds the text before it looks at what stands ahead of it.
+
+    Returns the Java form and the next token, or an empty form when this does not fit.
+    """
+    end = k + 1
+    while end < len(tokens) and tokens[end].kind == "lit":
+        end += 1
+    if end < len(tokens) and tokens[end].kind == "repeat":
+        end -= 1
+    if end > k + 1 and _starts_with_word(tokens, k + 1):
+        run = "".join(t.jvm for t in tokens[k + 1:end])
+        return f"{run}(?<!{WORD}{run})", end
+    if k + 1 < len(tokens) and tokens[k + 1].jvm == "(" and _starts_with_word(tokens, k + 1):
+        close = _group_end(tokens, k + 1)
+        choices = ["".join(map(_char, c)) for c in _literal_choice(tokens[k + 2:close])]
+        if choices and tokens[close + 1:close + 2] and tokens[close + 1].kind != "repeat":
+            return "(" + "|".join(f"{c}(?<!{WORD}{c})" for c in choices) + ")", close + 1
+    return "", k
+
+
+def _emit(tokens: list[_Token]) -> str:
+    out, k = [], 0
+    while k < len(tokens):
+        if tokens[k].kind == "edge":
+            form, following = _after_edge(tokens, k) if tokens[k].jvm == "b" else ("", k)
+            out.append(form or _edge(tokens, k))
+            k = following if form else k + 1
+        else:
+            out.append(tokens[k].jvm)
+            k += 1
+    return "".join(out)
+
+
 def to_jvm(source: str) -> JvmRegex:
     """Translate one RE2 pattern. Raises UnsupportedPattern."""
     flags = re.match(r"\(\?([ims]+)\)", source)
@@ -256,10 +291,9 @@ def to_jvm(source: str) -> JvmRegex:
             raise UnsupportedPattern("unbalanced parentheses")
     if depth:
         raise UnsupportedPattern("unbalanced parentheses")
-    body = "".join(_edge(tokens, k) if t.kind == "edge" else t.jvm for k, t in enumerate(tokens))
     prefix = "(?d" + ("iu" if "i" in given else "") + ("s" if "s" in given else "") + ")"
     folded = "i" in given or any(t.kind == "open" and "i" in t.char for t in tokens)
-    return JvmRegex(prefix + body, () if folded else _required(tokens))
+    return JvmRegex(prefix + _emit(tokens), () if folded else _required(tokens))
 
 
 def can_match_nothing(source: str) -> bool:

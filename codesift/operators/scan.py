@@ -14,10 +14,6 @@ from codesift.functions.comments import strip_comments
 from codesift.functions.text import base_name, let, lines_of_code, snippet, solidity_version, split_lines
 from codesift.rules import CompiledRule, RulePack
 
-# Rules up to this number are written out as literals, which keeps their patterns
-# compiled for the whole task; larger packs go through an array of rules.
-UNROLL_LIMIT = 100
-
 HIT = "struct<neg_rank:int,line:int,rule_order:int,occ:int>"
 FINDING = "struct<position:int,rule_order:int,rank:int,line:int,occ:int,code_snippet:string>"
 MARK = "\x01"
@@ -32,25 +28,40 @@ def _mark_for(clean: Column) -> Column:
 
 
 def _line_hits(marked: Column, mark: Column, neg_rank: Column, rule_order: Column) -> Column:
-    """One struct per mark, with the 1-based line the mark is on."""
+    """One struct per marked line; ``occ`` counts the marks on it."""
     def on_line(text: Column, index: Column) -> Column:
         removed = F.length(text) - F.length(F.replace(text, mark, F.lit("")))
-        marks = F.call_function("div", removed, F.length(mark))
         return F.when(
             F.contains(text, mark),
-            F.transform(
-                F.sequence(F.lit(1), marks.cast("int")),
-                lambda occ: F.struct(
-                    neg_rank.alias("neg_rank"), (index + 1).alias("line"),
-                    rule_order.alias("rule_order"), occ.alias("occ"),
-                ),
+            F.struct(
+                neg_rank.alias("neg_rank"), (index + 1).alias("line"), rule_order.alias("rule_order"),
+                F.call_function("div", removed, F.length(mark)).cast("int").alias("occ"),
             ),
         )
 
-    return F.flatten(F.filter(F.transform(split_lines(marked), on_line), lambda a: a.isNotNull()))
+    return F.filter(F.transform(split_lines(marked), on_line), lambda h: h.isNotNull())
+
 
+def _each_occurrence(hits: Column) -> Column:
+    """Sorted hits with one entry per match; most lines hold one match of a rule."""
+    def repeated(h: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), h["occ"]),
+            lambda occ: F.struct(
+                h["neg_rank"].alias("neg_rank"), h["line"].alias("line"),
+                h["rule_order"].alias("rule_order"), occ.alias("occ"),
+            ),
+        )
 
-def rule_hits_text(clean: Column, rule: CompiledRule) -> Column:
+    return let(
+        F.sort_array(hits),
+        lambda ordered: F.when(
+            F.exists(ordered, lambda h: h["occ"] > 1), F.flatten(F.transform(ordered, repeated))
+        ).otherwise(ordered),
+    )
+
+
+def _rule_matches(clean: Column, rule: CompiledRule) -> Column:
     """Does the rule match anywhere? Literals that a match must hold are tested first."""
     test = F.rlike(clean, F.lit(rule.pattern))
     for choices in reversed(rule.jvm.required):
@@ -68,11 +79,11 @@ def _unrolled_hits(clean: Column, mark: Column, pack: RulePack) -> Column:
         marked = F.regexp_replace(clean, F.lit(rule.pattern), replacement)
         parts.append(
             F.when(
-                rule_hits_text(clean, rule),
+                _rule_matches(clean, rule),
                 _line_hits(marked, mark, F.lit(-rule.rule.rank), F.lit(rule.order)),
             ).otherwise(F.array().cast(f"array<{HIT}>"))
         )
-    return F.concat(*parts) if parts else F.array().cast(f"array<{HIT}>")
+    return F.concat(*parts)
 
 
 def _rule_array(pack: RulePack) -> Column:
@@ -81,7 +92,8 @@ def _rule_array(pack: RulePack) -> Column:
 
     return F.array(*[
         F.struct(
-            F.lit(r.order).alias("rule_order"), F.lit(-r.rule.rank).alias("neg_rank"),
+            F.lit(r.order).alias("rule_order"), F.lit(r.rule.rule_id).alias("rule_id"),
+            F.lit(-r.rule.rank).alias("neg_rank"),
             F.lit(r.pattern).alias("pattern"), F.lit(r.before_mark).alias("before"),
             F.lit(r.after_mark).alias("after"),
             F.array(*[strings(s) for s in r.jvm.required]).cast("array<array<string>>").alias("required"),
@@ -90,31 +102,38 @@ def _rule_array(pack: RulePack) -> Column:
     ])
 
 
-def _array_hits(clean: Column, mark: Column, pack: RulePack) -> Column:
-    if not len(pack):
-        return F.array().cast(f"array<{HIT}>")
-
+def _matching_rules(clean: Column, pack: RulePack) -> Column:
+    """The rules that match anywhere, literals first."""
     def matches(rule: Column) -> Column:
         literals = F.forall(rule["required"], lambda s: F.exists(s, lambda v: F.contains(clean, v)))
         return F.when(literals, F.rlike(clean, rule["pattern"])).otherwise(F.lit(False))
 
+    return F.filter(_rule_array(pack), matches)
+
+
+def _array_hits(clean: Column, mark: Column, pack: RulePack) -> Column:
     def hits(rule: Column) -> Column:
         marked = F.regexp_replace(clean, rule["pattern"], F.concat(rule["before"], mark, rule["after"]))
         return _line_hits(marked, mark, rule["neg_rank"], rule["rule_order"])
 
-    return F.flatten(F.transform(F.filter(_rule_array(pack), matches), hits))
+    return F.flatten(F.transform(_matching_rules(clean, pack), hits))
 
 
-def findings_array(content: Column, clean: Column, pack: RulePack, unroll: bool | None = None) -> Column:
-    """The findings of one file, ordered by severity, line, rule and occurrence."""
-    if unroll is None:
-        unroll = len(pack) <= UNROLL_LIMIT
+def findings_array(content: Column, clean: Column, pack: RulePack, unroll: bool = False) -> Column:
+    """The findings of one file, ordered by severity, line, rule and occurrence.
+
+    The pack is one literal array in the plan, walked for each text. ``unroll``
+    writes every rule out as an expression of its own instead: the result is the
+    same, patterns stay compiled for the task, and the plan grows with the pack.
+    """
+    if not len(pack):
+        return F.array().cast(f"array<{FINDING}>")
     find = _unrolled_hits if unroll else _array_hits
 
     def numbered(hits: Column) -> Column:
         def with_snippets(lines: Column) -> Column:
             return F.transform(
-                F.sort_array(hits),
+                _each_occurrence(hits),
                 lambda h, i: F.struct(
                     (i + 1).alias("position"), h["rule_order"].alias("rule_order"),
                     (-h["neg_rank"]).alias("rank"), h["line"].alias("line"), h["occ"].alias("occ"),
@@ -134,7 +153,7 @@ def scan_sources(
     pack: RulePack,
     min_severity: str | None = None,
     keep: tuple[str, ...] = (),
-    unroll: bool | None = None,
+    unroll: bool = False,
 ) -> DataFrame:
     """``path, content`` to one row per file with its findings. Works on streams too.
 
@@ -143,23 +162,21 @@ def scan_sources(
     content, clean = F.col("content"), F.col("clean")
     kept = [F.col(name) for name in keep]
     cleaned = sources.select("path", "content", *kept, strip_comments(content).alias("clean"))
-    return cleaned.select(
+    # One generated row per file. The generator keeps the optimizer from copying the
+    # scan into filters on its result, which would match every rule again.
+    found = findings_array(content, clean, pack.at_least(min_severity), unroll)
+    return cleaned.select("*", F.explode_outer(F.array(found)).alias("findings")).select(
         "path",
         *kept,
         base_name(F.col("path")).alias("file_name"),
         lines_of_code(content).alias("lines_of_code"),
         solidity_version(clean).alias("solidity_version"),
-        findings_array(content, clean, pack.at_least(min_severity), unroll).alias("findings"),
+        "findings",
     )
 
 
 def rule_hit_flags(sources: DataFrame, pack: RulePack) -> DataFrame:
     """``path`` and the ids of the rules that match anywhere, in rule order."""
     cleaned = sources.select("path", strip_comments(F.col("content")).alias("clean"))
-    flags = let(
-        F.col("clean"),
-        lambda c: F.array_compact(F.array(*[
-            F.when(rule_hits_text(c, r), F.lit(r.rule.rule_id)) for r in pack.rules
-        ])),
-    )
-    return cleaned.select("path", flags.alias("rule_ids"))
+    ids = let(F.col("clean"), lambda c: F.transform(_matching_rules(c, pack), lambda r: r["rule_id"]))
+    return cleaned.select("path", ids.alias("rule_ids"))

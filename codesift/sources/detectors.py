@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.functions.severity import impact_severity
+from codesift.functions.text import let
 from codesift.sources.files import plain_path
 
 RESULT_SCHEMA = (
@@ -55,15 +56,20 @@ def detector_documents(results: DataFrame) -> DataFrame:
     keeps the order of the keys.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unreadable"}
-    parsed = results.select(
-        "path", F.sha2("json", 256).alias("doc_key"),
-        F.from_json("json", RESULT_SCHEMA, options).alias("result"),
-    ).where(F.col("result.success") & F.col("result.unreadable").isNull())
-    found = F.transform("result.results.detectors", _finding)
-    documents = parsed.select(
-        "path", "doc_key", F.substring("doc_key", 1, 2).alias("bucket"), found.alias("detectors")
-    ).where(F.size("detectors") > 0)
-    return documents.dropDuplicates(["path", "bucket", "doc_key"])
+
+    def found(result: Column) -> Column:
+        usable = result["success"] & result["unreadable"].isNull()
+        return F.when(usable, F.transform(result["results"]["detectors"], _finding))
+
+    parsed = let(F.from_json("json", RESULT_SCHEMA, options), found)
+    key = F.sha2("json", 256)
+    # As in the scan, the generator keeps the parse from being copied into filters.
+    documents = results.select("path", key.alias("doc_key"), F.explode_outer(F.array(parsed)).alias("detectors"))
+    return (
+        documents.where(F.size("detectors") > 0)
+        .select("path", "doc_key", F.substring("doc_key", 1, 2).alias("bucket"), "detectors")
+        .dropDuplicates(["path", "bucket", "doc_key"])
+    )
 
 
 def external_findings(documents: DataFrame) -> DataFrame:

@@ -245,7 +245,7 @@ ORACLE: dict[str, str] = {
         AS lines_of_code FROM src""", f"src AS ({ORDERS} UNION ALL {DOCUMENTS})"),
     "pragma_version": query("SELECT path, solidity_version FROM report", *REPORT),
     "rule_matches": query(f"SELECT path, {MATCH} FROM hits", *SCAN),
-    "scan_rule_array": query(f"SELECT path, {MATCH} FROM hits", *SCAN),
+    "scan_unrolled": query(f"SELECT path, {MATCH} FROM hits", *SCAN),
     "rule_hit_flags": query(
         """SELECT path, coalesce(ids, '') AS rule_ids FROM src LEFT JOIN (SELECT path, string_agg(rule_id, ',' ORDER BY rule_order)
         AS ids FROM (SELECT DISTINCT path, rule_order, rule_id FROM hits JOIN rules USING (rule_order)) GROUP BY path) USING (path)""", *SCAN),

@@ -105,8 +105,8 @@ def rule_matches(spark, sf_dir):
     return hits.select("path", "rule_order", "line", "occ")
 
 
-def scan_rule_array(spark, sf_dir):
-    rows = scan.scan_sources(corpus.contracts(spark, sf_dir), solidity_rules(), unroll=False)
+def scan_unrolled(spark, sf_dir):
+    rows = scan.scan_sources(corpus.contracts(spark, sf_dir), solidity_rules(), unroll=True)
     return long_form.explode_findings(rows).select("path", "rule_order", "line", "occ")
 
 
@@ -313,7 +313,7 @@ def stream_scan(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (
         top_risky, source_dedup, rule_catalog, external_findings, loc, pragma_version,
-        rule_matches, scan_rule_array, rule_hit_flags, snippets, noted_scan, custom_rule_pack,
+        rule_matches, scan_unrolled, rule_hit_flags, snippets, noted_scan, custom_rule_pack,
         custom_rule_added, findings_enriched, findings_numbered, findings_sorted, findings_min_high,
         findings_filtered, findings_with_external, finding_links, contract_report,
         contract_report_external, contract_risk, clean_contracts, severity_gate, severity_rollup,
