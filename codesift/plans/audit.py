@@ -35,7 +35,7 @@ class Audit:
 
         The rows hold no source text, so the table is small next to the corpus.
         """
-        documents = self.documents and written(self.documents, "detector-documents", folder)
+        documents = None if self.documents is None else written(self.documents, "detector-documents", folder)
         return replace(self, contracts=written(self.contracts, "contracts", folder), documents=documents)
 
     def findings(self) -> DataFrame:
@@ -84,7 +84,7 @@ def audit(
     that orders rows of the same path, of which the first is kept; it is applied to
     the scanned rows, so source texts are never shuffled.
     """
-    pack = pack or solidity_rules()
+    pack = solidity_rules() if pack is None else pack
     keep = (first_by,) if first_by else ()
     contracts = scan_sources(sources, pack, min_severity, keep=keep)
     if first_by:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os.path
+import posixpath
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,31 +17,36 @@ def plain_path(uri: Column) -> Column:
 
 
 def distinct_targets(targets: Sequence[str], recursive: bool) -> list[str]:
-    """Absolute targets, each file reachable through one of them only.
+    """The targets without those that another one already reaches.
 
     Spark reads a path once for each time it is named, so repeats are removed here,
     where they cost nothing, and not by a shuffle of file contents.
     """
-    kept: list[str] = []
-    for target in targets:
-        full = target if "://" in target else os.path.abspath(target)
-        kept.append(full.rstrip("/") or "/")
-    kept = list(dict.fromkeys(kept))
+    kept = list(dict.fromkeys(targets))
     whole = set(kept)
 
     def covered(path: str) -> bool:
-        parent = os.path.dirname(path)
+        parent = posixpath.dirname(path)
         if not recursive:
             return path.endswith(".sol") and parent in whole
-        while parent and parent != os.path.dirname(parent):
+        while parent != posixpath.dirname(parent):
             if parent in whole:
                 return True
-            parent = os.path.dirname(parent)
+            parent = posixpath.dirname(parent)
         return parent in whole and parent != path
 
     return [p for p in kept if not covered(p)]
 
 
+def _qualified(spark: SparkSession, target: str):
+    """The target as a Hadoop path with its file system and without dots."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    if "://" not in target and hadoop.FileSystem.getDefaultUri(conf).getScheme() == "file":
+        target = posixpath.abspath(target)
+    path = hadoop.Path(target)
+    return hadoop.Path(path.getFileSystem(conf).makeQualified(path).toUri().normalize())
+
+
 def read_sources(
     spark: SparkSession, targets: Sequence[str] | str, recursive: bool = False, suffix: str = ".sol"
 ) -> DataFrame:
@@ -51,16 +57,25 @@ def read_sources(
     listed by Spark.
     """
     targets = [targets] if isinstance(targets, str) else list(targets)
-    paths = distinct_targets(targets, recursive)
-    if not paths:
+    if not targets:
         raise ValueError("no targets given")
+    qualified = {path.toString(): path for path in (_qualified(spark, t) for t in targets)}
+    paths = distinct_targets(list(qualified), recursive)
+    # Recursive lookup also when children of subdirectories are not wanted: without
+    # it, directory names such as ``k=v`` would be taken for partitions. The filter on
+    # the file's path is applied to the listing, so those children are never opened.
     files = (
         spark.read
         .option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", True)
-        .text(paths, wholetext=True, pathGlobFilter=f"*{suffix}", recursiveFileLookup=recursive)
+        .text(paths, wholetext=True, pathGlobFilter=f"*{suffix}", recursiveFileLookup=True)
     )
-    path = plain_path(F.col("_metadata.file_path"))
+    # Local URIs are spelled with one or with three slashes.
+    uri = F.regexp_replace("_metadata.file_path", r"\Afile:/*+", "file:/")
+    if not recursive:
+        uris = [re.sub(r"\Afile:/+", "file:/", qualified[p].toUri().toString()) for p in paths]
+        files = files.where(uri.isin(uris) | F.regexp_replace(uri, r"/[^/]*\z", "").isin(uris))
+    path = plain_path(uri)
     return files.select(
         path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("file_name"),
         F.col("value").alias("content"),

@@ -1,0 +1,79 @@
+import os
+
+import pytest
+from pyspark.errors import AnalysisException
+
+from codesift import audit, read_sources, solidity_rules, table_sources
+from codesift.session import shared_folder, written
+from codesift.sources.files import distinct_targets, require_sources
+from codesift.streaming.live import stream_contracts
+
+
+@pytest.fixture
+def tree(tmp_path):
+    files = {"a.sol": "tx.origin\r\nx", "b.SOL": "x", "c.txt": "x", "sub/d.sol": "owner = x", "sub/deep/e f+%20.sol": "y\n\n",
+             "k=1/g.sol": "z"}
+    for name, text in files.items():
+        os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    return str(tmp_path)
+
+
+def paths(frame, root):
+    return sorted(r.path.removeprefix(root + "/") for r in frame.select("path").collect())
+
+
+def test_listing(spark, tree):
+    assert paths(read_sources(spark, tree), tree) == ["a.sol"]
+    assert paths(read_sources(spark, tree, recursive=True), tree) == ["a.sol", "k=1/g.sol", "sub/d.sol", "sub/deep/e f+%20.sol"]
+    assert paths(read_sources(spark, [f"{tree}/sub", f"{tree}/a.sol"]), tree) == ["a.sol", "sub/d.sol"]
+
+
+def test_whole_content(spark, tree):
+    row = read_sources(spark, f"{tree}/a.sol").first()
+    assert (row.file_name, row.content) == ("a.sol", "tx.origin\r\nx")
+
+
+def test_repeated_targets_read_once(spark, tree):
+    targets = [tree, f"{tree}/", f"{tree}/a.sol", f"{tree}/sub/../a.sol", f"{tree}/sub"]
+    assert paths(read_sources(spark, targets), tree) == ["a.sol", "sub/d.sol"]
+    assert paths(read_sources(spark, targets, recursive=True), tree) == ["a.sol", "k=1/g.sol", "sub/d.sol", "sub/deep/e f+%20.sol"]
+    assert distinct_targets(["/a", "/ab", "/a/b"], recursive=True) == ["/a", "/ab"]
+    assert distinct_targets(["/a", "/a/b", "/a/c.sol"], recursive=False) == ["/a", "/a/b"]
+
+
+def test_missing_and_empty_targets(spark, tree):
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_sources(spark, [tree, f"{tree}/nowhere"])
+    with pytest.raises(ValueError):
+        require_sources(read_sources(spark, f"{tree}/c.txt"))
+    with pytest.raises(ValueError):
+        read_sources(spark, [])
+    assert require_sources(read_sources(spark, tree)).count() == 1
+
+
+def test_table_source(spark):
+    table = spark.createDataFrame([(1, "tx.origin")], "id int, body string")
+    assert audit(table_sources(table, table.id.cast("string"), "body")).report().first().n_findings == 1
+
+
+def test_written_tables_use_the_shared_folder(spark):
+    folder = shared_folder(spark)
+    assert folder == spark.conf.get("spark.checkpoint.dir")
+    before = len(os.listdir(folder))
+    assert written(spark.range(3), "numbers").count() == 3
+    assert len(os.listdir(folder)) == before + 1
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = [(f"/s/{n}.sol", "tx.origin;\n" * (n % 4) + "owner = x") for n in range(40)]
+    batch = spark.createDataFrame(rows, "path string, content string")
+    batch.where("path < '/s/2'").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in")
+    run = lambda: stream_contracts(stream, solidity_rules(), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    run()
+    batch.where("path >= '/s/2'").write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    run()
+    scanned, want = spark.read.parquet(f"{tmp_path}/out"), audit(batch).contracts
+    assert scanned.count() == 40 and scanned.exceptAll(want).isEmpty() and want.exceptAll(scanned).isEmpty()

@@ -42,8 +42,8 @@ TEXT_RULES = [
          r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
     Rule("TX-004", "License mention", "The text names a license.", "INFO", "custom", "", "Check it.", (),
          r"(?i)\blicen[sc]e[ds]?\b"),
-    Rule("TX-005", "Line of marks", "A line that holds marks only.", "odd", "custom", "", "Check it.", (),
-         r"(?m)^[#*$&% ]+$"),
+    Rule("TX-005", "Single word line", "A line that holds one word.", "LOW", "custom", "", "Check it.", (),
+         r"(?m)^\S+$"),
 ]
 
 
