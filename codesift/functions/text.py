@@ -64,7 +64,10 @@ def clip_bytes(text: Column, limit: int = SNIPPET_BYTES) -> Column:
 
 def snippet(lines: Column, line: Column) -> Column:
     """The trimmed and clipped text of 1-based ``line``; empty when out of range."""
-    return let(trim_blank(F.coalesce(F.get(lines, line - 1), F.lit(""))), clip_bytes)
+    text = F.coalesce(F.get(lines, line - 1), F.lit(""))
+    return F.when(F.octet_length(text) <= SNIPPET_BYTES, trim_blank(text)).otherwise(
+        let(trim_blank(text), clip_bytes)
+    )
 
 
 def solidity_version(clean: Column) -> Column:

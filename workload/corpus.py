@@ -139,6 +139,16 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(cores * 2, *keys)
 
 
+def streamed_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders table as a stream of ``path, content``."""
+    schema = table(spark, sf_dir, "orders").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    # A stream does not show its splits, so the narrow key rows are always spread.
+    keys = stream.select("o_orderkey", "o_orderpriority")
+    spread_keys = keys.repartition(spark.sparkContext.defaultParallelism * 2, "o_orderkey")
+    return spread_keys.selectExpr(f"{ORDER_PATH} AS path", f"{ORDER_TEXT} AS content")
+
+
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("o_orderkey", "o_custkey", "o_orderpriority")
     return spread(table(spark, sf_dir, "orders").select(*columns), "o_orderkey")

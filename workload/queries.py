@@ -55,6 +55,12 @@ def external_audit(spark: SparkSession, sf_dir: str) -> Audit:
     return contracts_audit(spark, sf_dir, external=corpus.detector_results(spark, sf_dir))
 
 
+def stored_audit(spark: SparkSession, sf_dir: str) -> Audit:
+    """Findings with external ones need the scanned rows more than once, so those
+    are written to the shared folder first."""
+    return external_audit(spark, sf_dir).materialized()
+
+
 # --- Sources ---------------------------------------------------------------
 
 def source_dedup(spark, sf_dir):
@@ -167,12 +173,12 @@ def findings_filtered(spark, sf_dir):
 
 
 def findings_with_external(spark, sf_dir):
-    rows = external_audit(spark, sf_dir).findings()
+    rows = stored_audit(spark, sf_dir).findings()
     return rows.select("path", "position", "number", "rule_id", "severity", "line", "source_rank")
 
 
 def finding_links(spark, sf_dir):
-    rows = external_audit(spark, sf_dir).findings()
+    rows = stored_audit(spark, sf_dir).findings()
     return rows.select("path", "position", "swc", sev.swc_link(F.col("swc")).alias("url"))
 
 
@@ -231,7 +237,7 @@ def top_risky(spark, sf_dir):
 
 def severity_display(spark, sf_dir):
     name = F.col("severity")
-    rows = external_audit(spark, sf_dir).findings().groupBy("severity").count()
+    rows = stored_audit(spark, sf_dir).findings().groupBy("severity").count()
     return rows.select(
         "severity", F.col("count").alias("n"), sev.severity_text(name).alias("severity_text"),
         sev.severity_class(name).alias("severity_class"), sev.severity_icon(name).alias("severity_icon"),
@@ -261,7 +267,7 @@ def report_markdown(spark, sf_dir):
 
 def report_markdown_external(spark, sf_dir):
     """Blocks with external findings, one row per block."""
-    found = external_audit(spark, sf_dir)
+    found = stored_audit(spark, sf_dir)
     return frames.block_rows(found.report(), found.findings(), markdown)
 
 
@@ -300,9 +306,7 @@ def fingerprint(spark, sf_dir):
 
 def stream_scan(spark, sf_dir):
     """The orders table read as a stream, scanned, and reported from the sink."""
-    columns = corpus.table(spark, sf_dir, "orders").schema
-    stream = spark.readStream.schema(columns).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
-    sources = stream.selectExpr(f"{corpus.ORDER_PATH} AS path", f"{corpus.ORDER_TEXT} AS content")
+    sources = corpus.streamed_contracts(spark, sf_dir)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = stream_contracts(sources, solidity_rules(), f"{folder}/contracts", f"{folder}/state")
     query.awaitTermination()
