@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _DOUBLE = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z)'
 _SINGLE = r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+(?:'|\\?\z)"
 _LINE = r"//[^\n]*+"
-_BLOCK = r"/\*[\s\S]*?(?:\*/|\z)"
+_BLOCK = r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z)"
 _CODE = r"[^\"'/]++|/"
 
 _TOKEN = f"{_DOUBLE}|{_SINGLE}|{_LINE}|{_BLOCK}|{_CODE}"

@@ -261,9 +261,13 @@ def _after_edge(tokens: list[_Token], k: int) -> tuple[str, int]:
         return f"{run}(?<!{WORD}{run})", end
     if k + 1 < len(tokens) and tokens[k + 1].jvm == "(" and _starts_with_word(tokens, k + 1):
         close = _group_end(tokens, k + 1)
-        choices = ["".join(map(_char, c)) for c in _literal_choice(tokens[k + 2:close])]
+        choices = _literal_choice(tokens[k + 2:close])
         if choices and tokens[close + 1:close + 2] and tokens[close + 1].kind != "repeat":
-            return "(" + "|".join(f"{c}(?<!{WORD}{c})" for c in choices) + ")", close + 1
+            first = "".join(_char(c) for c in sorted({c[0] for c in choices}))
+            each = ["".join(map(_char, c)) for c in choices]
+            body = "|".join(f"{c}(?<!{WORD}{c})" for c in each)
+            # One look at the next character spares trying every choice at every place.
+            return f"(?=[{first}])({body})", close + 1
     return "", k
 
 
