@@ -63,7 +63,9 @@ class Audit:
         finished = finished or datetime.now(timezone.utc)
         millis = int((finished - self.started).total_seconds() * 1000)
         spark = self.contracts.sparkSession
-        stamp = F.lit(self.started).cast("timestamp")
+        # Without a zone, so that a session in another zone shows the same UTC text.
+        utc = self.started.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        stamp = F.lit(utc).cast("timestamp_ntz")
         return spark.range(1).select(
             run_id(stamp).alias("report_id"), F.lit(TITLE).alias("title"), F.lit(VERSION).alias("version"),
             run_timestamp(stamp).alias("timestamp"), F.lit(f"{millis / 1000:g}s").alias("duration"),

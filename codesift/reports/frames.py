@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codesift.functions.severity import overall_class, severity_text, share
 from codesift.operators.findings import RULE_TEXTS, nested_findings
 from codesift.operators.metrics import COUNTS, contract_metrics, contract_report
-from codesift.reports import html
+from codesift.reports import html, markdown
 from codesift.reports.parts import one_digit, text
 from codesift.rules import RulePack
 
@@ -63,11 +63,25 @@ def json_rows(frame: DataFrame, names: dict[str, str]) -> DataFrame:
     return frame.select(*_renamed(names, F.col))
 
 
-def contract_text(nested: DataFrame, fmt: ModuleType) -> DataFrame:
+def contract_markdown(nested: DataFrame) -> DataFrame:
     """``path, text``: each file's header and findings in one string."""
     c = {name: F.col(name) for name in CONTRACT}
-    blocks = F.transform("findings", lambda f, i: fmt.finding(f, i + 1))
-    return nested.select("path", text(fmt.header(c), F.array_join(blocks, "")).alias("text"))
+    blocks = F.transform("findings", lambda f, i: markdown.finding(f, i + 1))
+    return nested.select("path", text(markdown.header(c), F.array_join(blocks, "")).alias("text"))
+
+
+def contract_html(contracts: DataFrame, pack: RulePack) -> DataFrame:
+    """``path``, scope row and findings block of each file.
+
+    The rule texts are escaped once for each rule, not for each finding.
+    """
+    c = {name: F.col(name) for name in CONTRACT}
+    nested = nested_report(contracts, pack.with_texts(html.escape_text))
+    blocks = F.transform("findings", lambda f, i: html.finding(f, i + 1, rule_text=lambda t: t))
+    return nested.select(
+        "path", html.scope_row(c).alias("scope_html"),
+        text(html.header(c), F.array_join(blocks, "")).alias("findings_html"),
+    )
 
 
 def block_rows(report: DataFrame, findings: DataFrame, fmt: ModuleType) -> DataFrame:
@@ -104,15 +118,6 @@ def contract_listing(nested: DataFrame) -> DataFrame:
     )
 
 
-def html_fragments(nested: DataFrame) -> DataFrame:
-    c = {name: F.col(name) for name in CONTRACT}
-    blocks = F.transform("findings", lambda f, i: html.finding(f, i + 1))
-    return nested.select(
-        "path", html.scope_row(c).alias("scope_html"),
-        text(html.header(c), F.array_join(blocks, "")).alias("findings_html"),
-    )
-
-
 def severity_cards(summary: DataFrame) -> DataFrame:
     s = {name: F.col(name) for name in (*COUNTS, "total_findings", "overall_risk")}
     shares = {name: share(s[name], s["total_findings"]) for name in COUNTS}

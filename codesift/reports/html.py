@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ from codesift.reports.parts import one_digit, text
 ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&#34;", "'": "&#39;", "+": "&#43;"}
 
 
+def escape_text(value: str) -> str:
+    for char, entity in ESCAPES.items():
+        value = value.replace(char, entity)
+    return value
+
+
 def escape(value: Column) -> Column:
     for char, entity in ESCAPES.items():
         value = F.replace(value, F.lit(char), F.lit(entity))
@@ -25,8 +33,9 @@ def _tag(css: str, *body: str | Column, tag: str = "div") -> Column:
 
 
 def _link(url: Column, label: Column, css: str = "") -> Column:
+    """Both arguments are escaped already."""
     opening = f'<a class="{css}" href="' if css else '<a href="'
-    return text(opening, escape(url), '" target="_blank" rel="noopener">', label, "</a>")
+    return text(opening, url, '" target="_blank" rel="noopener">', label, "</a>")
 
 
 def scope_row(c) -> Column:
@@ -51,7 +60,9 @@ def header(c) -> Column:
     return text(_tag("cname", escape(c["file_name"])), _tag("cstat", stat), nothing)
 
 
-def finding(f, position: Column) -> Column:
+def finding(f, position: Column, rule_text: Callable[[Column], Column] = escape) -> Column:
+    """``rule_text`` escapes the texts that come from the rule; rules whose texts are
+    escaped already pass a function that returns its argument."""
     def block(label: str | Column, css: str, body: Column) -> Column:
         return _tag("fblk", _tag("flbl", label), _tag(css, body))
 
@@ -59,26 +70,25 @@ def finding(f, position: Column) -> Column:
         '<span class="sbadge ', severity_class(f["severity"]), '">',
         severity_icon(f["severity"]), " ", severity_label(f["severity"]), "</span>",
     )
-    swc = F.when(
-        has_swc_link(f["swc"]), text(" ", _link(swc_link(f["swc"]), escape(f["swc"]), "swctag"))
-    ).otherwise("")
+    swc = rule_text(f["swc"])
+    swc_tag = F.when(has_swc_link(swc), text(" ", _link(swc_link(swc), swc, "swctag"))).otherwise("")
     code = F.when(
         f["code_snippet"] != "",
         block(text("Vulnerable Code — line ", f["line"]), "codebox", text("<pre>", escape(f["code_snippet"]), "</pre>")),
     ).otherwise("")
-    links = F.transform(f["references"], lambda r: _link(r, text("→ ", escape(r))))
+    links = F.transform(f["references"], lambda r: _link(rule_text(r), text("→ ", rule_text(r))))
     references = F.when(
         F.size(f["references"]) > 0, block("References", "refs", F.array_join(links, ""))
     ).otherwise("")
     return text(
         '<details class="finding"><summary class="fhead">', badge,
-        _tag("fid", finding_number(position), " · ", escape(f["rule_id"]), swc),
-        _tag("ftitle", escape(f["title"])),
+        _tag("fid", finding_number(position), " · ", rule_text(f["rule_id"]), swc_tag),
+        _tag("ftitle", rule_text(f["title"])),
         _tag("floc", escape(f["file"]), ":", f["line"]),
         "</summary>",
-        block("Description", "fdesc", escape(f["description"])),
+        block("Description", "fdesc", rule_text(f["description"])),
         code,
-        block("Recommendation", "rec", escape(f["recommendation"])),
+        block("Recommendation", "rec", rule_text(f["recommendation"])),
         references,
         "</details>",
     )

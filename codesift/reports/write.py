@@ -39,23 +39,30 @@ def _json(audit, folder: str) -> None:
         write(frames.json_findings(audit.findings()), "findings")
 
 
-def _blocks(audit, fmt):
-    if audit.documents is None:
-        return frames.contract_text(audit.nested(), fmt).select("text")
+def _merged_blocks(audit, fmt):
     return frames.ordered(frames.block_rows(audit.report(), audit.findings(), fmt)).select("text")
 
 
 def _markdown(audit, folder: str) -> None:
     markdown.opening(audit.summary(), audit.run()).write.text(f"{folder}/summary")
-    _blocks(audit, markdown).write.text(f"{folder}/contracts")
+    if audit.documents is None:
+        blocks = frames.contract_markdown(audit.nested()).select("text")
+    else:
+        blocks = _merged_blocks(audit, markdown)
+    blocks.write.text(f"{folder}/contracts")
     audit.run().select(F.lit(markdown.FOOTER).alias("text")).write.text(f"{folder}/footer")
 
 
 def _html(audit, folder: str) -> None:
-    c = {name: F.col(name) for name in frames.CONTRACT}
     frames.severity_cards(audit.summary()).write.text(f"{folder}/summary")
+    c = {name: F.col(name) for name in frames.CONTRACT}
     audit.report().select(html.scope_row(c).alias("text")).write.text(f"{folder}/scope")
-    _blocks(audit, html).write.text(f"{folder}/contracts")
+    if audit.documents is None:
+        fragments = frames.contract_html(audit.contracts, audit.pack)
+        blocks = fragments.select(F.col("findings_html").alias("text"))
+    else:
+        blocks = _merged_blocks(audit, html)
+    blocks.write.text(f"{folder}/contracts")
 
 
 # A format is a function of the audit and the folder; add an entry to add one.

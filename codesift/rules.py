@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +100,15 @@ class RulePack:
         """This pack with user rules appended."""
         return RulePack([r.rule for r in self.rules] + list(rules))
 
+    def with_texts(self, change: Callable[[str], str]) -> RulePack:
+        """The same rules with all their texts but the severity changed."""
+        def changed(rule: Rule) -> Rule:
+            texts = {n: change(getattr(rule, n)) for n in
+                     ("rule_id", "title", "description", "swc", "cwe", "recommendation")}
+            return replace(rule, **texts, references=tuple(map(change, rule.references)))
+
+        return RulePack(replace(r, rule=changed(r.rule)) for r in self.rules)
+
     @classmethod
     def from_rows(cls, rows: Iterable) -> RulePack:
         """Rows or dicts with the columns of RULE_SCHEMA, in rule order."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codesift import audit, write_report
 from codesift.functions import severity as sev
-from codesift.reports import frames, html, markdown
+from codesift.reports import frames, html
 from codesift.reports.write import REPORTERS, normalize_format
 from test_external import detector, document
 
@@ -36,7 +36,7 @@ def lines(folder, kind="*"):
 
 
 def test_markdown_of_a_file(found):
-    text = {r.path: r.text for r in frames.contract_text(found.nested(), markdown).collect()}
+    text = {r.path: r.text for r in frames.contract_markdown(found.nested()).collect()}
     assert text["/s/clean.sol"] == (
         "### 📄 clean.sol\n\n- **Lines of Code:** 1\n- **Solidity Version:** `unknown`\n- **Risk Score:** 0.0 / 10\n"
         "- **Findings:** 0\n\n✅ No issues detected by the current rule set.\n\n")
@@ -49,7 +49,7 @@ def test_markdown_of_a_file(found):
 
 
 def test_html_of_a_file(found):
-    rows = {r.path: r for r in frames.html_fragments(found.nested()).collect()}
+    rows = {r.path: r for r in frames.contract_html(found.contracts, found.pack).collect()}
     body = rows["/s/a.sol"].findings_html
     assert "<pre>tx.origin &lt;b&gt; &amp; &#34;q&#34; &#43; &#39;x&#39;;</pre>" in body
     assert 'class="sbadge sev-high">▲ High<' in body and 'href="https://swcregistry.io/docs/SWC-115"' in body and "F-01 · SA-002" in body
@@ -121,3 +121,20 @@ def test_display_columns(spark):
     links = spark.createDataFrame([("",), ("custom",), ("slither:x",), ("SWC-1",)], "s string").select(sev.swc_link(F.col("s")).alias("u"))
     assert [r.u for r in links.collect()] == [None, None, None, "https://swcregistry.io/docs/SWC-1"]
     assert html.ESCAPES["&"] == "&amp;"
+
+
+def test_html_forms_agree(found, found_external):
+    """Texts escaped by the rule and texts escaped by the finding give one result."""
+    whole = {r.path: r.findings_html for r in frames.contract_html(found.contracts, found.pack).collect()}
+    rows = frames.block_rows(found.report(), found.findings(), html).orderBy("path", "position").collect()
+    joined = {path: "".join(r.text for r in rows if r.path == path) for path in whole}
+    assert joined == whole
+
+
+def test_stamps_are_utc_in_any_session_zone(spark, found):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert found.run().first().report_id == "SA-20250701-143022"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

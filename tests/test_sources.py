@@ -34,6 +34,14 @@ def test_whole_content(spark, tree):
     assert (row.file_name, row.content) == ("a.sol", "tx.origin\r\nx")
 
 
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "x.sol").write_bytes(b"\xff\xfe // \xff\n/* \x80\n */ tx.origin \xc3;\n\xe2\x82")
+    found = audit(read_sources(spark, str(tmp_path)))
+    row = found.findings().first()
+    assert (row.rule_id, row.line, found.report().first().lines_of_code) == ("SA-002", 3, 4)
+    assert "tx.origin" in row.code_snippet
+
+
 def test_repeated_targets_read_once(spark, tree):
     targets = [tree, f"{tree}/", f"{tree}/a.sol", f"{tree}/sub/../a.sol", f"{tree}/sub"]
     assert paths(read_sources(spark, targets), tree) == ["a.sol", "sub/d.sol"]

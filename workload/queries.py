@@ -262,7 +262,7 @@ def report_json(spark, sf_dir):
 
 
 def report_markdown(spark, sf_dir):
-    return frames.contract_text(contracts_audit(spark, sf_dir).nested(), markdown)
+    return frames.contract_markdown(contracts_audit(spark, sf_dir).nested())
 
 
 def report_markdown_external(spark, sf_dir):
@@ -282,7 +282,8 @@ def report_markdown_summary(spark, sf_dir):
 
 
 def report_html_fragment(spark, sf_dir):
-    return frames.html_fragments(contracts_audit(spark, sf_dir).nested())
+    found = contracts_audit(spark, sf_dir)
+    return frames.contract_html(found.contracts, found.pack)
 
 
 def report_html_summary(spark, sf_dir):
