@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def literal_rows(rows: list, schema: str) -> Column:
+    """Plain values as one literal array; the optimizer parses it once for the plan."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<{schema}>")
+
+
 def trim_blank(text: Column) -> Column:
     """Strip Unicode white space from both ends."""
     return F.btrim(text, F.lit(WHITE_SPACE))

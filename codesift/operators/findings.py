@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from codesift.functions.severity import finding_number, rank_of, severity_rank
+from codesift.functions.text import literal_rows
 from codesift.rules import RulePack
 
 RULE_TEXTS = ("rule_id", "title", "description", "severity", "swc", "cwe", "recommendation", "references")
@@ -58,19 +59,10 @@ def nested_findings(contracts: DataFrame, pack: RulePack) -> DataFrame:
 
 def _rule_lookup(pack: RulePack) -> Column:
     """Literal array of rule texts, indexed by rule order."""
-    by_order = {r.order: r.rule for r in pack.rules}
     fields = ",".join(f"{n}:{'array<string>' if n == 'references' else 'string'}" for n in RULE_TEXTS)
-    rows = []
-    for order in range(max(by_order, default=-1) + 1):
-        rule = by_order.get(order)
-        if rule is None:
-            rows.append(F.lit(None).cast(f"struct<{fields}>"))
-            continue
-        rows.append(F.struct(
-            *[F.lit(getattr(rule, n)).alias(n) for n in RULE_TEXTS[:-1]],
-            F.array(*map(F.lit, rule.references)).cast("array<string>").alias("references"),
-        ))
-    return F.array(*rows) if rows else F.array().cast(f"array<struct<{fields}>>")
+    by_order = {r.order: {n: getattr(r.rule, n) for n in RULE_TEXTS} for r in pack.rules}
+    rows = [by_order.get(order) for order in range(max(by_order, default=-1) + 1)]
+    return literal_rows(rows, f"struct<{fields}>")
 
 
 def with_external(findings: DataFrame, contracts: DataFrame, documents: DataFrame) -> DataFrame:

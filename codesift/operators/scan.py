@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.functions.comments import strip_comments
-from codesift.functions.text import base_name, let, lines_of_code, snippet, solidity_version, split_lines
+from codesift.functions.text import (
+    base_name, let, lines_of_code, literal_rows, snippet, solidity_version, split_lines,
+)
 from codesift.rules import CompiledRule, RulePack
 
 HIT = "struct<neg_rank:int,line:int,rule_order:int,occ:int>"
 FINDING = "struct<position:int,rule_order:int,rank:int,line:int,occ:int,code_snippet:string>"
+RULE = (
+    "struct<rule_order:int,rule_id:string,neg_rank:int,pattern:string,before:string,after:string,"
+    "required:array<array<string>>>"
+)
 MARK = "\x01"
 
 
@@ -87,19 +93,12 @@ def _unrolled_hits(clean: Column, mark: Column, pack: RulePack) -> Column:
 
 
 def _rule_array(pack: RulePack) -> Column:
-    def strings(values) -> Column:
-        return F.array(*map(F.lit, values)).cast("array<string>")
-
-    return F.array(*[
-        F.struct(
-            F.lit(r.order).alias("rule_order"), F.lit(r.rule.rule_id).alias("rule_id"),
-            F.lit(-r.rule.rank).alias("neg_rank"),
-            F.lit(r.pattern).alias("pattern"), F.lit(r.before_mark).alias("before"),
-            F.lit(r.after_mark).alias("after"),
-            F.array(*[strings(s) for s in r.jvm.required]).cast("array<array<string>>").alias("required"),
-        )
+    rows = [
+        {"rule_order": r.order, "rule_id": r.rule.rule_id, "neg_rank": -r.rule.rank, "pattern": r.pattern,
+         "before": r.before_mark, "after": r.after_mark, "required": r.jvm.required}
         for r in pack.rules
-    ])
+    ]
+    return literal_rows(rows, RULE)
 
 
 def _matching_rules(clean: Column, pack: RulePack) -> Column:
