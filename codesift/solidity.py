@@ -29,6 +29,16 @@ _RANDOM = _one_per_segment(
     body=rf"(?:[^)b]++|b(?!{_BLOCK_VALUE}))*+b{_BLOCK_VALUE}",
 )
 
+# The same idea for SA-010: its match runs from an "address" to the next "=", on one
+# line, and what follows the "=" decides for every "address" ahead of it. A segment
+# starts at a line feed, an "=" or the end of the match before.
+_ADDRESS = (
+    r"((?:\G|[=\n])(?:[^=\na]++|a(?:(?<=\wa)|(?!ddress(?!\w))))*+)"
+    rf"(address(?!\w)[^=\n]*+={BLANK}*+_\w++{BLANK}*+;)"
+)
+# Blanks, operators, blanks: written so that a run of blanks is read one way only.
+_OLD_COMPILER = rf"()(pragma{BLANK}++solidity{BLANK}++(?:[\^>=<~]++{BLANK}*+)?0\.[1-7]\.)"
+
 # Rule ids, texts, severities, classifications, links and patterns.
 RULES = [
     Rule(
@@ -127,6 +137,7 @@ RULES = [
         "Add `require(_addr != address(0), 'zero address');` before assigning critical address parameters.",
         ("https://swcregistry.io/docs/SWC-131",),
         r"\baddress\b[^=\n]*=\s*_\w+\s*;",
+        jvm_form=_ADDRESS,
     ),
     Rule(
         "SA-011", "Integer Overflow Risk (Solidity < 0.8.0)",
@@ -138,6 +149,7 @@ RULES = [
             "https://docs.openzeppelin.com/contracts/4.x/api/utils#SafeMath",
         ),
         r"pragma\s+solidity\s+[\^>=<~]*\s*0\.[1-7]\.",
+        jvm_form=_OLD_COMPILER,
     ),
     Rule(
         "SA-012", "Inline Assembly Usage",

@@ -100,13 +100,30 @@ def test_both_rule_forms_and_brute_force_agree(spark):
     assert {rule for found in want.values() for rule, _, _ in found} >= {"SA-008", "SA-018", "SA-010", "SA-013"}
 
 
-def test_loop_rules_stay_linear(spark):
+@pytest.mark.parametrize("rule_id,pieces", [
+    ("SA-010", ["address", "address ", "a", " ", "=", "= ", "_k", "_", ";", "\n", "xaddress", "addresses", "address a = _b;", "_ ;", "é", "\x0b"]),
+    ("SA-011", ["pragma", " ", "\t", "solidity", "pragma solidity ", "^", ">=", "<", "~", "0.", "1.", "0.6.", "0.8.", "\n", "\x0b", ";"]),
+    ("SA-008", ["keccak256", "(", ")", "abi.encodePacked", "keccak256(abi.encodePacked(", "block.", "number", "block.number", " ", "\n", "k", "b"]),
+    ("SA-018", ["for", "for(", "for (", "(", ")", ".length", ".", "f", " ", "\n", "forfor("]),
+])
+def test_linear_forms_against_brute_force(spark, rule_id, pieces):
+    rng = random.Random(rule_id)
+    texts = {f"{n}": "".join(rng.choices(pieces, k=rng.randint(1, 25))) for n in range(3000)}
+    rows = spark.createDataFrame(list(texts.items()), "path string, content string")
+    rule = next(r for r in RULES if r.rule_id == rule_id)
+    got = {r.path: [f.line for f in r.findings] for r in scan_sources(rows, solidity_rules().only(rule_id)).collect()}
+    want = {p: [line for _, line, _ in brute.findings(t, [rule])] for p, t in texts.items()}
+    assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_built_in_rules_stay_linear(spark):
     texts = {
+        "address": "address " * 60_000 + "\n" + "address a " * 30_000 + "= x", "blanks": "pragma solidity" + " " * 300_000 + "1",
         "loops": "for (a " * 60_000 + ".length", "no-length": ".length) " + "for (a " * 60_000,
         "random": "block.number keccak256(abi.encodePacked( " * 30_000,
     }
     rows = spark.createDataFrame(list(texts.items()), "path string, content string")
     started = time.time()
     found = {r.path: len(r.findings) for r in scan_sources(rows, solidity_rules()).collect()}
-    assert found == {"loops": 1, "no-length": 0, "random": 1}
+    assert found == {"address": 0, "blanks": 0, "loops": 1, "no-length": 0, "random": 1}
     assert time.time() - started < 30
