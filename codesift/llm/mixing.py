@@ -2,19 +2,22 @@
 
 How often a document is taken is its source's target over the source's size, a number
 from 0 to ``MAX_COPIES``. Its whole part is certain; the fraction is a probability that
-pivotal rounding turns into 0 or 1: two documents meet, one hands mass to the other until
-one of them is decided, and what the other has left meets the next. The sum of
-the probabilities never changes, so what a source yields stays near its target.
-
-The meetings form a tree. Documents of a source are first parted by the magnitude
-of their size, so that mass moves between documents of like size, and then into blocks
-of about ``BLOCK`` documents by a hash; the number of blocks follows from counts. A block
-is folded in one row, in order of size, and leaves at most one undecided document. Those
-residuals go to the next level, with ``BLOCK`` times fewer blocks, until one block is
-left for each magnitude, then one for each source; the last one is settled by a draw.
+pivotal rounding turns into 0 or 1: two documents meet and one hands words to the other,
+which one being drawn with the odds that keep every document's expectation, until one of
+the two is decided; the other goes on to the next meeting. A meeting changes no
+sum of expected words, so a source ends near its target.
+
+The meetings form a tree. Documents of a source are parted by the magnitude of
+their size, and then into blocks of about ``BLOCK`` documents by a hash; the number of
+blocks follows from counts. A block is folded in one row and leaves at most one undecided
+document. Those residuals go to the next level, with ``BLOCK`` times fewer blocks. The
+first block of each magnitude is kept for the last level, one fold for each source
+over the residuals and the kept blocks from large documents to small ones, so that the
+one document left undecided is small; it is rounded to the nearer side.
 Only ids, sizes and fractions are shuffled, a source of any size is spread over its
-blocks, and the number of levels grows with the logarithm of the input. Draws are hashes
-of ids, so reruns agree whatever the partitioning.
+blocks, the last fold has a few hundred documents for each magnitude, and the number of
+levels grows with the logarithm of the input. Draws are hashes of ids, so reruns agree
+whatever the partitioning.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source of
 its own and stands last; repeated rows are documents of their own, told apart by a count
@@ -27,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesift.functions.text import let
 from codesift.llm.common import word_count
 from codesift.session import written
 
@@ -78,86 +82,137 @@ UNIT = "struct<size:bigint,uid:bigint,copy:bigint,p:double>"
 
 
 def _fold(units: Column, level: int) -> Column:
-    """All meetings of one block: the undecided document, if any, and the decided ones."""
+    """All meetings of one block, large documents first: the undecided one, if any, and the decided ones."""
     none = F.lit(None).cast(UNIT)
     decided = "array<struct<uid:bigint,copy:bigint,extra:int>>"
     start = F.struct(none.alias("open"), F.array().cast(decided).alias("done"))
 
-    def settle(unit: Column, extra: Column) -> Column:
-        return F.struct(unit["uid"].alias("uid"), unit["copy"].alias("copy"), extra.alias("extra"))
+    def settled(unit: Column, extra: int) -> Column:
+        return F.struct(unit["uid"].alias("uid"), unit["copy"].alias("copy"), F.lit(extra).alias("extra"))
 
     def with_p(unit: Column, p: Column) -> Column:
         return F.struct(unit["size"].alias("size"), unit["uid"].alias("uid"), unit["copy"].alias("copy"), p.alias("p"))
 
+    def hand_over(winner: Column, loser: Column, words: Column) -> Column:
+        """The winner gains ``words``; it is full, or the loser is empty."""
+        full = (1.0 - winner["p"]) * winner["size"] <= loser["p"] * loser["size"]
+        return F.struct(
+            F.when(full, with_p(loser, loser["p"] - words / loser["size"]))
+            .otherwise(with_p(winner, winner["p"] + words / winner["size"])).alias("left"),
+            F.when(full, settled(winner, 1)).otherwise(settled(loser, 0)).alias("gone"),
+        )
+
+    def room(winner: Column, loser: Column) -> Column:
+        return F.least((1.0 - winner["p"]) * winner["size"], loser["p"] * loser["size"])
+
     def meet(state: Column, unit: Column) -> Column:
         held = state["open"]
-        total = held["p"] + unit["p"]
+        up, down = room(held, unit), room(unit, held)
         draw = _draw(held["uid"] * 31 + held["copy"], unit["uid"] * 31 + unit["copy"], level)
-        # Below one: the loser gets nothing and the winner all. From one: the winner is taken, the loser keeps the rest.
-        small = total < 1.0
-        held_wins = F.when(small, draw * total < held["p"]).otherwise(draw * (2.0 - total) < 1.0 - unit["p"])
-        winner, loser = F.when(held_wins, held).otherwise(unit), F.when(held_wins, unit).otherwise(held)
-        left = F.when(small, with_p(winner, total)).otherwise(with_p(loser, total - 1.0))
-        gone = F.when(small, settle(loser, F.lit(0))).otherwise(settle(winner, F.lit(1)))
-        # What is left may be decided too, up to the rounding of doubles.
-        high, low = left["p"] > 1.0 - SETTLED, left["p"] < SETTLED
-        also = F.when(high | low, F.array(settle(left, high.cast("int")))).otherwise(F.array().cast(decided))
+        result = F.when(draw * (up + down) < down, hand_over(held, unit, up)).otherwise(hand_over(unit, held, down))
+
+        def after(met: Column) -> Column:
+            left = met["left"]
+            # What is left may be decided too, up to the rounding of doubles.
+            high, low = left["p"] > 1.0 - SETTLED, left["p"] < SETTLED
+            also = F.when(high, F.array(settled(left, 1))).when(low, F.array(settled(left, 0)))
+            return F.struct(
+                F.when(high | low, none).otherwise(left).alias("open"),
+                F.concat(state["done"], F.array(met["gone"]), F.coalesce(also, F.array().cast(decided))).alias("done"),
+            )
+
         return F.when(
             held.isNull(), F.struct(unit.alias("open"), state["done"].alias("done"))
-        ).otherwise(F.struct(
-            F.when(high | low, none).otherwise(left).alias("open"),
-            F.concat(state["done"], F.array(gone), also).alias("done"),
-        ))
+        ).otherwise(let(result, after))
+
+    return F.aggregate(F.sort_array(units, asc=False), start, meet)
 
-    return F.aggregate(F.sort_array(units), start, meet)
 
+def _fold_last(units: Column) -> Column:
+    """The last level of a source: every document decided, large ones first.
 
-def _level(units: DataFrame, level: int) -> DataFrame:
-    """One level of the tree: ``source, magnitude`` and the outcome of each block."""
+    A document meets the rest as one. The rest has ``have`` expected words and room for
+    as many more as it has words without; what it gives or takes changes all its
+    probabilities in proportion, kept as ``p -> scale * p + shift`` and applied
+    when their turn comes.
+    """
+    zero = F.lit(0.0)
+    sums = F.aggregate(
+        units, F.struct(zero.alias("have"), zero.alias("words")),
+        lambda t, u: F.struct((t["have"] + u["p"] * u["size"]).alias("have"), (t["words"] + u["size"]).alias("words")),
+    )
+    decided = F.array().cast("array<struct<uid:bigint,copy:bigint,extra:int>>")
+    start = let(sums, lambda t: F.struct(
+        F.lit(1.0).alias("scale"), zero.alias("shift"), t["have"].alias("have"), t["words"].alias("words"), decided.alias("done")))
+
+    def step(state: Column, unit: Column) -> Column:
+        p = F.least(F.lit(1.0), F.greatest(zero, state["scale"] * unit["p"] + state["shift"]))
+        rest = F.struct((state["have"] - unit["p"] * unit["size"]).alias("have"), (state["words"] - unit["size"]).alias("words"), p.alias("p"))
+
+        def meet(r: Column) -> Column:
+            have = F.greatest(zero, F.least(r["words"], state["scale"] * r["have"] + state["shift"] * r["words"]))
+            need, give = (1.0 - r["p"]) * unit["size"], r["p"] * unit["size"]
+            up, down = F.least(need, have), F.least(give, r["words"] - have)
+            goes_up = _draw(unit["uid"], unit["copy"], -3) * (up + down) < down
+            # The rest keeps this part of its expected words, or of its room.
+            keeps = F.when(goes_up, 1.0 - up / have).otherwise(1.0 - down / (r["words"] - have))
+            fixed = (r["p"] < SETTLED) | (r["p"] > 1.0 - SETTLED) | (up + down <= 0)
+            ends = F.when(fixed, r["p"]).when(goes_up, r["p"] + up / unit["size"]).otherwise(r["p"] - down / unit["size"])
+            kept = F.when(fixed, F.lit(1.0)).otherwise(keeps)
+            filled = F.when(fixed | goes_up, zero).otherwise(1.0 - keeps)
+            done = F.struct(unit["uid"].alias("uid"), unit["copy"].alias("copy"), (ends >= 0.5).cast("int").alias("extra"))
+            return F.struct(
+                (state["scale"] * kept).alias("scale"), (state["shift"] * kept + filled).alias("shift"),
+                r["have"].alias("have"), r["words"].alias("words"), F.concat(state["done"], F.array(done)).alias("done"),
+            )
+
+        return let(rest, meet)
+
+    return F.aggregate(F.sort_array(units, asc=False), start, step, lambda s: s["done"])
+
+
+def _level(units: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """One level of the tree: the outcome of each block, written once as two results are read from it."""
     unit = F.struct("size", "uid", "copy", "p").cast(UNIT)
-    blocks = units.groupBy("source", "magnitude", "block").agg(F.collect_list(unit).alias("units"))
-    return blocks.select("source", "magnitude", "block", _fold(F.col("units"), level).alias("outcome"))
+    blocks = units.groupBy(*keys).agg(F.collect_list(unit).alias("units"))
+    return written(blocks.select(*keys, _fold(F.col("units"), level).alias("outcome")), "mix-level")
 
 
 def _decided(outcomes: DataFrame) -> DataFrame:
     return outcomes.select(F.explode("outcome.done").alias("d")).select("d.*")
 
 
+def _undecided(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    return outcomes.where(F.col("outcome.open").isNotNull()).select(*keys, "outcome.open.*")
+
+
 def pivotal_rounding(units: DataFrame, block: int = BLOCK) -> DataFrame:
     """``uid, copy, extra`` for each row of ``source, size, uid, copy, p`` with 0 < p < 1.
 
-    ``extra`` is 0 or 1 and is 1 with probability ``p``; within a source the number of
-    ones is the sum of ``p``, rounded down or up.
+    ``extra`` is 1 with probability ``p``, else 0; within a source the words of those
+    with 1 add up to the sum of ``size * p``, give or take half of a small document.
     """
-    units = units.withColumn("magnitude", F.floor(F.log2(F.col("size") + 1)).cast("int"))
-    groups = units.groupBy("source", "magnitude").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / block).cast("long")
-    groups = groups.select(F.col("source").alias("s"), F.col("magnitude").alias("m"), blocks.alias("blocks"))
-    levels, widest = 1, groups.agg(F.max("blocks")).first()[0] or 1
-    # The tree has one level for each power of the block size in the largest group.
-    while block ** levels < widest * block:
-        levels += 1
+    empty = units.where(F.col("size") == 0).select(
+        "uid", "copy", (_draw(F.col("uid"), F.col("copy"), -2) < F.col("p")).cast("int").alias("extra"))
+    units = units.where(F.col("size") > 0).withColumn("magnitude", F.floor(F.log2("size")).cast("int"))
+    groups = units.groupBy("source", "magnitude").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    widest = groups.agg(F.max("blocks")).first()[0] or 1
+    groups = groups.withColumnsRenamed({"source": "s", "magnitude": "m"})
     placed = units.join(
         groups, units["source"].eqNullSafe(groups["s"]) & (units["magnitude"] == groups["m"])
-    ).withColumn("block", F.pmod(F.xxhash64("uid", "copy", F.lit(-1)), F.col("blocks")))
-    decided, level = [], 0
-    while True:
-        outcomes = written(_level(placed.select("source", "magnitude", "block", "size", "uid", "copy", "p"), level), "mix-level")
-        decided.append(_decided(outcomes))
-        left = outcomes.where(F.col("outcome.open").isNotNull()).select("source", "magnitude", "block", "outcome.open.*")
-        if level > levels:
-            break
-        level += 1
-        if level < levels:
-            placed = left.withColumn("block", F.floor(F.col("block") / block).cast("long"))
-        elif level == levels:
-            placed = left.withColumn("block", F.lit(0).cast("long"))  # one block for each magnitude
-        else:
-            placed = left.withColumns({"block": F.lit(0).cast("long"), "magnitude": F.lit(-1)})
-    last = left.select("uid", "copy", (_draw(F.col("uid"), F.col("copy"), -2) < F.col("p")).cast("int").alias("extra"))
-    for rows in decided:
-        last = last.unionByName(rows)
-    return last
+    ).drop("s", "m").withColumn("block", F.pmod(F.xxhash64("uid", "copy", F.lit(-1)), F.col("blocks")))
+    columns = ["source", "size", "uid", "copy", "p"]
+    keys = ["source", "magnitude", "block"]
+    last = placed.where(F.col("block") == 0).select(*columns)
+    placed, chosen, level = placed.where(F.col("block") > 0), empty, 0
+    while widest > 1:
+        outcomes = _level(placed, keys, level)
+        chosen = chosen.unionByName(_decided(outcomes))
+        placed = _undecided(outcomes, keys).withColumn("block", F.floor(F.col("block") / block).cast("long"))
+        widest, level = -(-widest // block), level + 1
+    final = last.unionByName(placed.select(*columns)).groupBy("source").agg(
+        F.collect_list(F.struct("size", "uid", "copy", "p").cast(UNIT)).alias("units"))
+    return chosen.unionByName(final.select(F.explode(_fold_last(F.col("units"))).alias("d")).select("d.*"))
 
 
 def mix(
