@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesift.llm import mixing, quality_rules, secrets
+from codesift.llm import mixing, quality_model, quality_rules, secrets
 from codesift.llm.common import read
 
 
@@ -20,9 +20,14 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
