@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesift.session import shared_folder
+
 # White space that parts words: blank and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,5 +33,13 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def fold(rows: Column, start: Column, step: Callable[[Column, Column], Column], end: Callable[[Column], Column]) -> Column:
-    return F.aggregate(rows, start, step, end)
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` once to the shared folder and go on from the files.
+
+    Zstandard keeps its buffers on the heap; the default codec takes direct memory for
+    every column of every file, which adds up over many small files.
+    """
+    spark = rows.sparkSession
+    target = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(target)
+    return spark.read.schema(rows.schema).parquet(target)
