@@ -31,8 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesift.functions.text import let
-from codesift.llm.common import word_count
-from codesift.session import written
+from codesift.llm.common import stored, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -175,7 +174,7 @@ def _level(units: DataFrame, keys: list[str], level: int) -> DataFrame:
     """One level of the tree: the outcome of each block, written once as two results are read from it."""
     unit = F.struct("size", "uid", "copy", "p").cast(UNIT)
     blocks = units.groupBy(*keys).agg(F.collect_list(unit).alias("units"))
-    return written(blocks.select(*keys, _fold(F.col("units"), level).alias("outcome")), "mix-level")
+    return stored(blocks.select(*keys, _fold(F.col("units"), level).alias("outcome")), "mix-level")
 
 
 def _decided(outcomes: DataFrame) -> DataFrame:
@@ -225,11 +224,11 @@ def mix(
     )
     # Rows with one id are told apart by the number of the copy; a null id hashes like any other value.
     same = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size")
-    sizes = written(
+    sizes = stored(
         sizes.withColumns({"copy": F.row_number().over(same).cast("long"), "uid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))}),
         "mix-sizes",
     )
-    targets = written(source_targets(sizes, weights, share), "mix-targets")
+    targets = stored(source_targets(sizes, weights, share), "mix-targets")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     renamed = targets.withColumnRenamed("source", "target_source")
     rows = sizes.join(renamed, sizes["source"].eqNullSafe(renamed["target_source"])).drop("target_source")

@@ -29,8 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.functions.text import let
-from codesift.llm.common import remainder, words_of
-from codesift.session import written
+from codesift.llm.common import remainder, stored, words_of
 
 FOLDS = 5
 CALIBRATION_FOLD = 4
@@ -176,7 +175,7 @@ def fit(stats: DataFrame, labels: DataFrame, kernel: Kernel = Kernel()) -> Quali
     """Fit on ``stats`` (``doc_id, stats``) and ``labels`` (``doc_id, quality``); all labelled rows are used."""
     known = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).where(F.col("quality").isNotNull())
     fold = remainder(F.col("doc_id"), FOLDS)
-    labelled = written(stats.join(known, "doc_id").withColumn("fold", fold).where(fold != 0), "quality-labelled")
+    labelled = stored(stats.join(known, "doc_id").withColumn("fold", fold).where(fold != 0), "quality-labelled")
     fitting = labelled.where(F.col("fold") != CALIBRATION_FOLD)
     mean, scale, n = _moments(fitting)
     model = QualityModel(kernel, mean, scale)
@@ -214,7 +213,7 @@ def score_column(model: QualityModel) -> Callable[[str], Column]:
 def quality_scores(docs: DataFrame, labels: DataFrame, kernel: Kernel = Kernel(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    stats = written(text_statistics(named), "quality-stats")
+    stats = stored(text_statistics(named), "quality-stats")
     scored = stats.select("doc_id", score_column(fit(stats, labels, kernel))("stats").alias("score"))
     return scored.select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score",

@@ -27,8 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.functions.text import let
-from codesift.llm.common import words_of
-from codesift.session import written
+from codesift.llm.common import stored, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -179,7 +178,7 @@ def quality_rules(
 ) -> DataFrame:
     """Counts, distances and verdict for every row of ``docs``."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = written(text_counts(named, rule), "quality-counts")
+    counts = stored(text_counts(named, rule), "quality-counts")
     words = rule.words
     # One value, whose size is set by the word lists.
     references = language_references(counts, rule).agg(
