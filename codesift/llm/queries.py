@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesift.llm import language, mixing, quality_model, quality_rules, secrets
+from codesift.llm import language, mixing, quality_model, quality_rules, secrets, simhash
 from codesift.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
