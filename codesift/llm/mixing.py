@@ -245,3 +245,12 @@ def mix(
 
 def mix_report(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns as they are."""
+    rows = stored(docs.select(
+        F.struct("*").alias("row"), "text", "source", F.monotonically_increasing_id().alias("uid")), "mix-rows")
+    copies = mix(rows, doc_id="uid").where(F.col("copies") > 0).select(F.col("doc_id").alias("uid"), "copies")
+    taken = rows.select("row", "uid").join(copies, "uid")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

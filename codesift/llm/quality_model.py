@@ -57,8 +57,8 @@ STATISTICS = (
 )
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, stats`` for every row of ``docs`` (``doc_id, text``)."""
+def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and ``stats`` for every row of ``docs``; reads ``text``."""
     in_rest = {
         "upper": r"\p{Lu}", "digit": r"\p{Nd}", "blank": r"[\x20\x09-\x0D]", "comma_period": "[.,;:?]", "exclamation": "!",
         "bar": r"[|]", "symbol": r"[#*$%&<>@^~=+/\\_]", "quote_bracket": r"""["'()\[\]{}-]""",
@@ -88,7 +88,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         "shouted_words": F.col("shouted") / some_words,
     }
     ordered = F.array(*[values[name].cast("double") for name in STATISTICS])
-    return rows.select("doc_id", let(ordered, lambda v: F.when(F.length("text") > 0, v).otherwise(F.array_repeat(F.lit(0.0), len(STATISTICS)))).alias("stats"))
+    return rows.select(*keep, let(ordered, lambda v: F.when(F.length("text") > 0, v).otherwise(F.array_repeat(F.lit(0.0), len(STATISTICS)))).alias("stats"))
 
 
 @dataclass(frozen=True)
@@ -213,9 +213,19 @@ def score_column(model: QualityModel) -> Callable[[str], Column]:
 def quality_scores(docs: DataFrame, labels: DataFrame, kernel: Kernel = Kernel(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    stats = stored(text_statistics(named), "quality-stats")
+    stats = stored(text_statistics(named, "doc_id"), "quality-stats")
     scored = stats.select("doc_id", score_column(fit(stats, labels, kernel))("stats").alias("score"))
     return scored.select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, kernel: Kernel = Kernel()) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, all columns as they are.
+
+    Statistics are computed again for the choice: that costs less than moving texts to scores.
+    """
+    model = fit(stored(text_statistics(docs.select("doc_id", "text"), "doc_id"), "quality-stats"), labels, kernel)
+    rows = text_statistics(docs.select(F.struct("*").alias("row"), "text"), "row")
+    return rows.where(score_column(model)("stats") >= THRESHOLD).select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesift.llm import language, mixing, quality_model, quality_rules, secrets, simhash
+from codesift.llm import language, mixing, pieces, quality_model, quality_rules, secrets, simhash
 from codesift.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(read(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_report(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}

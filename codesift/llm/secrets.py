@@ -211,3 +211,18 @@ def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(all_spans()).alias("spans"),
         F.size("entropy_spans").cast("long").alias("n_entropy"),
     )
+
+
+def without_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with every span of a secret replaced; the column ``length``, if present, follows the text."""
+    whole = F.col(text)
+    spans = F.sort_array(F.concat(base_spans(whole), entropy_spans(whole)))
+    clean = let(spans, lambda found: redacted(whole, found))
+    rows = docs.select(F.struct("*").alias("row"), F.when(whole.isNotNull(), clean).alias("clean"))
+    kept = [
+        F.col("clean").alias(c) if c == text
+        else F.when(F.col("clean").eqNullSafe(F.col(f"row.{text}")), F.col(f"row.`{c}`")).otherwise(F.length("clean").cast("long")).alias(c)
+        if c == length else F.col(f"row.`{c}`")
+        for c in docs.columns
+    ]
+    return rows.select(*kept)

@@ -231,21 +231,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``."""
+    """``doc_id, fp, component_id, root`` for every row of ``docs``."""
     named = docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text)).alias("fp"))
     return with_components(stored(named, "simhash-fingerprints"))
 
 
 def with_components(rows: DataFrame) -> DataFrame:
-    """``rows`` (``doc_id, fp`` and more) with the smallest id of each row's component."""
+    """``rows`` (``doc_id, fp`` and more) with ``root``, a key of the component, and its smallest id."""
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     found = components(links(classes.select("fp")))
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = rooted.join(named, "root").select("fp", "component_id")
+    by_class = rooted.join(named, "root").select("fp", "component_id", "root")
     return rows.join(by_class, "fp")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of every component, the one with the smallest id, all columns as they are."""
+    rows = stored(docs.select(
+        F.struct("*").alias("row"), "doc_id", fingerprint_column("text").alias("fp"), F.monotonically_increasing_id().alias("uid"),
+    ), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid"))["uid"]
+    staying = with_components(rows.select("doc_id", "fp", "uid")).groupBy("root").agg(first.alias("uid"))
+    return rows.join(staying, "uid").select("row.*")
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hex_text(F.col("fp")).alias("fingerprint"), "component_id")
