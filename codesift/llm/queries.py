@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesift.llm import language, mixing, pieces, quality_model, quality_rules, secrets, simhash
+from codesift.llm import html_text, language, mixing, pieces, quality_model, quality_rules, secrets, simhash
 from codesift.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_language_id": op3_language_id,
+    "op4_html_text": op4_html_text,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
     "op8_simhash_dedup": op8_simhash_dedup,
