@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesift.llm import html_text, language, mixing, pieces, quality_model, quality_rules, secrets, simhash
+from codesift.llm import html_text, language, mixing, neighbours, pieces, quality_model, quality_rules, secrets, simhash
 from codesift.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read(spark, sf_dir, "documents"))
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_nearest_vectors": op2_nearest_vectors,
     "op3_language_id": op3_language_id,
     "op4_html_text": op4_html_text,
     "op6_quality_rules": op6_quality_rules,
