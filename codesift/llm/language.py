@@ -193,30 +193,38 @@ class Network:
 
 
 def training_rows(docs: DataFrame, setting: Training) -> DataFrame:
-    """``lang, excerpt`` of the bounded sample, in a fixed order."""
-    key = F.xxhash64("doc_id")
-    smallest = Window.partitionBy("lang").orderBy(key, "doc_id")
-    # The limit of a ranking is applied before the shuffle, so a language may hold any number of rows.
-    sample = docs.where(
-        (remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.rlike("text", F.lit(LETTER))
-    ).select("doc_id", "lang", "text").withColumn("rank", F.row_number().over(smallest)).where(F.col("rank") <= setting.documents)
-    place = F.pmod(F.xxhash64("doc_id", "k"), F.greatest(F.length("text") - setting.window, F.lit(0)) + 1).cast("int") + 1
-    return sample.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(setting.excerpts)))).select(
-        "lang", F.substring(F.col("text"), place, F.lit(setting.window)).alias("excerpt"), "rank", "k"
-    )
+    """``lang, excerpt`` of the bounded sample, with ``rank`` and ``k`` to put them in order.
+
+    Languages with many rows are thinned by a hash to a few times the sample before the
+    rows are ranked, and excerpts are cut before anything is shuffled, so what one
+    task gathers does not grow with the input.
+    """
+    labelled = docs.where(
+        (remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.rlike("text", F.lit(LETTER)))
+    sizes = docs.where(F.col("lang").isNotNull()).groupBy("lang").count()
+    draw = F.xxhash64("doc_id")
+    share = draw.bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    place = lambda k: F.pmod(F.xxhash64("doc_id", k), F.greatest(F.length("text") - setting.window, F.lit(0)) + 1).cast("int") + 1
+    excerpts = F.transform(
+        F.sequence(F.lit(1), F.lit(setting.excerpts)),
+        lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), place(k), F.lit(setting.window)).alias("excerpt")))
+    thinned = labelled.join(F.broadcast(sizes), "lang").where(share * F.col("count") < 8.0 * setting.documents)
+    smallest = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    sample = thinned.select("doc_id", "lang", share.alias("draw"), excerpts.alias("excerpts")).withColumn(
+        "rank", F.row_number().over(smallest)).where(F.col("rank") <= setting.documents)
+    return sample.select("lang", "rank", F.inline("excerpts"))
 
 
 def train(docs: DataFrame, setting: Training = Training()) -> Network | None:
     """A network for the languages of ``docs`` (``doc_id, text, lang``), or None without labelled rows."""
-    rows = training_rows(docs, setting)
-    # At most documents x excerpts x window characters for each language, and so many languages.
-    table = rows.limit(setting.languages * setting.documents * setting.excerpts).toPandas()
+    if docs.select("lang").distinct().limit(setting.languages + 2).count() > setting.languages + 1:
+        raise ValueError(f"more than {setting.languages} languages; raise Training.languages")
+    # At most documents x excerpts x window characters for each language.
+    table = training_rows(docs, setting).toPandas()
     if not len(table):
         return None
     table = table.sort_values(["lang", "rank", "k"], kind="stable")
     languages = sorted(set(table["lang"]))
-    if len(languages) > setting.languages:
-        raise ValueError(f"more than {setting.languages} languages; raise Training.languages")
     width = 2 * setting.window
     texts = [t.encode()[:width] for t in table["excerpt"]]
     data, owner = windows_of(texts, width)
