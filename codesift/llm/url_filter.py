@@ -101,7 +101,7 @@ def url_filter(
     valid = validity(entries, bucket)
     horizon = valid.agg(F.max("bucket").alias("last")).scalar()
     asked = rows.withColumn("key", F.explode_outer("keys")).withColumn(
-        "bucket", F.least(F.floor(F.col("time") / bucket), horizon))
+        "bucket", F.when(F.col("time").isNotNull(), F.least(F.floor(F.col("time") / bucket), horizon)))
     begun = F.filter("begun", lambda c: c["at"] <= F.col("time"))
     rank = F.coalesce(F.try_element_at(begun, F.lit(-1))["rank"], F.col("opening"))
     met = asked.join(valid, ["key", "bucket"], "left").withColumn("rank", rank)

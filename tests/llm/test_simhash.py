@@ -1,0 +1,95 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from cases import clashing, documents, empty
+from pyspark.sql import functions as F
+
+from codesift.llm import simhash
+
+
+def plain_fingerprint(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fps):
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        near = np.nonzero(np.bitwise_count(fps[i] ^ fps) <= 4)[0]
+        for j in near:
+            parent[root(i)] = root(int(j))
+    return [root(i) for i in range(len(fps))]
+
+
+def groups(rows):
+    found = {}
+    for key, value in rows:
+        found.setdefault(value, set()).add(key)
+    return sorted(map(sorted, found.values()))
+
+
+def test_fingerprints(spark):
+    random_ = random.Random(3)
+    pool = ["Ab", "É", "x", "Zebra", "\n", "\x0b", "\t", "🙂", "no\xa0gap", "ßA"]
+    texts = [" ".join(random_.choice(pool) for _ in range(random_.randint(0, 30))) for _ in range(200)] + [None, "", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in docs.select("doc_id", simhash.hex_text(simhash.fingerprint_column("text")).alias("h")).collect():
+        assert r.h == f"{plain_fingerprint(texts[r.doc_id]):016x}"
+    spark_hash = spark.sql("SELECT xxhash64('a b ç')").first()[0]
+    assert spark_hash & (1 << 64) - 1 == xxhash.xxh64_intdigest("a b ç".encode(), 42)
+
+
+@pytest.mark.parametrize("node", [16, 100_000])
+def test_components_equal_brute_force(spark, node):
+    random_ = np.random.default_rng(7)
+    seeds = random_.integers(0, 1 << 63, 150, dtype=np.uint64)
+    fps = [np.uint64(0), np.uint64(2**64 - 1), *seeds]
+    for seed in seeds[:60]:
+        chain = seed
+        for _ in range(int(random_.integers(1, 12))):
+            for bit in random_.choice(64, int(random_.integers(1, 7)), replace=False):
+                chain = chain ^ np.uint64(1 << int(bit))
+            fps.append(chain)
+    fps = np.unique(np.array(fps, np.uint64))
+    frame = spark.createDataFrame([(int(f),) for f in fps.astype(np.int64)], "fp long")
+    edges = simhash.links(frame, node)
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert len(roots) == simhash.components(edges).count()
+    got = [(i, roots.get(int(f), int(f))) for i, f in enumerate(fps.astype(np.int64))]
+    assert groups(got) == groups(list(enumerate(plain_components(fps))))
+
+
+def test_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert set(roots) == set(range(1, 301)) | {1001}
+    assert {roots[i] for i in range(1, 301)} == {0} and roots[1001] == 1000
+
+
+def test_odd_rows(spark):
+    rows = simhash.near_duplicate_report(clashing(documents(spark))).collect()
+    assert len(rows) == 11
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[1].component_id == by_id[2].component_id == 1
+    assert {by_id[i].component_id for i in (3, 4, 5)} == {3} and by_id[3].fingerprint == "0" * 16
+    assert by_id[None].component_id is None
+    assert simhash.near_duplicate_report(empty(spark)).count() == 0
+    docs = documents(spark)
+    staying = simhash.one_of_each(docs)
+    assert staying.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in staying.select(F.col("doc_id")).collect()) == [0, 1, 3, 7, 8, 9, 11]
