@@ -57,38 +57,56 @@ STATISTICS = (
 )
 
 
-def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` and ``stats`` for every row of ``docs``; reads ``text``."""
-    in_rest = {
-        "upper": r"\p{Lu}", "digit": r"\p{Nd}", "blank": r"[\x20\x09-\x0D]", "comma_period": "[.,;:?]", "exclamation": "!",
-        "bar": r"[|]", "symbol": r"[#*$%&<>@^~=+/\\_]", "quote_bracket": r"""["'()\[\]{}-]""",
-    }
-    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({
-        "words": words_of(F.col("text")),
+# Classes of characters counted in what is left without lower-case letters.
+COUNTED = {
+    "upper": r"\p{Lu}", "digit": r"\p{Nd}", "blank": r"[\x20\x09-\x0D]", "comma_period": "[.,;:?]", "exclamation": "!",
+    "bar": r"[|]", "symbol": r"[#*$%&<>@^~=+/\\_]", "quote_bracket": r"""["'()\[\]{}-]""",
+}
+
+
+def statistics(text: Column) -> Column:
+    """The statistics of a text as an array, in the order of ``STATISTICS``.
+
+    Values used more than once are bound by ``let``: as columns of their own the
+    optimizer may copy them into every use, and each copy walks the text again.
+    """
+    size = lambda array: F.size(array).cast("double")
+
+    def of_parts(p: Column) -> Column:
+        without = lambda pattern: F.length(F.regexp_replace(p["rest"], F.lit(f"(?:{pattern})++"), F.lit("")))
+        return let(F.struct(
+            F.greatest(F.length(p["text"]), F.lit(1)).cast("double").alias("chars"), F.length(p["text"]).alias("length"),
+            F.length(p["rest"]).alias("rest"), size(p["words"]).alias("words"), size(p["lines"]).alias("lines"),
+            F.greatest(size(p["words"]), F.lit(1.0)).alias("some_words"),
+            size(F.array_distinct(p["words"])).alias("distinct_words"), size(F.array_distinct(p["lines"])).alias("distinct_lines"),
+            F.array(*[F.length(p["rest"]) - without(c) for c in COUNTED.values()]).alias("counts"),
+            F.regexp_count(p["rest"], F.lit(r"\p{Lu}{3,}+")).alias("shouted"),
+        ), of_numbers)
+
+    def of_numbers(n: Column) -> Column:
+        counted = {name: F.get(n["counts"], F.lit(i)) for i, name in enumerate(COUNTED)}
+        values = {
+            "log_chars": F.log1p(n["length"]), "log_words": F.log1p(n["words"]),
+            "word_length": (n["chars"] - counted["blank"]) / n["some_words"],
+            "distinct_words": n["distinct_words"] / F.sqrt(n["some_words"]), "line_words": F.log1p(n["some_words"] / n["lines"]),
+            "distinct_lines": n["distinct_lines"] / n["lines"], "lower": (n["chars"] - n["rest"]) / n["chars"],
+            **{name: count / n["chars"] for name, count in counted.items()},
+            "other": (n["rest"] - F.aggregate(n["counts"], F.lit(0), lambda a, b: a + b)) / n["chars"],
+            "shouted_words": n["shouted"] / n["some_words"],
+        }
+        ordered = F.array(*[values[name].cast("double") for name in STATISTICS])
+        return F.when(n["length"] > 0, ordered).otherwise(F.array_repeat(F.lit(0.0), len(STATISTICS)))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.struct(
+        t.alias("text"), words_of(t).alias("words"), F.split(t, "\n", -1).alias("lines"),
         # Lower-case letters, most of a text, are taken out once; the rest is short.
-        "rest": F.regexp_replace("text", F.lit(r"\p{Ll}++"), F.lit("")),
-        "lines": F.split("text", "\n", -1),
-    }).withColumns({
-        "chars": F.greatest(F.length("text"), F.lit(1)).cast("double"), "n_rest": F.length("rest"),
-        "n_words": F.size("words").cast("double"), "n_lines": F.size("lines").cast("double"),
-        "distinct_words": F.size(F.array_distinct("words")), "distinct_lines": F.size(F.array_distinct("lines")),
-        "counts": F.array(*[F.regexp_count("rest", F.lit(p)) for p in in_rest.values()]),
-        "shouted": F.regexp_count("rest", F.lit(r"\p{Lu}{3,}+")),
-    })
-    some_words = F.greatest("n_words", F.lit(1.0))
-    counted = {name: F.get("counts", F.lit(i)) for i, name in enumerate(in_rest)}
-    values = {
-        "log_chars": F.log1p(F.length("text")), "log_words": F.log1p("n_words"),
-        "word_length": (F.col("chars") - counted["blank"]) / some_words,
-        "distinct_words": F.col("distinct_words") / F.sqrt(some_words), "line_words": F.log1p(some_words / F.col("n_lines")),
-        "distinct_lines": F.col("distinct_lines") / F.col("n_lines"),
-        "lower": (F.col("chars") - F.col("n_rest")) / F.col("chars"),
-        **{name: count / F.col("chars") for name, count in counted.items()},
-        "other": (F.col("n_rest") - F.aggregate("counts", F.lit(0), lambda a, b: a + b)) / F.col("chars"),
-        "shouted_words": F.col("shouted") / some_words,
-    }
-    ordered = F.array(*[values[name].cast("double") for name in STATISTICS])
-    return rows.select(*keep, let(ordered, lambda v: F.when(F.length("text") > 0, v).otherwise(F.array_repeat(F.lit(0.0), len(STATISTICS)))).alias("stats"))
+        F.regexp_replace(t, F.lit(r"\p{Ll}++"), F.lit("")).alias("rest"),
+    ), of_parts))
+
+
+def text_statistics(docs: DataFrame) -> DataFrame:
+    """``doc_id, stats`` for every row of ``docs`` (``doc_id, text``), written once."""
+    return stored(docs.select("doc_id", statistics(F.col("text")).alias("stats")), "quality-stats")
 
 
 @dataclass(frozen=True)
@@ -201,7 +219,7 @@ def fit(stats: DataFrame, labels: DataFrame, kernel: Kernel = Kernel()) -> Quali
     return QualityModel(kernel, mean, scale, weights, table["raw"].to_numpy(), np.clip(levels, 0.0, 1.0))
 
 
-def score_column(model: QualityModel) -> Callable[[str], Column]:
+def score_column(model: QualityModel) -> Callable[[Column | str], Column]:
     """The score of a column of statistics, computed by Arrow batches."""
     @F.pandas_udf("double")
     def score(stats: pd.Series) -> pd.Series:
@@ -213,7 +231,7 @@ def score_column(model: QualityModel) -> Callable[[str], Column]:
 def quality_scores(docs: DataFrame, labels: DataFrame, kernel: Kernel = Kernel(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    stats = stored(text_statistics(named, "doc_id"), "quality-stats")
+    stats = text_statistics(named)
     scored = stats.select("doc_id", score_column(fit(stats, labels, kernel))("stats").alias("score"))
     return scored.select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score",
@@ -226,6 +244,5 @@ def accepted(docs: DataFrame, labels: DataFrame, kernel: Kernel = Kernel()) -> D
 
     Statistics are computed again for the choice: that costs less than moving texts to scores.
     """
-    model = fit(stored(text_statistics(docs.select("doc_id", "text"), "doc_id"), "quality-stats"), labels, kernel)
-    rows = text_statistics(docs.select(F.struct("*").alias("row"), "text"), "row")
-    return rows.where(score_column(model)("stats") >= THRESHOLD).select("row.*")
+    model = fit(text_statistics(docs.select("doc_id", "text")), labels, kernel)
+    return docs.where(score_column(model)(statistics(F.col("text"))) >= THRESHOLD)

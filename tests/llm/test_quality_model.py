@@ -36,7 +36,7 @@ def test_held_out_accuracy_and_folds(spark):
 
 def test_normal_equations_equal_plain_sums(spark):
     _, docs, labels = corpus(spark, 60)
-    stats = model.text_statistics(docs, "doc_id").join(labels.dropna(), "doc_id")
+    stats = model.text_statistics(docs).join(labels.dropna(), "doc_id")
     table = stats.toPandas()
     x = np.stack(table["stats"])
     fitted = model.QualityModel(SMALL, x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0))
