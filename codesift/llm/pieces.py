@@ -14,9 +14,10 @@ the least sum wins) is the encoding:
   the lattice: allowed neighbours weigh 0, others infinity, and one path of finite weight
   is left.
 
-No piece of a common model has a word mark behind other characters; then no path crosses
-the start of a word, and the paths of words are found one by one and kept for the next
-time. If a model has such pieces, a text is one word.
+Where no piece has certain characters next to each other, no path crosses the place
+between them: common models have no piece with a word mark behind other characters, or
+with a letter before another character. Which of these hold is found when a model is compiled;
+the paths of the words between such places are found one by one and kept for the next time.
 
 Defined cases: null and empty texts have no pieces; repeated rows are encoded alike; a
 U+2581 in a text reads back as a blank, as the library has it. Models with a character map,
@@ -101,6 +102,9 @@ class PieceTransducer:
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
+        # What a piece reads back as; None for a byte.
+        written = {NORMAL: lambda p: p.replace(MARK, " "), UNKNOWN: lambda p: " ⁇ ", CONTROL: lambda p: "", BYTE: lambda p: None}
+        self.plain = [written[k](p) for p, k in zip(self.pieces, self.kinds, strict=True)]
         self._compile()
 
     def _compile(self) -> None:
@@ -114,11 +118,24 @@ class PieceTransducer:
         # A character that is only part of pieces can stand alone too; it is then written as bytes.
         for c in alphabet:
             self.tree.setdefault(c, {}).setdefault("", c)
-        words_part = all(MARK not in p.lstrip(MARK) for p in self.ids)
-        inside = re.escape("".join(sorted(alphabet - {MARK})))
-        # A word is marks and what follows; characters without a piece stand alone.
-        known = f"{MARK}+[{inside}]*|[{inside}]+" if words_part else f"[{inside}{MARK}]+"
+        letters = {c for c in alphabet if c.isalpha()}
+        others = alphabet - letters - {MARK}
+        beside = {(x, y) for piece in self.ids for x, y in zip(piece, piece[1:], strict=False)}
+        kept_apart = lambda ones, twos: not any(x in ones and y in twos for x, y in beside)
+        # U+FFFF is no character; it keeps a class from being empty.
+        one, two = (re.escape("".join(sorted(c or {"\uffff"}))) for c in (letters, others))
+        # A word is marks and a run of letters or of others; characters without a piece stand alone.
+        if not kept_apart(letters | others, {MARK}):
+            known = f"[{MARK}{one}{two}]+"
+        elif not kept_apart(letters, others):
+            known = f"{MARK}+[{one}{two}]*|[{one}{two}]+"
+        elif not kept_apart(others, letters):
+            known = f"{MARK}*(?:[{one}]+|[{two}]+[{one}]*)|{MARK}+"
+        else:
+            known = f"{MARK}*(?:[{one}]+|[{two}]+)|{MARK}+"
         self.words = re.compile(f"{known}|.", re.DOTALL)
+        self.known = set(self.ids) | alphabet
+        self.longest = max(map(len, self.known), default=1)
         self.least = min(self.scores, default=0.0) - UNKNOWN_COST
         self.kept: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -141,12 +158,10 @@ class PieceTransducer:
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
 
     def _allowed(self, one: str, other: str) -> bool:
-        """The acceptor of neighbours."""
-        found = self.pairs.get((one, other))
-        if found is None:
-            if len(self.pairs) >= KEPT_WORDS:
-                self.pairs.clear()
-            found = self.pairs[one, other] = self._merged(one + other) == [one, other]
+        """The acceptor of neighbours; what it says is kept in ``pairs``."""
+        if len(self.pairs) >= KEPT_WORDS:
+            self.pairs.clear()
+        found = self.pairs[one, other] = self._merged(one + other) == [one, other]
         return found
 
     def _edges(self, word: str, start: int) -> list[str]:
@@ -164,22 +179,33 @@ class PieceTransducer:
         """The one path of finite weight. With weights of 0 and infinity the first complete
         path is the shortest, so edges are tried depth first, long ones before short ones;
         a piece at a place from which no path was complete is not tried again."""
+        known, pairs, size = self.known, self.pairs, len(word)
         path: list[str] = []
-        open_edges, at, size = [self._edges(word, 0)], 0, len(word)
+        # The length to try next at each place of the path.
+        lengths, at, before = [self.longest], 0, None
         dead: set[tuple[int, str]] = set()
         while at < size:
-            edges = open_edges[-1]
-            if not edges:
-                open_edges.pop()
-                dead.add((at, path[-1]))
+            for length in range(min(lengths[-1], size - at), 0, -1):
+                piece = word[at:at + length]
+                if piece not in known:
+                    continue
+                if before is not None:
+                    allowed = pairs.get((before, piece))
+                    if not (self._allowed(before, piece) if allowed is None else allowed):
+                        continue
+                if not dead or (at + length, piece) not in dead:
+                    break
+            else:
+                lengths.pop()
+                dead.add((at, before))
                 at -= len(path.pop())
+                before = path[-1] if path else None
                 continue
-            piece = edges.pop()
-            if path and not self._allowed(path[-1], piece) or (at + len(piece), piece) in dead:
-                continue
+            lengths[-1] = length - 1
             path.append(piece)
-            at += len(piece)
-            open_edges.append(self._edges(word, at))
+            at += length
+            before = piece
+            lengths.append(self.longest)
         return path
 
     def _cheapest_path(self, word: str) -> list[str]:
@@ -205,7 +231,7 @@ class PieceTransducer:
         return [self.bytes[b] for b in text.encode("utf-8", "surrogatepass")]
 
     def _word(self, word: str) -> tuple[int, ...]:
-        if word[0] not in self.tree:
+        if word[0] not in self.known:
             return tuple(self._bytes_of(word))
         ids: list[int] = []
         for piece in self._allowed_path(word) if self.kind == MERGES else self._cheapest_path(word):
@@ -228,22 +254,20 @@ class PieceTransducer:
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        pieces, kinds = self.pieces, self.kinds
         parts: list[str] = []
         held = bytearray()
+        plain = self.plain
         for i in ids:
-            kind = kinds[i]
-            if kind == NORMAL:
+            piece = plain[i]
+            if piece is not None:
                 if held:
                     parts.append(held.decode("utf-8", "replace"))
                     held.clear()
-                parts.append(pieces[i])
-            elif kind == BYTE:
-                held.append(int(pieces[i][3:5], 16))
-            elif kind == UNKNOWN:
-                parts.append(" ⁇ ")
+                parts.append(piece)
+            else:
+                held.append(int(self.pieces[i][3:5], 16))
         parts.append(held.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
+        text = "".join(parts)
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
