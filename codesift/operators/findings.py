@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from codesift.functions.severity import finding_number, rank_of, severity_rank
 from codesift.functions.text import literal_rows
 from codesift.rules import RulePack
+from codesift.sources.detectors import finding_columns
 
 RULE_TEXTS = ("rule_id", "title", "description", "severity", "swc", "cwe", "recommendation", "references")
 FINDING_COLUMNS = (
@@ -93,6 +94,7 @@ def with_external(findings: DataFrame, contracts: DataFrame, documents: DataFram
         .join(totals, ["path", "bucket"])
         .select("path", (F.col("offset") + F.col("earlier")).alias("start"), F.posexplode("detectors"))
         .select("path", (F.col("start") + F.col("pos") + 1).cast("int").alias("position"), "col.*")
+        .select("path", "position", *finding_columns())
     )
     return (
         findings.select(*FINDING_COLUMNS, F.lit(0).alias("source_rank"))

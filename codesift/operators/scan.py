@@ -156,7 +156,9 @@ def scan_sources(
 ) -> DataFrame:
     """``path, content`` to one row per file with its findings. Works on streams too.
 
-    ``keep`` names extra columns to carry along, such as an arrival order.
+    A row without content was not readable and gives no result; the text is only
+    tested behind the scan. ``keep`` names extra columns to carry along, such as an
+    arrival order.
     """
     content, clean = F.col("content"), F.col("clean")
     kept = [F.col(name) for name in keep]
@@ -171,7 +173,7 @@ def scan_sources(
         lines_of_code(content).alias("lines_of_code"),
         solidity_version(clean).alias("solidity_version"),
         "findings",
-    )
+    ).where(F.col("lines_of_code").isNotNull())
 
 
 def rule_hit_flags(sources: DataFrame, pack: RulePack) -> DataFrame:

@@ -16,27 +16,51 @@ from codesift.operators.scan import scan_sources
 from codesift.reports.frames import nested_report
 from codesift.reports.parts import TITLE, VERSION
 from codesift.rules import RulePack
-from codesift.session import written
+from codesift.session import removed, run_folder, written
 from codesift.solidity import solidity_rules
-from codesift.sources.detectors import detector_documents, external_findings
+from codesift.sources.detectors import detector_documents, external_severities
 
 
 @dataclass(frozen=True)
 class Audit:
-    """``contracts`` has one row per file with its findings; the rest is derived."""
+    """``scanned`` has one row per source with its findings; the rest is derived.
 
-    contracts: DataFrame
+    ``skipped`` holds the paths of rows without content. ``first_by`` orders
+    the rows of one path, of which the first counts.
+    """
+
+    scanned: DataFrame
     pack: RulePack
     documents: DataFrame | None
     started: datetime
+    skipped: DataFrame
+    first_by: str | None = None
+    folder: str | None = None
+
+    @property
+    def contracts(self) -> DataFrame:
+        """One row per file with its findings."""
+        if self.first_by is None:
+            return self.scanned
+        return first_per_path(self.scanned, self.first_by).drop(self.first_by)
 
     def materialized(self, folder: str | None = None) -> Audit:
         """Write the scanned rows once; every result then starts from that table.
 
-        The rows hold no source text, so the table is small next to the corpus.
+        The rows hold no source text, so the table is small next to the corpus. The
+        tables lie in a folder of their own until ``close``.
         """
-        documents = None if self.documents is None else written(self.documents, "detector-documents", folder)
-        return replace(self, contracts=written(self.contracts, "contracts", folder), documents=documents)
+        if self.folder:
+            return self
+        own = run_folder(self.scanned.sparkSession, "audit", folder)
+        documents = None if self.documents is None else written(self.documents, "detector-documents", own)
+        return replace(
+            self, scanned=written(self.contracts, "contracts", own), documents=documents, first_by=None, folder=own)
+
+    def close(self) -> None:
+        """Remove the tables of ``materialized``; frames derived from them cannot be read any more."""
+        if self.folder:
+            removed(self.scanned.sparkSession, self.folder)
 
     def findings(self) -> DataFrame:
         """All findings, rule findings first and external ones behind them."""
@@ -46,9 +70,13 @@ class Audit:
         return long_form.with_external(rows, self.contracts, self.documents)
 
     def report(self) -> DataFrame:
-        figures = metrics.contract_metrics(self.contracts)
+        # Figures are made before the first row of a path is chosen, so no snippet is shuffled.
+        keep = (self.first_by,) if self.first_by else ()
+        figures = metrics.contract_metrics(self.scanned, keep=keep)
+        if self.first_by:
+            figures = first_per_path(figures, self.first_by).drop(self.first_by)
         if self.documents is not None:
-            figures = metrics.merge_external(figures, external_findings(self.documents))
+            figures = metrics.merge_external(figures, external_severities(self.documents))
         return metrics.contract_report(figures)
 
     def summary(self) -> DataFrame:
@@ -62,7 +90,7 @@ class Audit:
         """The run's id and time stamps, one row."""
         finished = finished or datetime.now(timezone.utc)
         millis = int((finished - self.started).total_seconds() * 1000)
-        spark = self.contracts.sparkSession
+        spark = self.scanned.sparkSession
         # Without a zone, so that a session in another zone shows the same UTC text.
         utc = self.started.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         stamp = F.lit(utc).cast("timestamp_ntz")
@@ -88,8 +116,8 @@ def audit(
     """
     pack = solidity_rules() if pack is None else pack
     keep = (first_by,) if first_by else ()
-    contracts = scan_sources(sources, pack, min_severity, keep=keep)
-    if first_by:
-        contracts = first_per_path(contracts, first_by).drop(first_by)
+    scanned = scan_sources(sources, pack, min_severity, keep=keep)
+    skipped = sources.where(F.col("content").isNull()).select("path")
     documents = None if external is None else detector_documents(external)
-    return Audit(contracts, pack.at_least(min_severity), documents, started or datetime.now(timezone.utc))
+    return Audit(
+        scanned, pack.at_least(min_severity), documents, started or datetime.now(timezone.utc), skipped, first_by)

@@ -56,7 +56,7 @@ def json_contracts(nested: DataFrame) -> DataFrame:
 
 def json_findings(findings: DataFrame) -> DataFrame:
     """The long form, for reports that include external findings."""
-    return findings.select(F.col("path").alias("FilePath"), *_renamed(JSON_FINDING, F.col))
+    return findings.select(F.col("path").alias("FilePath"), F.col("position").alias("Position"), *_renamed(JSON_FINDING, F.col))
 
 
 def json_rows(frame: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -76,8 +76,9 @@ def contract_html(contracts: DataFrame, pack: RulePack) -> DataFrame:
     The rule texts are escaped once for each rule, not for each finding.
     """
     c = {name: F.col(name) for name in CONTRACT}
-    nested = nested_report(contracts, pack.with_texts(html.escape_text))
-    blocks = F.transform("findings", lambda f, i: html.finding(f, i + 1, rule_text=lambda t: t))
+    nested = nested_report(contracts, pack.with_texts(html.escape_text, html.reference_text))
+    same = lambda t: t
+    blocks = F.transform("findings", lambda f, i: html.finding(f, i + 1, rule_text=same, link=same))
     return nested.select(
         "path", html.scope_row(c).alias("scope_html"),
         text(html.header(c), F.array_join(blocks, "")).alias("findings_html"),
@@ -118,6 +119,13 @@ def contract_listing(nested: DataFrame) -> DataFrame:
     )
 
 
+def listing_rows(report: DataFrame, findings: DataFrame) -> DataFrame:
+    """``path, position, text``: the listing as rows, for reports with external findings."""
+    heads = report.select("path", F.lit(0).alias("position"), listing_head().alias("text"))
+    line = text("[", severity_text(F.col("severity")), "] ", F.col("title"), "  (line ", F.col("line"), ")")
+    return heads.unionByName(findings.select("path", "position", line.alias("text")))
+
+
 def severity_cards(summary: DataFrame) -> DataFrame:
     s = {name: F.col(name) for name in (*COUNTS, "total_findings", "overall_risk")}
     shares = {name: share(s[name], s["total_findings"]) for name in COUNTS}

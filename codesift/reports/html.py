@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -13,7 +14,7 @@ from codesift.functions.severity import (
 from codesift.reports.parts import one_digit, text
 
 # Characters escaped in text, the ampersand first.
-ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&#34;", "'": "&#39;", "+": "&#43;"}
+ESCAPES = {"\0": "\ufffd", "&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&#34;", "'": "&#39;", "+": "&#43;"}
 
 
 def escape_text(value: str) -> str:
@@ -28,6 +29,46 @@ def escape(value: Column) -> Column:
     return value
 
 
+# What a link may start with, what stands for a link that may not, and
+# the characters besides letters and digits that stay as they are in one.
+SCHEMES = ("http", "https", "mailto")
+UNSAFE_LINK = "#ZgotmplZ"
+LINK_MARKS = "!#$&*+,/:;=?@[]-._~"
+
+
+def safe_link(url: str) -> str:
+    """The URL as it stands in a link: other schemes are refused, other characters written as %xx."""
+    scheme, colon, _ = url.partition(":")
+    if colon and "/" not in scheme and scheme.lower() not in SCHEMES:
+        return UNSAFE_LINK
+    kept = re.compile("[A-Za-z0-9" + re.escape(LINK_MARKS) + "]|%[0-9A-Fa-f]{2}")
+    parts = re.split(f"({kept.pattern})", url)
+    return "".join(
+        part if kept.fullmatch(part) else "".join(f"%{byte:02x}" for byte in part.encode("utf-8", "surrogatepass"))
+        for part in parts)
+
+
+def link_column(url: Column) -> Column:
+    """``safe_link`` of a column."""
+    scheme = F.regexp_extract(url, r"\A([^/:]*+):", 1)
+    refused = F.rlike(url, F.lit(r"\A[^/:]*+:")) & ~F.lower(scheme).isin(*SCHEMES)
+    plain = "A-Za-z0-9" + re.escape(LINK_MARKS).replace("&", r"\&")
+    parts = F.regexp_extract_all(url, F.lit(rf"%[0-9A-Fa-f]{{2}}|[{plain}]++|(?s:.)"), F.lit(0))
+    coded = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-8"))), F.lit("(..)"), F.lit("%$1"))
+    kept = F.lit(rf"\A(?:%[0-9A-Fa-f]{{2}}|[{plain}]+)\z")
+    written = F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, kept), p).otherwise(coded(p))), "")
+    return F.when(refused, F.lit(UNSAFE_LINK)).otherwise(written)
+
+
+def reference_link(url: Column) -> Column:
+    return _link(escape(link_column(url)), text("→ ", escape(url)))
+
+
+def reference_text(url: str) -> str:
+    """The same for the text of a rule, made once for each rule."""
+    return (f'<a href="{escape_text(safe_link(url))}" target="_blank" rel="noopener">→ {escape_text(url)}</a>')
+
+
 def _tag(css: str, *body: str | Column, tag: str = "div") -> Column:
     return text(f'<{tag} class="{css}">', *body, f"</{tag}>")
 
@@ -60,9 +101,12 @@ def header(c) -> Column:
     return text(_tag("cname", escape(c["file_name"])), _tag("cstat", stat), nothing)
 
 
-def finding(f, position: Column, rule_text: Callable[[Column], Column] = escape) -> Column:
-    """``rule_text`` escapes the texts that come from the rule; rules whose texts are
-    escaped already pass a function that returns its argument."""
+def finding(
+    f, position: Column, rule_text: Callable[[Column], Column] = escape, link: Callable[[Column], Column] = reference_link
+) -> Column:
+    """``rule_text`` escapes the texts that come from the rule and ``link`` writes its
+    references; rules whose texts are written already pass functions that return
+    their argument."""
     def block(label: str | Column, css: str, body: Column) -> Column:
         return _tag("fblk", _tag("flbl", label), _tag(css, body))
 
@@ -71,12 +115,13 @@ def finding(f, position: Column, rule_text: Callable[[Column], Column] = escape)
         severity_icon(f["severity"]), " ", severity_label(f["severity"]), "</span>",
     )
     swc = rule_text(f["swc"])
+    # The class is escaped by now; a link is safe as its start is fixed.
     swc_tag = F.when(has_swc_link(swc), text(" ", _link(swc_link(swc), swc, "swctag"))).otherwise("")
     code = F.when(
         f["code_snippet"] != "",
         block(text("Vulnerable Code — line ", f["line"]), "codebox", text("<pre>", escape(f["code_snippet"]), "</pre>")),
     ).otherwise("")
-    links = F.transform(f["references"], lambda r: _link(rule_text(r), text("→ ", rule_text(r))))
+    links = F.transform(f["references"], link)
     references = F.when(
         F.size(f["references"]) > 0, block("References", "refs", F.array_join(links, ""))
     ).otherwise("")

@@ -17,11 +17,17 @@ def normalize_format(name: str | None) -> str:
 def write_report(audit, folder: str, fmt: str = "html") -> str:
     """Write one audit below ``folder`` and return the format used.
 
-    The scan runs once for every dataset here unless the audit was materialized;
-    ``Audit.materialized`` does that.
+    The corpus is scanned once: the scanned rows are written to the shared folder,
+    all datasets start from there, and the rows are removed at the end, unless the audit
+    was materialized by its owner.
     """
     fmt = normalize_format(fmt)
-    REPORTERS[fmt](audit, folder)
+    stored = audit.materialized()
+    try:
+        REPORTERS[fmt](stored, folder)
+    finally:
+        if stored is not audit:
+            stored.close()
     return fmt
 
 
@@ -46,7 +52,8 @@ def _merged_blocks(audit, fmt):
 def _markdown(audit, folder: str) -> None:
     markdown.opening(audit.summary(), audit.run()).write.text(f"{folder}/summary")
     if audit.documents is None:
-        blocks = frames.contract_markdown(audit.nested()).select("text")
+        nested = frames.contract_markdown(audit.nested())
+        blocks = nested.repartitionByRange("path").sortWithinPartitions("path").select("text")
     else:
         blocks = _merged_blocks(audit, markdown)
     blocks.write.text(f"{folder}/contracts")
@@ -59,6 +66,7 @@ def _html(audit, folder: str) -> None:
     audit.report().select(html.scope_row(c).alias("text")).write.text(f"{folder}/scope")
     if audit.documents is None:
         fragments = frames.contract_html(audit.contracts, audit.pack)
+        fragments = fragments.repartitionByRange("path").sortWithinPartitions("path")
         blocks = fragments.select(F.col("findings_html").alias("text"))
     else:
         blocks = _merged_blocks(audit, html)

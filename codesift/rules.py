@@ -16,7 +16,6 @@ RULE_SCHEMA = (
     "swc string, cwe string, recommendation string, references array<string>, regex string"
 )
 # A pack travels inside the plan and is broadcast, so its size is checked.
-MAX_RULES = 5000
 MAX_PACK_BYTES = 16 << 20
 
 
@@ -82,8 +81,8 @@ class RulePack:
                 self.rules.append(CompiledRule(order, rule, to_jvm(rule.regex)))
             except UnsupportedPattern as error:
                 raise UnsupportedPattern(f"{rule.rule_id}: {error}") from error
-        if len(self.rules) > MAX_RULES or size > MAX_PACK_BYTES:
-            raise ValueError(f"rule pack too large: {len(self.rules)} rules, {size} bytes")
+        if size > MAX_PACK_BYTES:
+            raise ValueError(f"rule pack too large: {size} bytes")
 
     def __len__(self) -> int:
         return len(self.rules)
@@ -100,12 +99,12 @@ class RulePack:
         """This pack with user rules appended."""
         return RulePack([r.rule for r in self.rules] + list(rules))
 
-    def with_texts(self, change: Callable[[str], str]) -> RulePack:
-        """The same rules with all their texts but the severity changed."""
+    def with_texts(self, change: Callable[[str], str], reference: Callable[[str], str] | None = None) -> RulePack:
+        """The same rules with all their texts but the severity changed, references by a function of their own."""
         def changed(rule: Rule) -> Rule:
             texts = {n: change(getattr(rule, n)) for n in
                      ("rule_id", "title", "description", "swc", "cwe", "recommendation")}
-            return replace(rule, **texts, references=tuple(map(change, rule.references)))
+            return replace(rule, **texts, references=tuple(map(reference or change, rule.references)))
 
         return RulePack(replace(r, rule=changed(r.rule)) for r in self.rules)
 
@@ -122,8 +121,13 @@ class RulePack:
 
     @classmethod
     def from_df(cls, rules: DataFrame) -> RulePack:
-        """A rule table. It is read to the driver, one row more than allowed at most."""
-        return cls.from_rows(rules.limit(MAX_RULES + 1).collect())
+        """A rule table. Its bytes are summed before it is read to the driver."""
+        texts = F.to_json(F.struct(*[F.col(c) for c in rules.columns]))
+        size = rules.agg(F.coalesce(F.sum(F.octet_length(texts)), F.lit(0)).alias("size")).first().size
+        # Names and quotes of the fields come on top of the texts.
+        if size > 2 * MAX_PACK_BYTES:
+            raise ValueError(f"rule pack too large: {size} bytes")
+        return cls.from_rows(rules.collect())
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [

@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.conf.get("spark.master", "unknown").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
     return _local_folder()
 
@@ -51,3 +51,14 @@ def written(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     target = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(target)
     return spark.read.schema(rows.schema).parquet(target)
+
+
+def run_folder(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """The name of a new folder for the tables of one run."""
+    return f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder made by ``run_folder``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -48,14 +48,42 @@ def _qualified(spark: SparkSession, target: str):
 
 
 def read_sources(
-    spark: SparkSession, targets: Sequence[str] | str, recursive: bool = False, suffix: str = ".sol"
+    spark: SparkSession, targets: Sequence[str] | str, recursive: bool = False, suffix: str = ".sol",
+    on_error: str = "fail",
 ) -> DataFrame:
     """``path, file_name, content``, one row per file below the targets.
 
-    Other files are ignored, a missing target raises, and a file that vanishes or
-    cannot be read later is skipped. Names starting with ``_`` or ``.`` are not
+    Other files are ignored and a missing target raises. A file that vanishes or
+    cannot be read fails the job; with ``on_error="skip"`` it is left out, and
+    ``skipped_sources`` names it. Names starting with ``_`` or ``.`` are not
     listed by Spark.
     """
+    files, uri = _listed(spark, targets, recursive, suffix, on_error, "text")
+    path = plain_path(uri)
+    return files.select(
+        path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("file_name"),
+        F.col("value").alias("content"),
+    )
+
+
+def skipped_sources(
+    spark: SparkSession, targets: Sequence[str] | str, recursive: bool = False, suffix: str = ".sol"
+) -> DataFrame:
+    """``path`` of files that are listed but cannot be read.
+
+    The listing opens no file; the files are read once to see which can be.
+    """
+    files, uri = _listed(spark, targets, recursive, suffix, "skip", "binaryFile")
+    readable = read_sources(spark, targets, recursive, suffix, on_error="skip").select("path")
+    return files.select(plain_path(uri).alias("path")).join(readable, "path", "left_anti")
+
+
+def _listed(
+    spark: SparkSession, targets: Sequence[str] | str, recursive: bool, suffix: str, on_error: str, source: str
+) -> tuple[DataFrame, Column]:
+    """The files below the targets in one of Spark's file formats, and their URI."""
+    if on_error not in ("fail", "skip"):
+        raise ValueError("on_error is 'fail' or 'skip'")
     targets = [targets] if isinstance(targets, str) else list(targets)
     if not targets:
         raise ValueError("no targets given")
@@ -64,22 +92,17 @@ def read_sources(
     # Recursive lookup also when children of subdirectories are not wanted: without
     # it, directory names such as ``k=v`` would be taken for partitions. The filter on
     # the file's path is applied to the listing, so those children are never opened.
-    files = (
-        spark.read
-        .option("ignoreMissingFiles", True)
-        .option("ignoreCorruptFiles", True)
-        .text(paths, wholetext=True, pathGlobFilter=f"*{suffix}", recursiveFileLookup=True)
-    )
+    skip = on_error == "skip"
+    options = {"ignoreMissingFiles": skip, "ignoreCorruptFiles": skip, "pathGlobFilter": f"*{suffix}", "recursiveFileLookup": True}
+    if source == "text":
+        options["wholetext"] = True
+    files = spark.read.format(source).options(**options).load(paths)
     # Local URIs are spelled with one or with three slashes.
     uri = F.regexp_replace("_metadata.file_path", r"\Afile:/*+", "file:/")
     if not recursive:
         uris = [re.sub(r"\Afile:/+", "file:/", qualified[p].toUri().toString()) for p in paths]
         files = files.where(uri.isin(uris) | F.regexp_replace(uri, r"/[^/]*\z", "").isin(uris))
-    path = plain_path(uri)
-    return files.select(
-        path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("file_name"),
-        F.col("value").alias("content"),
-    )
+    return files, uri
 
 
 def table_sources(table: DataFrame, path: str | Column = "path", content: str | Column = "content") -> DataFrame:

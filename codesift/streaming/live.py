@@ -22,6 +22,8 @@ def stream_contracts(
     query stops when it has read all that is there.
     """
     scanned = scan_sources(sources, pack, min_severity)
+    # The folder is there even if the stream never has a row.
+    sources.sparkSession.createDataFrame([], scanned.schema).write.mode("append").parquet(output)
     return (
         scanned.writeStream.format("parquet").outputMode("append")
         .option("path", output).option("checkpointLocation", checkpoint)

@@ -1,0 +1,109 @@
+"""Reports from one scan, streams over folders, and inputs that cannot be read."""
+
+import glob
+import os
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from codesift import RulePack, Rule, audit, read_sources, write_report
+from codesift.reports import html
+from codesift.session import shared_folder
+from codesift.sources.files import skipped_sources
+from test_external import detector, document
+from workload.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("fmt", ["json", "md", "html"])
+@pytest.mark.parametrize("with_external", [False, True])
+def test_one_scan_for_each_report(spark, tmp_path, fmt, with_external):
+    """A counter in the plan sees every source row once."""
+    rows = [(f"/s/{n}.sol", "tx.origin;") for n in range(40)]
+    spark.createDataFrame(rows, "path string, content string").write.parquet(f"{tmp_path}/in")
+    counter = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            counter.add(len(batch))
+            yield batch
+
+    sources = spark.read.parquet(f"{tmp_path}/in").mapInPandas(count, "path string, content string")
+    external = spark.createDataFrame([("/s/1.sol", document(detector()))], "path string, json string") if with_external else None
+    before = set(os.listdir(shared_folder(spark)))
+    write_report(audit(sources, external=external), f"{tmp_path}/out", fmt)
+    assert counter.value == len(rows)
+    assert set(os.listdir(shared_folder(spark))) == before  # the run's own tables are gone
+
+
+def test_materialized_by_the_owner(spark, tmp_path):
+    found = audit(spark.createDataFrame([("/a.sol", "tx.origin;")], "path string, content string")).materialized(str(tmp_path))
+    write_report(found, f"{tmp_path}/out", "json")
+    assert found.report().count() == 1 and glob.glob(f"{tmp_path}/audit-*")
+    found.close()
+    assert not glob.glob(f"{tmp_path}/audit-*")
+
+
+def test_rows_without_content(spark):
+    found = audit(spark.createDataFrame([("/a.sol", "x"), ("/b.sol", None)], "path string, content string"))
+    assert [r.path for r in found.report().collect()] == ["/a.sol"]
+    assert [r.path for r in found.skipped.collect()] == ["/b.sol"]
+    assert found.summary().first().total_contracts == 1
+
+
+def test_unreadable_files_fail_or_are_named(spark, tmp_path):
+    (tmp_path / "a.sol").write_text("tx.origin;")
+    (tmp_path / "b.sol").write_text("tx.origin;")
+    target = str(tmp_path)
+    assert skipped_sources(spark, target).count() == 0
+    reading = read_sources(spark, target)
+    skipping = read_sources(spark, target, on_error="skip")
+    (tmp_path / "b.sol").unlink()
+    with pytest.raises(Exception, match="b.sol"):
+        reading.collect()
+    assert [r.file_name for r in skipping.collect()] == ["a.sol"]
+    with pytest.raises(ValueError, match="on_error"):
+        read_sources(spark, target, on_error="ignore")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stream_over_a_folder_and_without_rows(spark, tmp_path):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    orders.repartition(3).write.parquet(f"{tmp_path}/many/orders.parquet")
+    orders.limit(0).write.parquet(f"{tmp_path}/none/orders.parquet")
+    got = QUERIES["stream_scan"](spark, f"{tmp_path}/many")
+    assert got.exceptAll(QUERIES["contract_report"](spark, SF)).isEmpty() and got.count() == orders.count()
+    assert QUERIES["stream_scan"](spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("url,link", [
+    ("https://a.b/c?d=e&f#g", "https://a.b/c?d=e&f#g"), ("javascript:alert(1)", "#ZgotmplZ"), ("data:x", "#ZgotmplZ"),
+    ("MAILTO:a@b", "MAILTO:a@b"), ("a b", "a%20b"), ("é'()\"<>", "%c3%a9%27%28%29%22%3c%3e"), ("%2F%zz%", "%2F%25zz%25"),
+    ("/a:b", "/a:b"), ("", ""), ("x\ny", "x%0ay"),
+])
+def test_links(spark, url, link):
+    assert html.safe_link(url) == link
+    assert spark.createDataFrame([(url,)], "u string").select(html.link_column(F.col("u"))).first()[0] == link
+
+
+def test_large_rule_tables(spark):
+    rules = [Rule(f"R-{n}", "t", "d", "LOW", "", "", "", (), f"word{n}x") for n in range(6000)]
+    pack = RulePack.from_df(RulePack(rules).to_df(spark))
+    assert len(pack) == 6000
+    huge = spark.range(40).select(F.concat(F.lit("R"), "id").alias("rule_id"), F.repeat(F.lit("x"), 1 << 20).alias("description"), F.lit("a").alias("regex"))
+    with pytest.raises(ValueError, match="too large"):
+        RulePack.from_df(huge)
+
+
+def test_a_session_of_unknown_kind_needs_a_folder():
+    class Settings:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        conf = Settings()
+
+    with pytest.raises(ValueError, match=re.escape("spark.checkpoint.dir")):
+        shared_folder(Session())

@@ -116,7 +116,9 @@ def detector_sql() -> str:
     good = ("'{''success'': ' || CASE WHEN event_id % 11 = 5 THEN 'false' ELSE 'true' END || "
             f"', ''results'': {{''detectors'': [' || {first} || {second} || ']}}}}'")
     text = (f"CASE WHEN event_id % 13 = 4 THEN '{{''success'': tru' "
-            f"WHEN event_id % 17 = 6 THEN '{{''success'': true, ''results'': {{}}}}' ELSE {good} END")
+            f"WHEN event_id % 17 = 6 THEN '{{''success'': true, ''results'': {{}}}}' "
+            f"WHEN event_id % 23 = 7 THEN {good} || ' oops' WHEN event_id % 23 = 8 THEN {good} || {good} "
+            f"WHEN event_id % 23 = 9 THEN ' ' || {good} || {NL} ELSE {good} END")
     return f"replace({text}, {TICK}, {QUOTE})"
 
 
@@ -142,7 +144,8 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
 def streamed_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders table as a stream of ``path, content``."""
     schema = table(spark, sf_dir, "orders").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    # As a pattern the path serves a file and a folder of part files.
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parque[t]")
     # A stream does not show its splits, so the narrow key rows are always spread.
     keys = stream.select("o_orderkey", "o_orderpriority")
     spread_keys = keys.repartition(spark.sparkContext.defaultParallelism * 2, "o_orderkey")

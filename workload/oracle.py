@@ -8,7 +8,7 @@ from codesift.reports import parts
 from codesift.rules import Rule
 from codesift.solidity import RULES
 from workload import corpus
-from workload.queries import MINT_RULE, TEXT_RULES, TOP
+from workload.queries import LINK_RULE, MINT_RULE, TEXT_RULES, TOP
 
 WS = " || ".join(f"chr({n})" for n in (
     9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
@@ -91,7 +91,7 @@ findings AS (
           FROM snips s JOIN rules r USING (rule_order)) p)"""
 
 EXTERNAL = f"""
-docs AS (SELECT DISTINCT {corpus.EVENT_PATH} AS path, {corpus.DETECTOR_TEXT} AS doc FROM events),
+docs AS (SELECT {corpus.EVENT_PATH} AS path, {corpus.DETECTOR_TEXT} AS doc FROM events),
 runs AS (SELECT path, sha256(doc) AS doc_key, from_json(doc, '{{"success": "BOOLEAN", "results": {{"detectors":
         [{{"check": "VARCHAR", "impact": "VARCHAR", "description": "VARCHAR",
            "elements": [{{"source_mapping": {{"lines": ["INTEGER"]}}}}]}}]}}}}') AS run
@@ -183,6 +183,10 @@ def esc(column: str) -> str:
     return column
 
 
+LINK = r"""CASE WHEN regexp_matches(r, '^[^/:]*:') AND lower(regexp_extract(r, '^([^/:]*):', 1)) NOT IN ('http', 'https', 'mailto')
+    THEN '#ZgotmplZ' ELSE array_to_string(list_transform(regexp_extract_all(r, '%[0-9A-Fa-f]{2}|[A-Za-z0-9!#$&*+,/:;=?@\[\]._~-]+|(?s:.)'),
+    lambda p: CASE WHEN regexp_full_match(p, '%[0-9A-Fa-f]{2}|[A-Za-z0-9!#$&*+,/:;=?@\[\]._~-]+') THEN p
+    ELSE regexp_replace(lower(hex(encode(p))), '(..)', '%\1', 'g') END), '') END"""
 HTML_SCOPE = f"""'<tr><td><span class="fname">📄 ' || {esc('file_name')} || '</span></td><td><span class="sver">' || {esc('solidity_version')}
     || '</span></td><td>' || lines_of_code || '</td><td>' || n_findings || '</td><td><span class="rpill ' || {RISK_CLASS} || '">' || {RISK_TEXT}
     || '/10<span class="mbar"><span class="mbf" style="width:' || trunc(risk_score * 10)::INTEGER || '%"></span></span></span></td></tr>'"""
@@ -199,7 +203,7 @@ HTML_FINDING = f"""'<details class="finding"><summary class="fhead"><span class=
        || '</div><div class="codebox"><pre>' || {esc('code_snippet')} || '</pre></div></div>' ELSE '' END
     || '<div class="fblk"><div class="flbl">Recommendation</div><div class="rec">' || {esc('recommendation')} || '</div></div>'
     || CASE WHEN len(refs) > 0 THEN '<div class="fblk"><div class="flbl">References</div><div class="refs">' || array_to_string(
-       list_transform(refs, lambda r: '<a href="' || {esc('r')} || '" target="_blank" rel="noopener">→ ' || {esc('r')} || '</a>'), '') || '</div></div>' ELSE '' END
+       list_transform(refs, lambda r: '<a href="' || {esc('(' + LINK + ')')} || '" target="_blank" rel="noopener">→ ' || {esc('r')} || '</a>'), '') || '</div></div>' ELSE '' END
     || '</details>'"""
 
 
@@ -314,6 +318,30 @@ ORACLE: dict[str, str] = {
     "report_markdown_external": query(
         f"SELECT path, 0::INTEGER AS position, {MD_HEADER} AS text FROM report UNION ALL SELECT path, position, {MD_FINDING} FROM all_findings",
         *REPORT_ALL),
+    "report_html_external": query(
+        f"SELECT path, 0::INTEGER AS position, {HTML_HEADER} AS text FROM report UNION ALL SELECT path, position, {HTML_FINDING} FROM all_findings",
+        *REPORT_ALL),
+    "report_html_links": query(
+        f"""SELECT path, -1::INTEGER AS position, {HTML_HEADER} || coalesce(body, '') AS text FROM report LEFT JOIN bodies USING (path)
+        UNION ALL SELECT path, 0::INTEGER, {HTML_HEADER} FROM report UNION ALL SELECT path, position, {HTML_FINDING} FROM findings""",
+        cleaned(ORDERS), rule_rows([LINK_RULE]), hits([LINK_RULE]), SNIPPETS, FINDINGS, figures(), joined(HTML_FINDING)),
+    "report_json_external": query(
+        f"SELECT path AS FilePath, position AS Position, to_json({JSON_FINDING})::VARCHAR AS json FROM all_findings", *FOUND_ALL),
+    "contract_listing_external": query(
+        f"""SELECT path, 0::INTEGER AS position, CASE WHEN n_findings = 0 THEN '✓ ' || file_name ELSE '⚠ ' || file_name
+        || '  [' || n_findings || ' finding(s) · Risk ' || {RISK_TEXT} || '/10]' END AS text FROM report
+        UNION ALL SELECT path, position, '[' || rpad(severity, 8, ' ') || '] ' || title || '  (line ' || line || ')' FROM all_findings""",
+        *REPORT_ALL),
+    "findings_min_high_external": query(
+        "SELECT path, position, number, severity, rule_id, line FROM all_findings", cleaned(ORDERS), rule_rows(RULES),
+        hits(RULES, [n for n, r in enumerate(RULES) if r.severity in ("CRITICAL", "HIGH")]), SNIPPETS, FINDINGS, EXTERNAL, ALL_FINDINGS),
+    "external_repeated": query(
+        "SELECT path, n_findings, risk_score, high, info FROM report", *FOUND,
+        EXTERNAL.replace("AS doc FROM events)", "AS doc FROM (SELECT * FROM events UNION ALL SELECT * FROM events))"),
+        ALL_FINDINGS, figures("all_findings")),
+    "skipped_sources": query(
+        """SELECT path, 'scanned' AS state, n_findings FROM report WHERE path IN (SELECT path FROM src WHERE content LIKE '%SPDX%')
+        UNION ALL SELECT path, 'skipped', NULL FROM src WHERE content NOT LIKE '%SPDX%'""", *REPORT),
     "report_markdown_summary": query(f"SELECT {MD_SUMMARY} AS text FROM summary", *REPORT),
     "report_html_fragment": query(
         f"SELECT path, {HTML_SCOPE} AS scope_html, {HTML_HEADER} || coalesce(body, '') AS findings_html FROM report LEFT JOIN bodies USING (path)",

@@ -18,7 +18,7 @@ from codesift.operators import findings as long_form
 from codesift.operators import metrics
 from codesift.operators import scan
 from codesift.plans.audit import Audit, audit
-from codesift.reports import frames, markdown, parts
+from codesift.reports import frames, html, markdown, parts
 from codesift.rules import Rule, RulePack
 from codesift.session import shared_folder
 from codesift.solidity import RULES, solidity_rules
@@ -33,6 +33,12 @@ MINT_RULE = Rule(
     "CX-001", "Privileged Supply Function", "A single role can change the supply.", "HIGH", "custom",
     "CWE-284", "Put the role behind a delay.", (), r"\bmint\b.{0,80}\bonlyOwner\b",
 )
+# A rule whose references are no plain links.
+LINK_RULE = Rule(
+    "CX-002", "Odd links", "A rule with links of all kinds.", "LOW", "custom", "", "Check them.",
+    ("javascript:alert(1)", "https://a.example/b c?d=\"e\"&f=é#g", "mailto:x@y.z", "/path:1/%2F%zz", "HTTPS://up.example/'(1)'", ""),
+    r"\bfunction\s+mint\b",
+)
 TEXT_RULES = [
     Rule("TX-001", "Assigned token", "A token value in the text.", "CRITICAL", "custom", "", "Remove it.", (),
          r'token\s*=\s*"[0-9a-f]+"'),
@@ -88,6 +94,22 @@ def external_findings(spark, sf_dir):
     )
 
 
+def skipped_sources(spark, sf_dir):
+    """Orders of which some have no text: those are named, the others are contracts."""
+    texts = F.when(F.col("content").rlike("SPDX"), F.col("content"))
+    sources = corpus.contracts(spark, sf_dir).withColumn("content", texts)
+    found = audit(sources)
+    scanned = found.report().select("path", F.lit("scanned").alias("state"), "n_findings")
+    return scanned.unionByName(found.skipped.select("path", F.lit("skipped").alias("state"), F.lit(None).cast("bigint").alias("n_findings")))
+
+
+def external_repeated(spark, sf_dir):
+    """Every detector document given twice: its results count twice."""
+    results = corpus.detector_results(spark, sf_dir)
+    found = contracts_audit(spark, sf_dir, external=results.unionByName(results))
+    return found.report().select("path", "n_findings", "risk_score", "high", "info")
+
+
 # --- Text ------------------------------------------------------------------
 
 def _stripped(source: Callable, spark, sf_dir):
@@ -177,6 +199,12 @@ def findings_with_external(spark, sf_dir):
     return rows.select("path", "position", "number", "rule_id", "severity", "line", "source_rank")
 
 
+def findings_min_high_external(spark, sf_dir):
+    """The threshold holds for rules and not for external results."""
+    found = contracts_audit(spark, sf_dir, min_severity="high", external=corpus.detector_results(spark, sf_dir)).materialized()
+    return found.findings().select("path", "position", "number", "severity", "rule_id", "line")
+
+
 def finding_links(spark, sf_dir):
     rows = stored_audit(spark, sf_dir).findings()
     return rows.select("path", "position", "swc", sev.swc_link(F.col("swc")).alias("url"))
@@ -256,6 +284,29 @@ def contract_listing(spark, sf_dir):
     return frames.contract_listing(contracts_audit(spark, sf_dir).nested())
 
 
+def contract_listing_external(spark, sf_dir):
+    found = stored_audit(spark, sf_dir)
+    return frames.listing_rows(found.report(), found.findings())
+
+
+def report_json_external(spark, sf_dir):
+    """One JSON row for each finding, external ones included."""
+    rows = frames.json_findings(stored_audit(spark, sf_dir).findings())
+    return rows.select("FilePath", "Position", F.to_json(F.struct(*frames.JSON_FINDING), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def report_html_external(spark, sf_dir):
+    found = stored_audit(spark, sf_dir)
+    return frames.block_rows(found.report(), found.findings(), html)
+
+
+def report_html_links(spark, sf_dir):
+    """Links of a rule in the file blocks and in single blocks."""
+    found = contracts_audit(spark, sf_dir, pack=RulePack([LINK_RULE]))
+    whole = frames.contract_html(found.contracts, found.pack).select("path", F.lit(-1).alias("position"), F.col("findings_html").alias("text"))
+    return whole.unionByName(frames.block_rows(found.report(), found.findings(), html))
+
+
 def report_json(spark, sf_dir):
     rows = frames.json_contracts(contracts_audit(spark, sf_dir).nested())
     return rows.select("FilePath", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
@@ -311,7 +362,8 @@ def stream_scan(spark, sf_dir):
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = stream_contracts(sources, solidity_rules(), f"{folder}/contracts", f"{folder}/state")
     query.awaitTermination()
-    scanned = spark.read.parquet(f"{folder}/contracts")
+    # With the schema given, a stream without rows is an empty table.
+    scanned = spark.read.schema(scan.scan_sources(sources, solidity_rules()).schema).parquet(f"{folder}/contracts")
     return metrics.contract_report(metrics.contract_metrics(scanned))
 
 
@@ -325,7 +377,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         summary, summary_external, severity_share, risk_bands, severity_display, contract_nested,
         contract_listing, report_json, report_markdown, report_markdown_external,
         report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint,
-        stream_scan,
+        stream_scan, skipped_sources, external_repeated, findings_min_high_external, contract_listing_external,
+        report_json_external, report_html_external, report_html_links,
     )},
     "strip_comments": partial(_stripped, corpus.contracts),
     "strip_comments_documents": partial(_stripped, corpus.noted_documents),
