@@ -31,10 +31,13 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -72,6 +75,27 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class KnownWords(dict):
+    """Encodings of words, found when first asked for. Long words are not kept, and when
+    there are many, those not asked for since the last time there were many are dropped."""
+
+    def __init__(self, encode: Callable[[str], tuple[int, ...]], most: int = KEPT_WORDS) -> None:
+        super().__init__()
+        self.encode, self.most = encode, most
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.older.get(word)
+        if found is None:
+            found = self.encode(word)
+        if len(word) <= KEPT_LENGTH:
+            if 2 * len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class PieceTransducer:
     """A compiled model."""
 
@@ -135,9 +159,13 @@ class PieceTransducer:
             known = f"{MARK}*(?:[{one}]+|[{two}]+)|{MARK}+"
         self.words = re.compile(f"{known}|.", re.DOTALL)
         self.known = set(self.ids) | alphabet
-        self.longest = max(map(len, self.known), default=1)
+        # The longest piece with each beginning of three characters.
+        self.longest: dict[str, int] = {}
+        for piece in self.ids:
+            if len(piece) > 2:
+                self.longest[piece[:3]] = max(len(piece), self.longest.get(piece[:3], 0))
         self.least = min(self.scores, default=0.0) - UNKNOWN_COST
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept = KnownWords(self._word)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def normalise(self, text: str) -> str:
@@ -179,10 +207,10 @@ class PieceTransducer:
         """The one path of finite weight. With weights of 0 and infinity the first complete
         path is the shortest, so edges are tried depth first, long ones before short ones;
         a piece at a place from which no path was complete is not tried again."""
-        known, pairs, size = self.known, self.pairs, len(word)
+        known, pairs, longest, size = self.known, self.pairs, self.longest, len(word)
         path: list[str] = []
         # The length to try next at each place of the path.
-        lengths, at, before = [self.longest], 0, None
+        lengths, at, before = [longest.get(word[:3], 2)], 0, None
         dead: set[tuple[int, str]] = set()
         while at < size:
             for length in range(min(lengths[-1], size - at), 0, -1):
@@ -205,7 +233,7 @@ class PieceTransducer:
             path.append(piece)
             at += length
             before = piece
-            lengths.append(self.longest)
+            lengths.append(longest.get(word[at:at + 3], 2))
         return path
 
     def _cheapest_path(self, word: str) -> list[str]:
@@ -240,18 +268,7 @@ class PieceTransducer:
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        kept = self.kept
-        for word in self.words.findall(self.normalise(text)):
-            found = kept.get(word)
-            if found is None:
-                found = self._word(word)
-                if len(word) <= KEPT_LENGTH:
-                    if len(kept) >= KEPT_WORDS:
-                        kept.clear()
-                    kept[word] = found
-            ids += found
-        return ids
+        return list(chain.from_iterable(map(self.kept.__getitem__, self.words.findall(self.normalise(text)))))
 
     def decode(self, ids: list[int]) -> str:
         parts: list[str] = []
@@ -277,21 +294,30 @@ def compiled(model: bytes) -> PieceTransducer:
     return PieceTransducer(model)
 
 
-def encode_column(model: bytes) -> Callable[[Column | str], Column]:
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+CODED = StructType().add("ids", ArrayType(IntegerType())).add("decoded", StringType())
+
+
+def coding_column(model: bytes) -> Callable[[Column | str], Column]:
+    """``struct<ids, decoded>`` of a column of texts: the pieces, and what they read back as."""
+    @F.pandas_udf(CODED)
+    def code(texts: pd.Series) -> pd.DataFrame:
         transducer = compiled(model)
-        return pd.Series([transducer.encode(t or "") for t in texts])
+        ids, decoded = [], []
+        for text in texts:
+            found = transducer.encode(text or "")
+            ids.append(np.array(found, np.int32))
+            decoded.append(transducer.decode(found))
+        return pd.DataFrame({"ids": ids, "decoded": decoded})
 
-    return encode
+    return code
 
 
 def decode_column(model: bytes) -> Callable[[Column | str], Column]:
-    @F.pandas_udf("string")
+    """The text of a column of pieces."""
+    @F.pandas_udf(StringType())
     def decode(ids: pd.Series) -> pd.Series:
         transducer = compiled(model)
-        # Straight from the encoder the ids are lists, from a table they are arrays.
-        return pd.Series([transducer.decode(i if isinstance(i, list) else i.tolist()) for i in ids], dtype=object)
+        return pd.Series([transducer.decode(i.tolist()) for i in ids], dtype=object)
 
     return decode
 
@@ -304,9 +330,9 @@ def model_bytes(path: str = MODEL) -> bytes:
 
 def encoded(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` and ``decoded``; columns of these names are replaced."""
-    model = model_bytes(path)
-    with_ids = docs.withColumn("ids", encode_column(model)(F.col(text)))
-    return with_ids.withColumn("decoded", decode_column(model)("ids"))
+    coded = docs.select("*", coding_column(model_bytes(path))(F.col(text)).alias("coded__"))
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    return coded.select(*kept, "coded__.ids", "coded__.decoded")
 
 
 def encoding_report(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,6 +62,23 @@ def test_refused_models():
         pieces.PieceTransducer(broken)
 
 
+def test_words_are_dropped_and_found_again():
+    asked = []
+    words = pieces.KnownWords(lambda w: asked.append(w) or (len(w),), most=8)
+    for w in ["a", "b", "a", "c", "d", "e", "f", "a", "x" * 100, "x" * 100]:
+        assert words[w] == (len(w),)
+    assert asked.count("a") == 1 and asked.count("x" * 100) == 2 and len(words) + len(words.older) <= 8
+
+
+def test_column_of_pieces(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("ein Text",), ("",), (" zwei  ",)], "text string")
+    model = pieces.model_bytes()
+    coded = pieces.encoded(rows).select("text", pieces.decode_column(model)(F.col("ids")).alias("again"))
+    assert all(r.text == r.again for r in coded.collect())
+
+
 def test_odd_rows(spark):
     rows = pieces.encoding_report(clashing(documents(spark))).collect()
     assert len(rows) == 11 and all(r.round_trip for r in rows)
