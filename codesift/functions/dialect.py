@@ -271,16 +271,128 @@ def _after_edge(tokens: list[_Token], k: int) -> tuple[str, int]:
     return "", k
 
 
-def _emit(tokens: list[_Token]) -> str:
+# All ASCII characters, and one name for every other one.
+OTHER = "other"
+EVERYTHING = frozenset([*map(chr, range(128)), OTHER])
+
+
+def _chars(token: _Token, folded: bool) -> frozenset[str]:
+    """The characters a token can match, or more of them."""
+    if token.kind == "lit":
+        found = {token.char if ord(token.char) < 128 else OTHER}
+    elif token.kind == "set" and not re.search(r"\\[pP]|.\[|[^\x00-\x7F]", token.jvm):
+        member = re.compile(token.jvm, re.ASCII)
+        found = {c for c in map(chr, range(128)) if member.match(c)}
+        if re.match(r"\[\^|\\[DW]|\[.*\\[DWS]", token.jvm):
+            found.add(OTHER)
+    else:
+        return EVERYTHING
+    if folded:
+        plain = found - {OTHER}
+        found |= {c.lower() for c in plain} | {c.upper() for c in plain}
+        # Three letters are the other case of characters outside ASCII, too.
+        found |= {OTHER} if found & set("iks") else set()
+    return frozenset(found)
+
+
+def _items(tokens: list[_Token], folded: bool) -> list[tuple[frozenset[str], int, bool]] | None:
+    """A sequence of single characters as (what it matches, least count, any number of it); None if it is more than that."""
+    found, k = [], 0
+    while k < len(tokens):
+        if tokens[k].kind not in ("lit", "set", "any"):
+            return None
+        least, fixed = 1, True
+        follows = tokens[k + 1:k + 2]
+        if follows and follows[0].kind == "repeat":
+            least, fixed = follows[0].least, False
+        found.append((_chars(tokens[k], folded), least, fixed))
+        k += 1 if fixed else 2
+    return found
+
+
+def _first(items: list[tuple[frozenset[str], int, bool]], after: frozenset[str]) -> frozenset[str]:
+    """What a sequence can start with, given what can follow it."""
+    found: frozenset[str] = frozenset()
+    for chars, least, _ in items:
+        found |= chars
+        if least > 0:
+            return found
+    return found | after
+
+
+def _alternatives(tokens: list[_Token]) -> list[list[_Token]]:
+    parts: list[list[_Token]] = [[]]
+    for token in tokens:
+        if token.kind == "alt":
+            parts.append([])
+        else:
+            parts[-1].append(token)
+    return parts
+
+
+def _is_unbounded(token: _Token) -> bool:
+    return token.kind == "repeat" and re.fullmatch(r"(?:[*+]|\{\d+,\})\??", token.jvm) is not None
+
+
+def _repeated_group(tokens: list[_Token], start: int, end: int, folded: bool) -> str:
+    """A group that is repeated without a bound.
+
+    Java matches such a group by one call inside the other for each repeat, and a long
+    text overflows the stack. Three forms do not: a choice of single characters is a
+    class; a group of fixed length without a choice is a loop; and where a text can be cut
+    into repeats in one way only and what follows cannot start a repeat, the repeat is
+    made possessive, which then matches the same. Other groups are refused.
+    """
+    repeat, body = tokens[end + 1], tokens[start + 1:end]
+    folded = folded or "i" in tokens[start].char
+    choices = _alternatives(body)
+    if all(len(c) == 1 and c[0].kind in ("lit", "set") for c in choices):
+        one = "[" + "".join(c[0].jvm for c in choices) + "]" if len(choices) > 1 else choices[0][0].jvm
+        opening = tokens[start].jvm if tokens[start].char else "(?:"
+        return f"{opening}{one})" + repeat.jvm if tokens[start].char else one + repeat.jvm
+    if len(choices) == 1 and all(t.kind in ("lit", "set", "any") for t in body):
+        return tokens[start].jvm + _emit(body, folded) + ")" + repeat.jvm
+    rest: list[_Token] = []
+    for token in tokens[end + 2:]:
+        if token.kind in ("open", "close", "alt", "edge", "anchor"):
+            # The item before it may be all that is needed; else anything can follow.
+            rest.append(_Token("any", "."))
+            break
+        rest.append(token)
+    # At the end of the pattern nothing has to follow.
+    after = _first(_items(rest, folded) or [], frozenset())
+    sequences = [_items(c, folded) for c in choices]
+    if repeat.jvm.endswith("?") or any(s is None or not any(least for _, least, _ in s) for s in sequences):
+        raise UnsupportedPattern("an unbounded repeat of a group with a choice, a group or a lazy repeat in it")
+    starts = [_first(s, EVERYTHING) for s in sequences]
+    again = after.union(*starts)
+    clear = not after & frozenset().union(*starts) and all(
+        not one & other for i, one in enumerate(starts) for other in starts[:i])
+    for sequence in sequences:
+        for k, (chars, _, fixed) in enumerate(sequence):
+            clear = clear and (fixed or not chars & _first(sequence[k + 1:], again))
+    if not clear:
+        raise UnsupportedPattern("an unbounded repeat of a group that can match one text in several ways")
+    opening = f"(?{tokens[start].char}:" if tokens[start].char else "(?:"
+    return opening + _emit(body, folded) + ")" + repeat.jvm + "+"
+
+
+def _emit(tokens: list[_Token], folded: bool = False) -> str:
     out, k = [], 0
     while k < len(tokens):
         if tokens[k].kind == "edge":
             form, following = _after_edge(tokens, k) if tokens[k].jvm == "b" else ("", k)
             out.append(form or _edge(tokens, k))
             k = following if form else k + 1
-        else:
-            out.append(tokens[k].jvm)
-            k += 1
+            continue
+        if tokens[k].kind == "open":
+            end = _group_end(tokens, k)
+            if end + 1 < len(tokens) and _is_unbounded(tokens[end + 1]):
+                out.append(_repeated_group(tokens, k, end, folded))
+                k = end + 2
+                continue
+        out.append(tokens[k].jvm)
+        k += 1
     return "".join(out)
 
 
@@ -298,7 +410,7 @@ def to_jvm(source: str) -> JvmRegex:
         raise UnsupportedPattern("unbalanced parentheses")
     prefix = "(?d" + ("iu" if "i" in given else "") + ("s" if "s" in given else "") + ")"
     folded = "i" in given or any(t.kind == "open" and "i" in t.char for t in tokens)
-    return JvmRegex(prefix + _emit(tokens), () if folded else _required(tokens))
+    return JvmRegex(prefix + _emit(tokens, folded), () if folded else _required(tokens))
 
 
 def can_match_nothing(source: str) -> bool:

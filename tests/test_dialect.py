@@ -44,8 +44,7 @@ def test_empty_matches_are_refused():
 def test_pack_checks():
     with pytest.raises(ValueError):
         RulePack([make_rule("a"), make_rule("b")])
-    with pytest.raises(ValueError):
-        RulePack(make_rule("a", f"X-{n}") for n in range(6000))
+    assert len(RulePack(make_rule("a", f"X-{n}") for n in range(6000))) == 6000
     with pytest.raises(UnsupportedPattern, match="X-1"):
         RulePack([make_rule("(?=a)")])
 
@@ -127,3 +126,38 @@ def test_built_in_rules_stay_linear(spark):
     found = {r.path: len(r.findings) for r in scan_sources(rows, solidity_rules()).collect()}
     assert found == {"address": 0, "blanks": 0, "loops": 1, "no-length": 0, "random": 1}
     assert time.time() - started < 30
+
+
+# Groups repeated without a bound, in RE2 and in Python syntax.
+REPEATED = [
+    (r"x(?:a|b|\s)*y", r"x(?:a|b|[\t\n\f\r ])*y"), (r"x(?:ab)*abc", r"x(?:ab)*abc"), (r"x(?:ab|cd)*y", r"x(?:ab|cd)*y"),
+    (r"x(?:a+b|cd?)+y", r"x(?:a+b|cd?)+y"), (r"(?i)x(?:ab|cd)*y", r"(?i)x(?:ab|cd)*y"), (r"x(?:[a-c]y|d)*", r"x(?:[a-c]y|d)*"),
+    (r"(ab|c)+", r"(ab|c)+"), (r"x(?i:a|b)*y", r"x(?i:a|b)*y"), (r"x(?:\w+[ ,])*\.", r"x(?:\w+[ ,])*\."),
+]
+
+
+@pytest.mark.parametrize("pattern,plain", REPEATED)
+def test_repeated_groups(spark, pattern, plain):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("xabcdyAB ,.") for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_extract_all("t", F.lit(to_jvm(pattern).pattern), F.lit(0)))
+    for text, found in rows.collect():
+        assert found == [m[0] for m in re.finditer(plain, text, re.ASCII)], text
+
+
+@pytest.mark.parametrize("pattern", [
+    r"x(?:ab|a)*y", r"x(?:a*)*y", r"x(?:a+b?)*y", r"x(?:ab|cd)*a", r"x(?:ab|cd)*?y", r"x(?:(a|b)c)*y", r"x(?:ab|cd)*\b", r"x(?:a+a)*y",
+])
+def test_ambiguous_repeats_are_refused(pattern):
+    with pytest.raises(UnsupportedPattern, match="unbounded repeat"):
+        to_jvm(pattern)
+
+
+@pytest.mark.parametrize("pattern,_", REPEATED)
+def test_repeated_groups_on_a_long_text(spark, pattern, _):
+    jvm = to_jvm(pattern).pattern
+    texts = ["x" + piece * (1_000_000 // len(piece)) for piece in ("ab", "a ", "cd", "abcd", "ab, ")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    started = time.time()
+    rows.select(F.regexp_count("t", F.lit(jvm))).collect()
+    assert time.time() - started < 60
