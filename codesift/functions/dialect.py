@@ -23,6 +23,12 @@ POSIX = {
     "punct": r"\p{Punct}", "space": r"\p{Space}", "upper": r"\p{Upper}",
     "word": r"\w", "xdigit": r"\p{XDigit}",
 }
+# Scripts that may stand after \\p.
+SCRIPTS = (
+    "Arabic Armenian Bengali Bopomofo Braille Cherokee Common Coptic Cyrillic Devanagari Ethiopic Georgian Greek Gujarati "
+    "Gurmukhi Han Hangul Hebrew Hiragana Inherited Kannada Katakana Khmer Lao Latin Malayalam Mongolian Myanmar Oriya Runic "
+    "Sinhala Syriac Tamil Telugu Thaana Thai Tibetan Yi"
+).split()
 CONTROL = {"a": "\x07", "f": "\f", "t": "\t", "n": "\n", "r": "\r", "v": "\x0b"}
 MAX_REPEAT = 1000
 
@@ -66,6 +72,10 @@ def _escape(src: str, i: int, in_class: bool) -> tuple[_Token, int]:
             raise UnsupportedPattern("bad \\x escape")
         ch = chr(int(m[1] or m[2], 16))
         return _Token("lit", _char(ch), ch), m.end()
+    octal = re.compile(r"\\(?:0[0-7]{0,2}|[1-7][0-7]{1,2})").match(src, i)
+    if octal:
+        ch = chr(int(octal[0][1:], 8))
+        return _Token("lit", _char(ch), ch), octal.end()
     if c in "dDwW":
         return _Token("set", "\\" + c), i + 2
     if c == "s":
@@ -73,10 +83,12 @@ def _escape(src: str, i: int, in_class: bool) -> tuple[_Token, int]:
     if c == "S":
         return _Token("set", f"[^{BLANK_SET}]"), i + 2
     if c in "pP":
-        m = re.compile(r"\\[pP](?:\{([A-Z][a-z]?)\}|([CLMNPSZ]))").match(src, i)
-        if not m:
-            raise UnsupportedPattern("only general categories are allowed after \\p")
-        return _Token("set", f"\\{c}{{{m[1] or m[2]}}}"), m.end()
+        m = re.compile(r"\\[pP](?:\{(\^?)([A-Z]\w*)\}|([CLMNPSZ]))").match(src, i)
+        name = m and (m[2] or m[3])
+        if not m or len(name) > 2 and name not in SCRIPTS:
+            raise UnsupportedPattern("only general categories and common scripts are allowed after \\p")
+        negated = (c == "P") != bool(m[1])
+        return _Token("set", f"\\{'P' if negated else 'p'}{{{'Is' if len(name) > 2 else ''}{name}}}"), m.end()
     if not in_class and c in "bB":
         return _Token("edge", c), i + 2
     if not in_class and c in "Az":
@@ -122,6 +134,12 @@ def _tokens(src: str, i: int, multiline: bool) -> list[_Token]:
     out: list[_Token] = []
     while i < len(src):
         c = src[i]
+        if src.startswith("\\Q", i):
+            end = src.find("\\E", i + 2)
+            quoted = src[i + 2:end if end >= 0 else len(src)]
+            out += [_Token("lit", _char(q), q) for q in quoted]
+            i = end + 2 if end >= 0 else len(src)
+            continue
         if c == "\\":
             token, i = _escape(src, i, in_class=False)
             out.append(token)
@@ -414,12 +432,12 @@ def to_jvm(source: str) -> JvmRegex:
 
 
 def can_match_nothing(source: str) -> bool:
-    """True when the pattern matches the empty string (RE2 and Java then differ)."""
-    plain = source.replace(r"\z", r"\Z")
-    plain = re.sub(r"\[\[:\^?\w+:\]\]|\\[pP](?:\{\w+\}|\w)", "x", plain)
+    """True when the pattern has a match without characters (RE2 and Java then differ)."""
+    plain = re.sub(r"\\Q(.*?)(?:\\E|\Z)", lambda m: re.escape(m[1]), source, flags=re.DOTALL).replace(r"\z", r"\Z")
+    plain = re.sub(r"\[\[:\^?\w+:\]\]|\\[pP](?:\{\^?\w+\}|\w)", "x", plain)
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore", FutureWarning)
-            return re.search(plain, "") is not None
+            return any(m.start() == m.end() for probe in ("", "a", " ", "a b\n") for m in re.finditer(plain, probe))
     except re.error:
         return False

@@ -18,7 +18,7 @@ def make_rule(regex, rule_id="X-1", severity="HIGH"):
 
 @pytest.mark.parametrize("pattern", [
     r"(?=a)b", r"(?!a)b", r"(?<=a)b", r"(?<!a)b", r"(a)\1", r"a*+", r"a++", r"(?>a)", r"\Z", r"[a", r"(a", r"a)",
-    r"*a", r"a{1001}", r"\p{Greek}", r"\k<n>", "a\\", r"(?#c)a", r"\h", r"[[:nope:]]",
+    r"*a", r"a{1001}", r"\p{Klingon}", r"\1", r"\8", r"\k<n>", "a\\", r"(?#c)a", r"\h", r"[[:nope:]]",
 ])
 def test_not_translated(pattern):
     with pytest.raises(UnsupportedPattern):
@@ -36,6 +36,8 @@ def test_required_literals():
 
 
 def test_empty_matches_are_refused():
+    assert all(can_match_nothing(p) for p in (r"\b", r"(?m)^", r"\b|x", r"\Q\E", "$"))
+    assert not any(can_match_nothing(p) for p in (r"\Qa*\E", r"\bx", r"\p{Greek}+", r"(?m)^a"))
     assert can_match_nothing("a*") and can_match_nothing("a|") and not can_match_nothing("a+")
     with pytest.raises(UnsupportedPattern):
         RulePack([make_rule("a*")])
@@ -54,7 +56,7 @@ PAIRS = [
     (r"\bab\b", r"\bab\b"), (r"a\b", r"a\b"), (r"\b[aé]", r"\b[aé]"), (r"\B-", r"\B-"), (r"\ba+\B", r"\ba+\B"),
     (r"\b(ab|b)\s", r"\b(ab|b)[\t\n\f\r ]"), (r"\b(a|é)", r"\b(a|é)"), (r"a.b", r"a[^\n]b"), (r"(?s)a.b", r"(?s)a.b"),
     (r"(?i)AB", r"(?i)ab"), (r"(?m)^a", r"(?m)^a"), (r"(?m)b$", r"(?m)b$"), (r"^a", r"\Aa"), (r"b$", r"b\Z"),
-    (r"[[:alpha:]]b", r"[A-Za-z]b"), (r"[^[:space:]]b", r"[^\t\n\x0b\f\r ]b"), (r"(?P<n>a)b", r"ab"), (r"\x61\x{62}", r"ab"),
+    (r"[[:alpha:]]b", r"[A-Za-z]b"), (r"\Qa.\Eb", r"a\.b"), (r"\Qa+", r"a\+"), (r"\141\0", "a\0"), (r"\060b", "0b"), (r"\p{Latin}-", "[A-Za-zéÉ]-"), (r"\P{Latin}b", "[^A-Za-zéÉ]b"), (r"\p{^Latin}b", "[^A-Za-zéÉ]b"), (r"[^[:space:]]b", r"[^\t\n\x0b\f\r ]b"), (r"(?P<n>a)b", r"ab"), (r"\x61\x{62}", r"ab"),
     (r"[\s-]a", r"[\t\n\f\r \-]a"), (r"[a&&b]+", r"[a&b]+"), (r"a{2,3}?", r"a{2,3}?"), (r"a{x", r"a\{x"), (r"\S\W", r"[^\t\n\f\r ]\W"),
     (r"\v", "\x0b"), (r"(?:ab|a)b?", r"(?:ab|a)b?"), (r"\ba{2}", r"\ba{2}"), (r"\b(?i:A)b", r"\b[aA]b"), (r"[]a]b", r"[\]a]b"),
 ]

@@ -8,7 +8,7 @@ from codesift.reports import parts
 from codesift.rules import Rule
 from codesift.solidity import RULES
 from workload import corpus
-from workload.queries import LINK_RULE, MINT_RULE, TEXT_RULES, TOP
+from workload.queries import LINK_RULE, MINT_RULE, SYNTAX_RULES, TEXT_RULES, TOP
 
 WS = " || ".join(f"chr({n})" for n in (
     9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
@@ -258,6 +258,8 @@ ORACLE: dict[str, str] = {
                         cleaned(NOTED), rule_rows(RULES), hits(RULES), SNIPPETS),
     "custom_rule_pack": query("SELECT path, position, rule_id, severity, line, code_snippet FROM findings",
                               cleaned(DOCUMENTS), rule_rows(TEXT_RULES), hits(TEXT_RULES), SNIPPETS, FINDINGS),
+    "custom_rule_syntax": query("SELECT path, position, rule_id, line FROM findings",
+                                cleaned(NOTED), rule_rows(SYNTAX_RULES), hits(SYNTAX_RULES), SNIPPETS, FINDINGS),
     "custom_rule_added": query(
         "SELECT path, number, line, code_snippet FROM findings WHERE rule_id = 'CX-001'",
         cleaned(ORDERS), rule_rows([*RULES, MINT_RULE]), hits([*RULES, MINT_RULE]), SNIPPETS, FINDINGS),

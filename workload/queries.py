@@ -39,6 +39,14 @@ LINK_RULE = Rule(
     ("javascript:alert(1)", "https://a.example/b c?d=\"e\"&f=é#g", "mailto:x@y.z", "/path:1/%2F%zz", "HTTPS://up.example/'(1)'", ""),
     r"\bfunction\s+mint\b",
 )
+# Rules with repeated groups, quoted text, octal numbers and scripts.
+SYNTAX_RULES = [
+    Rule("SX-001", "Run of words", "Words after a comma up to a stop.", "LOW", "", "", "", (), r",(?: [a-z]+)+\."),
+    Rule("SX-002", "Marked run", "Words with marks behind them.", "LOW", "", "", "", (), r"(?:[a-z]+[*$&])+"),
+    Rule("SX-003", "Quoted", "A string that starts like a text.", "INFO", "", "", "", (), r"\Qtx.origin;\E"),
+    Rule("SX-004", "Octal", "A slash and a star.", "INFO", "", "", "", (), r"\057\052"),
+    Rule("SX-005", "Script", "A Latin letter before a colon or semicolon.", "INFO", "", "", "", (), r"\p{Latin}[:;]"),
+]
 TEXT_RULES = [
     Rule("TX-001", "Assigned token", "A token value in the text.", "CRITICAL", "custom", "", "Remove it.", (),
          r'token\s*=\s*"[0-9a-f]+"'),
@@ -163,6 +171,11 @@ def custom_rule_pack(spark, sf_dir):
     return found.findings().select("path", "position", "rule_id", "severity", "line", "code_snippet")
 
 
+def custom_rule_syntax(spark, sf_dir):
+    found = audit(corpus.noted_documents(spark, sf_dir), RulePack(SYNTAX_RULES))
+    return found.findings().select("path", "position", "rule_id", "line")
+
+
 def custom_rule_added(spark, sf_dir):
     found = contracts_audit(spark, sf_dir, pack=solidity_rules().plus(MINT_RULE))
     return found.findings().where(F.col("rule_id") == "CX-001").select("path", "number", "line", "code_snippet")
@@ -378,7 +391,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contract_listing, report_json, report_markdown, report_markdown_external,
         report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint,
         stream_scan, skipped_sources, external_repeated, findings_min_high_external, contract_listing_external,
-        report_json_external, report_html_external, report_html_links,
+        report_json_external, report_html_external, report_html_links, custom_rule_syntax,
     )},
     "strip_comments": partial(_stripped, corpus.contracts),
     "strip_comments_documents": partial(_stripped, corpus.noted_documents),
