@@ -218,3 +218,65 @@ def quality_rules(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance",
     )
+
+
+def quality_report(docs: DataFrame) -> DataFrame:
+    """The same with distances to six places, for comparisons across engines."""
+    rounded = {c: F.round(c, 6) for c in ("class_distance", "word_distance")}
+    return quality_rules(docs).withColumns(rounded)
+
+
+def oracle_sql(rule: Divergence = Divergence()) -> str:
+    """``quality_report`` over a table ``documents`` as DuckDB SQL."""
+    lower, *others = CLASSES
+    gone = lambda pattern: f"length(rest) - length(regexp_replace(rest, '{pattern}', '', 'g'))"
+    quoted = {name: pattern.replace("'", "''") for name, pattern in CLASSES.items()}
+    names = ["lower", *others]
+    listed = " UNION ALL ".join(
+        f"SELECT '{lang}' AS ref, '{word}' AS bin" for lang, text in rule.common.items() for word in text.split())
+    term = lambda p, q: f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END"
+    distance = f"sqrt(greatest(0, least(1, sum({term('p', 'q')} + {term('q', 'p')}) / 2)))"
+    refs = ", ".join(f"'{lang}'" for lang in rule.common)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS words,
+    regexp_replace(text, '{CLASSES[lower]}+', '', 'g') AS rest,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{LINE_WITH_WORD}')) AS lines FROM d),
+windows AS (SELECT uid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS v
+    FROM (SELECT uid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+covered AS (SELECT uid, count(DISTINCT place) AS n_repeat_words FROM (SELECT uid, unnest([i, i + 1, i + 2]) AS place
+    FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, v) AS n FROM windows) WHERE n > 1) GROUP BY uid),
+counted AS (SELECT w.uid, doc_id, lang, words, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    {gone(SYMBOL)} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS chars, length(text) - length(rest) AS "lower",
+    {", ".join(f'{gone(quoted[name])} AS "{name}"' for name in others)}, length(rest) AS n_rest
+    FROM w LEFT JOIN covered USING (uid)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+    n_rest - ({" + ".join(f'"{name}"' for name in others)}) AS other FROM counted),
+classes AS (SELECT uid, lang, base_failed, unnest({names + ["other"]}) AS bin, unnest([{", ".join(f'"{n}"' for n in names)}, other]) AS n FROM judged),
+class_refs AS (SELECT lang AS ref, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM classes
+    WHERE NOT base_failed AND lang IN ({refs}) GROUP BY lang, bin),
+class_found AS (SELECT uid, min(far) AS class_distance FROM (SELECT uid, ref, {distance} AS far
+    FROM (SELECT uid, bin, n / greatest(1, sum(n) OVER (PARTITION BY uid)) AS p FROM classes) JOIN class_refs USING (bin) GROUP BY uid, ref) GROUP BY uid),
+listed AS ({listed}),
+tokens AS (SELECT uid, bin, count(*) AS n FROM (SELECT uid, unnest(regexp_split_to_array(lower(array_to_string(
+    list_filter(words, lambda x: length(x) < {SHORT + 2}), ' ')), '\P{{L}}+')) AS bin FROM judged) WHERE bin IN (SELECT bin FROM listed) GROUP BY uid, bin),
+commons AS (SELECT uid, sum(n) AS n_common FROM tokens GROUP BY uid),
+own AS (SELECT j.uid, j.lang, j.base_failed, j.n_words, l.ref, l.bin, coalesce(t.n, 0) AS n
+    FROM judged j, listed l LEFT JOIN tokens t ON t.uid = j.uid AND t.bin = l.bin),
+own_all AS (SELECT uid, lang, base_failed, ref, bin, n FROM own UNION ALL
+    SELECT uid, lang, base_failed, ref, '', greatest(0, max(n_words) - sum(n)) FROM own GROUP BY uid, lang, base_failed, ref),
+word_sums AS (SELECT ref, bin, sum(n) AS n FROM own WHERE lang = ref AND NOT base_failed GROUP BY ref, bin),
+word_totals AS (SELECT lang AS ref, sum(n_words) AS n FROM judged WHERE NOT base_failed AND lang IN ({refs}) GROUP BY lang),
+word_counts AS (SELECT * FROM word_sums UNION ALL SELECT ref, '', greatest(0, max(t.n) - sum(s.n)) FROM word_sums s JOIN word_totals t USING (ref) GROUP BY ref),
+word_refs AS (SELECT ref, bin, n / greatest(1, sum(n) OVER (PARTITION BY ref)) AS q FROM word_counts),
+word_found AS (SELECT uid, min(far) AS word_distance FROM (SELECT uid, ref, {distance} AS far
+    FROM (SELECT uid, ref, bin, n / greatest(1, sum(n) OVER (PARTITION BY uid, ref)) AS p FROM own_all) JOIN word_refs USING (ref, bin) GROUP BY uid, ref) GROUP BY uid),
+distances AS (SELECT j.*, CASE WHEN chars >= {rule.min_chars} THEN class_distance END AS class_far,
+    CASE WHEN coalesce(n_common, 0) >= {rule.min_common} THEN word_distance END AS word_far
+    FROM judged j LEFT JOIN class_found USING (uid) LEFT JOIN word_found USING (uid) LEFT JOIN commons USING (uid))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+    n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+    NOT base_failed AND coalesce(class_far, 0) <= {rule.max_class} AND coalesce(word_far, 0) <= {rule.max_word} AS kept,
+    round(class_far, 6) AS class_distance, round(word_far, 6) AS word_distance FROM distances
+"""

@@ -29,7 +29,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+    return quality_rules.quality_report(read(spark, sf_dir, "documents"))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +61,4 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 # The others train models, hash or draw, which SQL does not express; tests compare them with plain versions.
-ORACLE = {"op5_url_filter": url_filter.ORACLE_SQL}
+ORACLE = {"op5_url_filter": url_filter.ORACLE_SQL, "op6_quality_rules": quality_rules.oracle_sql()}

@@ -3,10 +3,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+import pytest
 from cases import clashing, documents, empty
 from pyspark.sql import functions as F
 
 from codesift.llm import quality_rules as rules
+from codesift.llm.queries import QUERIES
 
 
 def plain(text):
@@ -56,6 +59,20 @@ def test_unusual_make_up_is_refused(spark):
     assert all(kept[i] for i in range(40)) and not kept[100] and not kept[101]
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_query_equals_sql(spark, tmp_path, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    if odd:
+        docs = docs.unionByName(documents(spark))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["op6_quality_rules"](spark, str(tmp_path))
+    cursor = connection.execute(f"SELECT {', '.join(got.columns)} FROM ({rules.oracle_sql()})")
+    close = lambda row: tuple(round(v, 5) if isinstance(v, float) else v for v in row)
+    assert sorted(map(close, got.collect()), key=repr) == sorted(map(close, cursor.fetchall()), key=repr)
+
+
 def test_odd_rows(spark):
     rows = rules.quality_rules(clashing(documents(spark))).collect()
     assert len(rows) == 11 and all(r.kept is not None for r in rows)
