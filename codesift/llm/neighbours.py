@@ -2,11 +2,10 @@
 
 Each ordering projects vectors to a few random directions, shifts the projected cube by a
 random offset and numbers its cells along a Hilbert curve, on which cells that follow each
-other touch. Keys of all vectors are cut into ranges of about ``BLOCK`` vectors at
-quantiles measured over all keys, and Spark groups by range. A query looks into
-the ranges around its own, so many that they hold the share ``window`` of all
-vectors, and takes the nearest by exact cosine from each; ranges and orderings
-are then merged and ranked again by that cosine.
+other touch. Spark sorts all keys of an ordering by range and cuts them into ranges of
+``BLOCK`` vectors. A query looks into the ranges around its own, so many that they hold
+the share ``window`` of all vectors, and takes the nearest by exact cosine from each;
+ranges and orderings are then merged and ranked again by that cosine.
 
 Equal vectors: a result holds the smallest ids of equal vectors, so only as many rows
 of one vector as could be returned are compared. They are chosen by a ranked limit
@@ -153,6 +152,24 @@ def _nearest(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return nearest
 
 
+def _places(keyed: DataFrame) -> DataFrame:
+    """``uid, ordering, place``: the place of each key in its ordering, from 0.
+
+    Spark sorts the narrow keys by range; the place in the partition plus the rows of earlier
+    partitions is the place in the ordering. The table of partitions has a row for each.
+    """
+    # Equal keys are told apart by the id, so a common key fills as many ranges as it needs.
+    order = ["ordering", "key", "vec_id", "uid"]
+    keys = keyed.select("vec_id", "uid", F.posexplode("keys").alias("ordering", "key"))
+    ordered = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(ordered.select("uid", "ordering", F.monotonically_increasing_id().alias("at")), "neighbour-order").select(
+        "uid", "ordering", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    earlier = Window.partitionBy("ordering").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("ordering", "part").agg(F.count("*").alias("n"), F.min("at").alias("first")).select(
+        "ordering", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("offset"))
+    return rows.join(F.broadcast(parts), ["ordering", "part"]).select("uid", "ordering", (F.col("at") + F.col("offset")).alias("place"))
+
+
 def nearest_neighbours(
     vectors: DataFrame, every: int = 50, k: int = 5, setting: Orderings = Orderings(),
     vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK,
@@ -161,25 +178,14 @@ def nearest_neighbours(
     rows = usable(vectors, vec_id, embedding).distinct()
     indexed = _smallest_ids(rows, k).select(F.lit(False).alias("asks"), "vec_id", "v")
     asking = rows.where(F.col("vec_id") % every == 0).select(F.lit(True).alias("asks"), "vec_id", "v")
-    keyed = stored(indexed.unionByName(asking).withColumn("keys", _key_column(setting)("v")), "neighbour-keys")
-    # Equal keys are told apart by a hash of the id, so a common key fills many ranges.
-    fine = F.transform("keys", lambda key: F.shiftleft(key, 20).bitwiseOR(F.xxhash64("vec_id").bitwiseAND(F.lit((1 << 20) - 1))))
-    keyed = keyed.select("asks", "vec_id", "v", F.posexplode(fine).alias("ordering", "key"))
-    sizes = keyed.groupBy("asks").count().where(F.col("asks").isNotNull()).collect()
-    n = {r.asks: r["count"] // setting.count for r in sizes}
-    blocks = max(1, -(-n.get(False, 0) // block))
+    keyed = indexed.unionByName(asking).withColumn("keys", _key_column(setting)("v"))
+    keyed = stored(keyed.withColumn("uid", F.monotonically_increasing_id()), "neighbour-keys")
+    sizes = {r.asks: r["count"] for r in keyed.groupBy("asks").count().collect()}
+    blocks = max(1, -(-sum(sizes.values()) // block))
     reach = int(np.ceil(setting.window * blocks / 2 - 1e-9))
-    chunks = max(1, -(-n.get(True, 0) // QUERIES))
-    # The inner limits of the ranges, a few numbers for each ordering, from all keys of the index.
-    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)]) if blocks > 1 else None
-    if shares is None:
-        placed = keyed.withColumn("block", F.lit(0))
-    else:
-        limits = keyed.where(~F.col("asks")).groupBy("ordering").agg(
-            F.percentile_approx("key", shares, 100 * blocks).alias("limits"))
-        placed = keyed.join(F.broadcast(limits), "ordering").withColumn(
-            "block", F.size(F.filter("limits", lambda limit: limit < F.col("key"))).cast("int"))
-    base = placed.select("asks", "vec_id", "v", "ordering", "block")
+    chunks = max(1, -(-sizes.get(True, 0) // QUERIES))
+    places = _places(keyed).withColumn("block", F.floor(F.col("place") / block).cast("int"))
+    base = keyed.select("uid", "asks", "vec_id", "v").join(places.select("uid", "ordering", "block"), "uid")
     # At an end of the curve the window reaches as far to the other side.
     low = F.greatest(F.lit(0), F.least(F.col("block") - reach, F.lit(blocks - 1 - 2 * reach)))
     high = F.least(F.lit(blocks - 1), F.greatest(F.col("block") + reach, F.lit(2 * reach)))
