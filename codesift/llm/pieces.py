@@ -29,12 +29,14 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -45,8 +47,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, MERGES = 1, 2
 UNKNOWN_COST = 10.0
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 KEPT_LENGTH = 48
+# Rows coded at a time; what is held for them is a few times their texts.
+ROWS = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -158,7 +162,8 @@ class PieceTransducer:
         else:
             known = f"{MARK}*(?:[{one}]+|[{two}]+)|{MARK}+"
         self.words = re.compile(f"{known}|.", re.DOTALL)
-        self.known = set(self.ids) | alphabet
+        # Pieces by their text, so that what is kept holds one string for each.
+        self.known = {p: p for p in [*alphabet, *self.ids]}
         # The longest piece with each beginning of three characters.
         self.longest: dict[str, int] = {}
         for piece in self.ids:
@@ -214,8 +219,8 @@ class PieceTransducer:
         dead: set[tuple[int, str]] = set()
         while at < size:
             for length in range(min(lengths[-1], size - at), 0, -1):
-                piece = word[at:at + length]
-                if piece not in known:
+                piece = known.get(word[at:at + length])
+                if piece is None:
                     continue
                 if before is not None:
                     allowed = pairs.get((before, piece))
@@ -294,20 +299,22 @@ def compiled(model: bytes) -> PieceTransducer:
     return PieceTransducer(model)
 
 
-CODED = StructType().add("ids", ArrayType(IntegerType())).add("decoded", StringType())
-
-
-def coding_column(model: bytes) -> Callable[[Column | str], Column]:
-    """``struct<ids, decoded>`` of a column of texts: the pieces, and what they read back as."""
-    @F.pandas_udf(CODED)
-    def code(texts: pd.Series) -> pd.DataFrame:
+def _coding(model: bytes, names: list[str], text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the pieces, and what they read back as, a few rows at a time."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
-        ids, decoded = [], []
-        for text in texts:
-            found = transducer.encode(text or "")
-            ids.append(np.array(found, np.int32))
-            decoded.append(transducer.decode(found))
-        return pd.DataFrame({"ids": ids, "decoded": decoded})
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                flat, ends, decoded = array("i"), [0], []
+                for value in rows.column(rows.schema.get_field_index(text)).to_pylist():
+                    ids = transducer.encode(value or "")
+                    flat.extend(ids)
+                    ends.append(len(flat))
+                    decoded.append(transducer.decode(ids))
+                pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+                columns = [rows.column(rows.schema.get_field_index(name)) for name in names]
+                yield pa.RecordBatch.from_arrays([*columns, pieces, pa.array(decoded, pa.string())], [*names, "ids", "decoded"])
 
     return code
 
@@ -330,9 +337,9 @@ def model_bytes(path: str = MODEL) -> bytes:
 
 def encoded(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` and ``decoded``; columns of these names are replaced."""
-    coded = docs.select("*", coding_column(model_bytes(path))(F.col(text)).alias("coded__"))
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    return coded.select(*kept, "coded__.ids", "coded__.decoded")
+    kept = docs.drop("ids", "decoded")
+    schema = StructType([*kept.schema.fields]).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
+    return kept.mapInArrow(_coding(model_bytes(path), kept.columns, text), schema)
 
 
 def encoding_report(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
