@@ -106,9 +106,9 @@ def peak_entropy(value: Column, window: Column) -> Column:
 
     ``value`` has at least ``window`` characters, all of them token characters.
     """
-    def step(state: Column, at: Column) -> Column:
-        enters = F.ascii(F.substring(value, at, F.lit(1)))
-        leaves = F.when(at > window, F.ascii(F.substring(value, at - window, F.lit(1)))).otherwise(F.lit(0))
+    def step(codes: Column, state: Column, at: Column) -> Column:
+        enters = F.get(codes, at - 1)
+        leaves = F.when(at > window, F.get(codes, at - window - 1)).otherwise(F.lit(0))
 
         def move(change: Column) -> Column:
             old, new = F.get(state["counts"], change["enters"]), F.get(state["counts"], change["leaves"])
@@ -133,10 +133,13 @@ def peak_entropy(value: Column, window: Column) -> Column:
     start = F.struct(
         F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(float("inf")).alias("least"),
     )
+    # Characters are taken from an array: a substring walks the string from its start.
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
     # H = log2(w) - sum(c * log2(c)) / w, so the least sum gives the highest entropy.
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(value)), start, step, lambda s: F.log2(window) - s["least"] / window
-    )
+    return let(codes, lambda c: F.aggregate(
+        F.sequence(F.lit(1), F.length(value)), start, lambda state, at: step(c, state, at),
+        lambda s: F.log2(window) - s["least"] / window,
+    ))
 
 
 def _suspicious(value: Column, classes: tuple[CharClass, ...], allowed: tuple[str, ...]) -> Column:
