@@ -3,18 +3,19 @@
 1. A page is cut into lines, one for each block element. Elements that are never text
    (scripts, styles, forms, menus, headers, footers, sidebars, and those whose class, id or role
    names an advert, a notice, comments and the like) are left out.
-   If the page marks its main text (``article``, ``main``), only lines inside the marks are kept,
-   and they are certain.
+   If the page marks its main text (``article``, ``main``), only lines inside the marks are kept.
 2. Pages of a host are put in the order of their paths by a range partitioning, in which a
-   host of any size is spread over many tasks; the last page of one partition meets the
-   first of the next.
-3. A page without a mark is aligned with the page before and the page after it
-   by a longest common subsequence of its lines, and lines that they share are template
-   text and deleted. A neighbour that has nearly all lines of the page is a copy of it
-   and not evidence of a template; it deletes nothing.
+   host of any size is spread over many tasks. Adjacent pages with equal lines are copies of
+   each other and form one run; the runs at the ends of the partitions meet in a small
+   table, so a run may lie over many partitions.
+3. A page is aligned with the nearest page on either side that is not a copy of it by a
+   longest common subsequence of their lines; if it has none on one side, with the nearest
+   two on the other side. Lines that they share are template text and deleted. A page that
+   has nearly all lines of the other may be a near copy or share a large template, so what it
+   shares goes only if the second page shares it too.
 
 Lines inside a mark are not deleted even if a neighbour has them: copies and quoted
-passages are text. Only hashes of lines move in steps 2 and 3.
+passages are text. A page whose host has no other than copies keeps its lines. Only hashes of lines move in steps 2 and 3.
 
 Defined cases: a null or empty page has empty text; a null URL has an empty host and
 path; repeated rows and equal URLs are neighbours of each other, and copies as above;
@@ -24,15 +25,18 @@ Only the columns named are read.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructType
 
 from codesift.llm.common import stored
 
@@ -208,69 +212,153 @@ def shared_lines(own: list[int], other: list[int]) -> list[int]:
     return sorted(found)
 
 
-def template_lines(own: list[int], other: list[int]) -> list[int]:
-    """Shared lines, unless the other page is a copy."""
-    shared = shared_lines(own, other)
-    return shared if len(shared) <= COPY_SHARE * len(own) else []
+def template_lines(own: list[int], others: list[list[int]], marked: bool) -> list[int]:
+    """Places in ``own`` of lines that the nearest one or two pages show to be template text."""
+    shared = [set(shared_lines(own, other)) for other in others]
+    if not shared:
+        return []
+    near_copy = [len(s) > COPY_SHARE * len(own) for s in shared]
+    if len(shared) == 1:
+        # One page alone: if either has no own line, it says nothing about a template.
+        (s,) = shared
+        return [] if marked or len(s) in (len(own), len(others[0])) else sorted(s)
+    both = shared[0] & shared[1]
+    if marked:
+        return []
+    return sorted(set().union(*(both if near else s for s, near in zip(shared, near_copy, strict=True))))
 
 
-PARSED = StructType().add("lines", ArrayType(StringType())).add("marked", BooleanType())
+PARSED = StructType().add("packed", BinaryType()).add("hashes", ArrayType(LongType())).add("marked", BooleanType())
+
+
+def _line_hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 @F.pandas_udf(PARSED)
 def _parsed(pages: pd.Series) -> pd.DataFrame:
+    """The lines of each page, packed because they are stored and shuffled, and their hashes."""
     found = [page_lines(page) for page in pages]
-    return pd.DataFrame({"lines": [lines for lines, _ in found], "marked": [marked for _, marked in found]})
+    return pd.DataFrame({
+        "packed": [zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass")) for lines, _ in found],
+        "hashes": [[_line_hash(line) for line in lines] for lines, _ in found],
+        "marked": [marked for _, marked in found],
+    })
+
+
+@F.pandas_udf(StringType())
+def _kept_text(packed: pd.Series, deleted: pd.Series) -> pd.Series:
+    def text(lines: bytes, gone) -> str:
+        whole = zlib.decompress(lines).decode("utf-8", "surrogatepass")
+        if gone is None or not len(gone):
+            return whole
+        without = set(gone)
+        return "\n".join(line for i, line in enumerate(whole.split("\n")) if i not in without)
+
+    return pd.Series([text(*pair) for pair in zip(packed, deleted, strict=True)], dtype=object)
+
+
+FOUND = "uid long, deleted array<int>, marked boolean, part int, run int, host string, hashes array<long>"
+JUDGED = "part int, run int, marked boolean, deleted array<int>"
+# Runs at either end of a partition that may have neighbours in another one, and with them those that these may need.
+OPEN, END = 2, 4
+
 
+@dataclass
+class _Run:
+    """Adjacent pages of a host with equal lines."""
 
-NEIGHBOUR = "uid long, deleted array<int>, part int, side int, host string, marked boolean, hashes array<long>"
+    host: str
+    hashes: list[int]
+    number: int
+    pages: list[tuple[int, bool]] = field(default_factory=list)
+
+
+def _witnesses(runs: list[_Run], run: _Run) -> list[list[int]]:
+    """Lines of the nearest runs of the host: one on each side, or two on one side. Equal ones count once."""
+    at = next(i for i, r in enumerate(runs) if r is run)
+    get = lambda i: runs[i].hashes if 0 <= i < len(runs) and runs[i].host == run.host else None
+    before, after = get(at - 1), get(at + 1)
+    if before is None:
+        before = get(at + 2)
+    elif after is None:
+        after = get(at - 2)
+    found = [lines for lines in (before, after) if lines is not None and lines != run.hashes]
+    return found[:1] if len(found) == 2 and found[0] == found[1] else found
 
 
 def _within_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted pages in, what each pair of neighbours deletes out; then the two pages at the ends."""
-    before = first = None
+    """Sorted pages in, what is deleted of each out.
 
-    def rows(found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(found, columns=["uid", "deleted", "part", "side", "host", "marked", "hashes"])
+    Pages of the runs at either end get their number only; these runs and the next ones come out as rows without a page.
+    """
+    runs: list[_Run] = []
+    out: list[tuple] = []
+    part = 0
 
-    def end(page, side: int) -> tuple:
-        return page.uid, None, page.part, side, page.host, page.marked, page.hashes
+    def as_row(run: _Run) -> tuple:
+        return None, None, None, part, run.number, run.host, run.hashes
 
-    for batch in batches:
-        out: list[tuple] = []
-        for page in batch.itertuples(index=False):
-            if before is None:
-                first = page
-            elif before.host == page.host:
-                for one, other in ((before, page), (page, before)):
-                    if not one.marked:
-                        out.append((one.uid, template_lines(list(one.hashes), list(other.hashes)), None, None, None, None, None))
-            before = page
-        yield rows(out)
-    if before is not None:
-        yield rows([end(first, 0), end(before, 1)])
+    def undecided(run: _Run) -> list[tuple]:
+        return [(uid, None, marked, part, run.number, None, None) for uid, marked in run.pages]
+
+    def decided(run: _Run) -> list[tuple]:
+        others = _witnesses(runs, run)
+        deleted = {marked: template_lines(run.hashes, others, marked) for marked in {marked for _, marked in run.pages}}
+        return [(uid, deleted[marked], None, None, None, None, None) for uid, marked in run.pages]
 
+    def frame() -> pd.DataFrame:
+        rows = pd.DataFrame(out, columns=["uid", "deleted", "marked", "part", "run", "host", "hashes"]).astype(
+            {"uid": "Int64", "part": "Int32", "run": "Int32", "marked": "boolean"})
+        out.clear()
+        return rows
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _across(own: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([template_lines(list(a), list(b)) for a, b in zip(own, other, strict=True)], dtype=object)
+    for batch in batches:
+        for page in batch.itertuples(index=False):
+            part, hashes = page.part, list(page.hashes)
+            if not runs or runs[-1].host != page.host or runs[-1].hashes != hashes:
+                runs.append(_Run(page.host, hashes, runs[-1].number + 1 if runs else 0))
+                if runs[-1].number < END:
+                    out.append(as_row(runs[-1]))
+                if len(runs) > OPEN:
+                    ready = runs[-1 - OPEN]
+                    out += undecided(ready) if ready.number < OPEN else decided(ready)
+                    ready.pages = []
+                del runs[:-END]
+            runs[-1].pages.append((page.uid, page.marked))
+        yield frame()
+    out += [row for run in runs[-OPEN:] for row in undecided(run)]
+    out += [as_row(run) for run in runs if run.number >= END]
+    yield frame()
+
+
+def _at_the_ends(rows: pd.DataFrame) -> pd.DataFrame:
+    """The runs at the ends of the partitions, of one host: what they delete."""
+    runs: list[_Run] = []
+    for row in rows.sort_values(["part", "run"]).itertuples(index=False):
+        hashes = list(row.hashes)
+        if not runs or runs[-1].hashes != hashes:
+            runs.append(_Run(row.host, hashes, len(runs)))
+        runs[-1].pages.append((row.part, row.run))
+    found = []
+    for run in runs:
+        others = _witnesses(runs, run)
+        for marked in (False, True):
+            deleted = template_lines(run.hashes, others, marked)
+            found += [(part, number, marked, deleted) for part, number in run.pages]
+    return pd.DataFrame(found, columns=["part", "run", "marked", "deleted"])
 
 
 def _deleted(parsed: DataFrame) -> DataFrame:
-    """``uid, deleted`` of every page without a mark that has a neighbour on its host."""
-    hashes = F.transform("lines", lambda line: F.xxhash64(line))
+    """``uid, deleted`` of every page that has lines to delete."""
     order = ["host", "path", "page_id", "uid"]
-    ordered = parsed.select(*order, "marked", hashes.alias("hashes")).repartitionByRange(*order).sortWithinPartitions(*order)
-    pairs = stored(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(_within_partition, NEIGHBOUR), "html-neighbours")
-    # Two rows for each partition: an end meets the nearest end of the next partition.
-    ends = Window.partitionBy().orderBy("part", "side")
-    met = pairs.where(F.col("part").isNotNull()).withColumn("other", F.when(
-        F.col("side") == 1, F.lead(F.struct("host", "hashes")).over(ends)
-    ).otherwise(F.lag(F.struct("host", "hashes")).over(ends)))
-    met = met.where(~F.col("marked") & (F.col("other.host") == F.col("host")))
-    across = met.select("uid", _across("hashes", F.col("other.hashes")).alias("deleted"))
-    both = pairs.where(F.col("part").isNull()).select("uid", "deleted").unionByName(across)
-    return both.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("deleted"))).alias("deleted"))
+    ordered = parsed.where(F.size("hashes") > 0).select(*order, "marked", "hashes").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stored(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(_within_partition, FOUND), "html-neighbours")
+    # A few rows for each partition.
+    judged = found.where(F.col("uid").isNull()).select("part", "run", "host", "hashes").groupBy("host").applyInPandas(_at_the_ends, JUDGED)
+    ends = found.where(F.col("uid").isNotNull() & F.col("part").isNotNull()).select("uid", "part", "run", "marked")
+    across = ends.join(F.broadcast(judged.where(F.size("deleted") > 0)), ["part", "run", "marked"]).select("uid", "deleted")
+    return found.where(F.size("deleted") > 0).select("uid", "deleted").unionByName(across)
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -281,14 +369,10 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
         F.lower(F.regexp_extract(whole_url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"),
         F.regexp_extract(whole_url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
     ).select(
-        "page_id", "url", "host", "path", "found.lines", "found.marked", F.monotonically_increasing_id().alias("uid"),
+        "page_id", "url", "host", "path", "found.*", F.monotonically_increasing_id().alias("uid"),
     ), "html-lines")
-    certain = parsed.where("marked").select("page_id", "url", "lines", F.lit(0).alias("n_deleted"))
-    open_pages = parsed.where("not marked").join(_deleted(parsed), "uid", "left")
-    deleted = F.coalesce("deleted", F.array().cast("array<int>"))
-    kept = F.filter("lines", lambda line, i: ~F.array_contains(deleted, i))
-    judged = open_pages.select("page_id", "url", kept.alias("lines"), F.size(deleted).alias("n_deleted"))
-    text = F.array_join("lines", "\n")
-    return certain.unionByName(judged).select(
-        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.col("n_deleted").cast("long").alias("n_deleted"),
+    judged = parsed.select("page_id", "url", "packed", "uid").join(_deleted(parsed), "uid", "left")
+    n_deleted = F.when(F.col("deleted").isNull(), 0).otherwise(F.size("deleted")).cast("long")
+    return judged.select("page_id", "url", _kept_text("packed", "deleted").alias("text"), n_deleted.alias("n_deleted")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_deleted",
     )

@@ -65,6 +65,32 @@ def test_copies_and_marks_are_kept(spark):
     assert got == {1: "Same text\nin both", 2: "Same text\nin both", 3: "Quoted passage\nMine 1", 4: "Quoted passage\nMine 2"}
 
 
+def texts(spark, rows, partitions="8"):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        return {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_large_template_and_runs_of_copies(spark):
+    menu = "".join(f"<div>Menu {k}</div>" for k in range(30))
+    page = lambda i: menu + "".join(f"<p>Own {i} {k}" for k in range(4))
+    want = lambda i: "\n".join(f"Own {i} {k}" for k in range(4))
+    # Pages 5 to 24 are copies of one page, 30 and 31 of another.
+    which = [5 if 5 <= i < 25 else 30 if i == 31 else i for i in range(40)]
+    rows = [(i, f"http://big.x/{i:03}", page(w)) for i, w in enumerate(which)]
+    for partitions in ("1", "4", "13"):
+        assert texts(spark, rows, partitions) == {i: want(w) for i, w in enumerate(which)}
+    # A near copy alone does not delete the text of its neighbour.
+    near = ["".join(f"<p>Text {k if k != 3 else f'{k} of {i}'}" for k in range(20)) for i in range(2)]
+    rows = [(0, "http://n.x/0", near[0]), (1, "http://n.x/1", near[1]), (2, "http://n.x/2", "<p>Other")]
+    assert all(t.count("\n") == 19 for i, t in texts(spark, rows).items() if i < 2)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (None, "not a url", ""), (2, "http://a/1", "<p>x"), (2, "http://a/1", "<p>x"), (3, "http://a/", "<p>" + "é " * 50_000)]
     schema = "page_id long, url string, html string"
