@@ -14,8 +14,9 @@
    has nearly all lines of the other may be a near copy or share a large template, so what it
    shares goes only if the second page shares it too.
 
-Lines inside a mark are not deleted even if a neighbour has them: copies and quoted
-passages are text. A page whose host has no other than copies keeps its lines. Only hashes of lines move in steps 2 and 3.
+A mark is a guard: a line inside it goes only if both pages share it, and neither of them has
+nearly all lines of the mark, for near copies and quoted passages are text. A page whose host has
+no other than copies keeps its lines. Only hashes of lines move in steps 2 and 3.
 
 Defined cases: a null or empty page has empty text; a null URL has an empty host and
 path; repeated rows and equal URLs are neighbours of each other, and copies as above;
@@ -81,14 +82,47 @@ def _is_noise(tag: str, attributes: str) -> bool:
     return bool(named) and not NOISE.isdisjoint(PARTS.split(named))
 
 
+def _with_end(text: str) -> set[int]:
+    """Where the opening tags stand that have an end tag of their own."""
+    opened: dict[str, list[int]] = {}
+    found: set[int] = set()
+    at = 0
+    while (token := TOKEN.search(text, at)) is not None:
+        at = token.end()
+        tag = (token["tag"] or "").lower()
+        if not tag:
+            continue
+        if token["end"]:
+            if opened.get(tag):
+                found.add(opened[tag].pop())
+        elif tag in RAW:
+            ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(text, at)
+            at = ended.end() if ended else len(text)
+        else:
+            opened.setdefault(tag, []).append(token.start())
+    return found
+
+
 def page_lines(page: str | None) -> tuple[list[str], bool]:
-    """The lines of a page and whether they stand inside a mark of the main text."""
-    text = page or ""
+    """The lines of a page and whether they stand inside a mark of the main text.
+
+    An ``article`` inside a sidebar or comments that have an end is theirs, unless the page has no other line.
+    """
+    lines, marked, passed = _lines_of(page or "", False)
+    if passed and not lines:
+        lines, marked, _ = _lines_of(page or "", True)
+    return lines, marked
+
+
+def _lines_of(text: str, reopen: bool) -> tuple[list[str], bool, bool]:
+    """Lines, whether they are marked, and whether a mark was passed over."""
     lines: list[tuple[str, bool]] = []
     held: list[str] = []
-    # Open elements: name, and whether it is left out; how many of them are left out, and are marks.
-    opened: list[tuple[str, bool]] = []
+    # Open elements: name, whether it is left out, and where it stands; how many of them are left out, and are marks.
+    opened: list[tuple[str, bool, int]] = []
     dropped = marks = 0
+    with_end: set[int] | None = None
+    passed = False
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(held)).split())
@@ -99,7 +133,7 @@ def page_lines(page: str | None) -> tuple[list[str], bool]:
     def close_to(depth: int) -> None:
         nonlocal dropped, marks
         while len(opened) > depth:
-            tag, noise = opened.pop()
+            tag, noise, _ = opened.pop()
             dropped -= noise
             marks -= tag in MARKS
 
@@ -152,20 +186,25 @@ def page_lines(page: str | None) -> tuple[list[str], bool]:
             if depth >= 0:
                 close_to(depth)
         if tag in MARKS and not noise:
-            seen_mark = True
             # The main text is not part of a menu or footer that was left open.
-            outer = next((d for d, (_, left_out) in enumerate(opened) if left_out), -1)
+            outer = next((d for d, (_, left_out, _) in enumerate(opened) if left_out), -1)
             if outer >= 0 and not marks:
-                close_to(outer)
+                if with_end is None:
+                    with_end = _with_end(text)
+                if tag == "main" or reopen or not any(left_out and start in with_end for _, left_out, start in opened):
+                    close_to(outer)
+                else:
+                    noise = passed = True
+            seen_mark = seen_mark or not noise
         if tag == "header" and not marks:
             noise = True
-        opened.append((tag, noise))
+        opened.append((tag, noise, token.start()))
         dropped += noise
         marks += tag in MARKS
     flush()
     if seen_mark and any(inside for _, inside in lines):
-        return [line for line, inside in lines if inside], True
-    return [line for line, _ in lines], False
+        return [line for line, inside in lines if inside], True, passed
+    return [line for line, _ in lines], False, passed
 
 
 def _lengths(own: list[int], other: list[int]) -> np.ndarray:
@@ -224,7 +263,7 @@ def template_lines(own: list[int], others: list[list[int]], marked: bool) -> lis
         return [] if marked or len(s) in (len(own), len(others[0])) else sorted(s)
     both = shared[0] & shared[1]
     if marked:
-        return []
+        return [] if any(near_copy) else sorted(both)
     return sorted(set().union(*(both if near else s for s, near in zip(shared, near_copy, strict=True))))
 
 

@@ -91,6 +91,22 @@ def test_large_template_and_runs_of_copies(spark):
     assert all(t.count("\n") == 19 for i, t in texts(spark, rows).items() if i < 2)
 
 
+def test_template_lines_inside_marks(spark):
+    marked = lambda i: f"<article><p>Own {i} a<p>Own {i} b<p>Tell your friends<p>Own {i} c</article>"
+    rows = [(i, f"http://m.x/{i:02}", marked(i // 2)) for i in range(30)]  # each page twice
+    for partitions in ("1", "7"):
+        assert texts(spark, rows, partitions) == {i: f"Own {i // 2} a\nOwn {i // 2} b\nOwn {i // 2} c" for i in range(30)}
+
+
+def test_article_inside_comments():
+    page = "<p>x</p><article><p>Text</article><{0}><article>Reply</article></{1}><aside><article>Teaser</article></aside>"
+    assert page_lines(page.format("div class=comments", "div")) == (["Text"], True)
+    assert page_lines(page.format("aside", "aside")) == (["Text"], True)
+    assert page_lines("<aside><article>Teaser</article></aside><p>Text") == (["Text"], False)
+    assert page_lines("<div class=has-sidebar><article>Text</article></div>") == (["Text"], True)
+    assert page_lines("<p>Hi<div class=has-sidebar><main>Text</main></div>") == (["Text"], True)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (None, "not a url", ""), (2, "http://a/1", "<p>x"), (2, "http://a/1", "<p>x"), (3, "http://a/", "<p>" + "é " * 50_000)]
     schema = "page_id long, url string, html string"
