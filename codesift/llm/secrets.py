@@ -9,8 +9,9 @@ letter. Its class is the smallest of ``CLASSES`` that holds all its characters,
 says how wide the window is and how many bits per character make it suspicious. The
 window moves one character at a time; the counts of its characters and the sum of
 ``c * log2(c)`` over them are kept up to date by the character that enters and the one
-that leaves. A candidate that matches an entry of the allow-list adds no span; the
-spans of the three patterns are never suppressed.
+that leaves. A candidate that is a UUID, or of which every window overlaps a harmless string, adds
+no span; a longer one that only holds such a string is judged. The spans of the three patterns
+are never suppressed.
 
 Defined cases: a null or empty text has no span; repeated rows are scanned each on
 their own; rows with equal ids stay apart; columns of the input other than the id and the text
@@ -53,12 +54,22 @@ CLASSES = (
     CharClass("alphanumeric", "^[0-9A-Za-z]+$", 20, 3.7),
     CharClass("base64", "^[0-9A-Za-z+/_=-]+$", 20, 3.8),
 )
-# Known harmless strings: UUIDs, marked examples, runs of one character, alphabets and counting.
+# Known harmless strings: marked examples, alphabets and counting, runs of one character.
+HARMLESS = r"(?:(?i:example|placeholder|changeme|dummy|abcdefghij|01234567890?+|1234567890)|(.)\%d{7}%s)"
+
+
+def _covered(harmless: str, window: int) -> str:
+    """A value in which every window overlaps a harmless string: no stretch as long as a window
+    follows the beginning or such a string without another one in it."""
+    # Of a run of one character only its last eight are followed: matching it whole from each place is quadratic.
+    one, two, three = (harmless % (group, r"(?!\1)" if group == 1 else "") for group in (1, 2, 3))
+    return f"^(?!.*?(?:^|{one})(?:(?!{two}).){{{window}}}).*{three}"
+
+
+# Candidates that are a UUID, or that harmless strings leave no window of.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|dummy",
-    r"(.)\1{7}",
-    r"(?i)0123456789|1234567890|abcdefghij",
+    _covered(HARMLESS, min(c.window for c in CLASSES)),
 )
 
 

@@ -59,6 +59,30 @@ def test_spans_equal_plain_search(spark):
         assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
 
 
+SSH_KEY = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW"
+SECRET = "aB3dE6gH9jK2mN5pQ8sT"
+
+
+def test_secrets_that_hold_a_harmless_string(spark):
+    found = [SSH_KEY, SSH_KEY + "QyNTUxOQAAACBq7vX2mZk9Lw" * 20, SECRET + "example", "example" + SECRET, SECRET + "0123456789", "b" * 9 + SECRET, "x" * 30 + SECRET]
+    passed = [
+        "EXAMPLEkey0123xyzuvw88q", "0123456789abcdefghij", "01234567890" + SECRET[:19], "b" * 9 + SECRET[:19], "placeholder" + SECRET[:19],
+        SECRET[:19] + "dummy" + SECRET[:19], "123e4567-e89b-12d3-a456-426614174000",
+    ]
+    texts = [f"see {value} end" for value in found + passed]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.n_entropy for r in secrets.secret_report(docs).collect()}
+    assert [spans[i] for i in range(len(texts))] == [1] * len(found) + [0] * len(passed)
+    clean = secrets.without_secrets(docs).orderBy("doc_id").collect()
+    assert [r.text for r in clean[:len(found)]] == ["see [SECRET] end"] * len(found)
+
+
+def test_long_values_with_harmless_strings(spark):
+    for value in ("a" * 200_000 + "1", ("abcdefghij" + "Q7" * 5) * 10_000, "dummy1" * 30_000):
+        (row,) = secrets.secret_report(spark.createDataFrame([(1, value)], "doc_id long, text string")).collect()
+        assert row.n_entropy == 0
+
+
 def test_odd_rows(spark):
     rows = secrets.secret_report(clashing(documents(spark))).collect()
     assert len(rows) == 11 and all(r.spans == "" for r in rows)
