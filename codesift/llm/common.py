@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +47,17 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     target = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(target)
     return spark.read.schema(rows.schema).parquet(target)
+
+
+def portions(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` some at a time, each time about ``size`` bytes of the binary column
+    ``text`` or one longer row, so that a task's memory does not follow the size of a batch."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy()
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
