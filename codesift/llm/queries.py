@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesift.llm import html_text, language, mixing, neighbours, pieces, quality_model, quality_rules, runs, secrets, simhash, substrings, url_filter
+from codesift.llm import html_text, language, mixing, neighbours, phrases, pieces, quality_model, quality_rules, runs, secrets, simhash, substrings, url_filter
 from codesift.llm.common import read
 
 
@@ -48,6 +48,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_report(read(spark, sf_dir, "documents"))
 
@@ -67,8 +71,14 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 # The others train models, hash or draw, which SQL does not express; tests compare them with plain versions.
-ORACLE = {"op5_url_filter": url_filter.ORACLE_SQL, "op6_quality_rules": quality_rules.oracle_sql(), "op12_substring_dedup": substrings.ORACLE_SQL}
+ORACLE = {
+    "op5_url_filter": url_filter.ORACLE_SQL,
+    "op6_quality_rules": quality_rules.oracle_sql(),
+    "op11_phrase_mining": phrases.ORACLE_SQL,
+    "op12_substring_dedup": substrings.ORACLE_SQL,
+}
