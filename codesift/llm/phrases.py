@@ -5,8 +5,8 @@ phrases outside it whose parts are all inside. If a phrase of the border is freq
 it: it joins the set, and a further pass counts what the border gained. When a border holds
 nothing frequent, all frequent phrases are in the set.
 
-The set may be large, so tasks get it as a bitmap of hashes of ``2 ** bits`` places, 16 MB as set. A place
-that two phrases share makes a task count a phrase too many, never too few, and passes agree on it. Phrases of
+The set may be large, so tasks get it as a bitmap of hashes with ``SPARSE`` places for each phrase, up to
+``2 ** BITS``, which are 16 MB. A place that two phrases share makes a task count a phrase too many, never too few. Phrases of
 the set are counted by their words. Phrases of the border are counted by a hash of 64 bits: such a count can
 only be too high, and a phrase that seems frequent by it is counted by its words in the next pass. The
 driver sees the places of a bitmap only. The sample is mined by the same passes from an empty set, with a
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -38,6 +39,8 @@ LONGEST = 5
 TOP = 2000
 SAMPLE = 10
 BITS = 27
+FEWEST_BITS = 16
+SPARSE = 64
 PORTION = 8 << 20
 GROUPS = 64
 # Letters fall to lower case, stops and line ends part pieces, tabs are blanks.
@@ -55,22 +58,25 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 class PhraseSet:
     """A set of phrases as a bitmap of their hashes; it may hold more than was put in."""
 
-    def __init__(self, bits: int, places: np.ndarray | None = None):
+    def __init__(self, bits: int, places: np.ndarray):
         self.bits = bits
-        self.places = np.zeros(max(1, 1 << bits - 6), np.uint64) if places is None else places
+        self.places = places
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         place = hashes >> np.uint64(64 - self.bits)
         return (self.places[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    def plus(self, phrases: DataFrame) -> PhraseSet:
-        """With the phrases of ``hash`` added; at most one row for each 64 places comes to the driver."""
-        place = F.shiftrightunsigned("hash", 64 - self.bits)
-        words = phrases.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - self.bits}) & 63 as int))").alias("bit"))
-        found = words.groupBy("at").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()
-        places = self.places.copy()
-        places[found.column("at").to_numpy()] |= found.column("bit").to_numpy().view(np.uint64)
-        return PhraseSet(self.bits, places)
+    @staticmethod
+    def of(phrases: DataFrame | None, most_bits: int) -> PhraseSet:
+        """The phrases of a column ``hash``; at most one row for each 64 places comes to the driver."""
+        bits = min(most_bits, max(FEWEST_BITS, (SPARSE * (phrases.count() if phrases else 0)).bit_length()))
+        places = np.zeros(1 << bits - 6, np.uint64)
+        if phrases:
+            place = F.shiftrightunsigned("hash", 64 - bits)
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+            found = phrases.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bit")).toArrow()
+            places[found.column("at").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+        return PhraseSet(bits, places)
 
 
 class _Words:
@@ -158,21 +164,31 @@ def _counting(old, new, longest: int, names: bool) -> Callable[[Iterator[pa.Reco
     return count_phrases
 
 
-def _closed(texts: DataFrame, start: PhraseSet, least: float, longest: int, names: bool) -> tuple[PhraseSet, list[DataFrame]]:
-    """Passes until no phrase of the border comes ``least`` times; the set, and what each pass counted by words."""
-    spark = texts.sparkSession
-    old, new, tables = None, start, []
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _closed(
+    texts: DataFrame, proposed: DataFrame | None, least: float, longest: int, bits: int, names: bool,
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Passes until no phrase of the border comes ``least`` times: hashes of all that do, and what each
+    pass counted by words."""
+    context = texts.sparkSession.sparkContext
+    known, tables = [proposed] if proposed else [], []
+    old, new = None, PhraseSet.of(proposed, bits)
     while True:
-        sent = [s and spark.sparkContext.broadcast(s) for s in (old, new)]
+        sent = [s and context.broadcast(s) for s in (old, new)]
         counted = texts.mapInArrow(_counting(*sent, longest, names), COUNTED)
         counted = counted.groupBy("hash", "lang", "phrase").agg(F.sum("n").alias("n"))
         total = F.col("lang").isNotNull() & F.col("phrase").isNull()
         counted = stored(counted.where((F.col("n") >= least) | total), "phrase-counts")
+        for s in filter(None, sent):
+            s.destroy()
         tables.append(counted.where("lang IS NOT NULL").drop("hash"))
-        missed = counted.where("lang IS NULL")
-        if missed.isEmpty():
-            return new, tables
-        old, new = new, new.plus(missed)
+        known.append(counted.where("phrase IS NOT NULL OR lang IS NULL").select("hash"))
+        if counted.where("lang IS NULL").isEmpty():
+            return _union(known), tables
+        old, new = new, PhraseSet.of(_union(known), bits)
 
 
 def frequent_phrases(
@@ -184,19 +200,14 @@ def frequent_phrases(
 
     One document in ``sample`` proposes phrases; that changes the number of passes, not the result.
     """
-    spark = docs.sparkSession
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     # Copies are told apart by where they stand, so a large group of them is sampled like other documents.
     place = F.xxhash64("text", F.monotonically_increasing_id())
     proposing = stored(texts.where(F.pmod(place, F.lit(sample)) == 0), "phrase-sample")
-    proposed, _ = _closed(proposing, PhraseSet(bits), max(2, min_count / sample / 2), longest, names=False)
-    _, tables = _closed(texts, proposed, min_count, longest, names=True)
-    found = tables[0]
-    for table in tables[1:]:
-        found = found.unionByName(table)
-    return spark.createDataFrame([], found.schema).unionByName(found)
+    proposed, _ = _closed(proposing, None, max(2, min_count / sample / 2), longest, bits, names=False)
+    return _union(_closed(texts, proposed, min_count, longest, bits, names=True)[1])
 
 
 def collocations(
