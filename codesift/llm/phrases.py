@@ -2,8 +2,9 @@
 
 A sample of the documents proposes a set of phrases. A full pass counts the set and its negative border, the
 phrases outside it whose parts are all inside. If a phrase of the border is frequent, the sample missed
-it: it joins the set, and a further pass counts what the border gained. When a border holds
-nothing frequent, all frequent phrases are in the set.
+it: it joins the set, and a further pass counts what the border gained. This pass looks ahead: it also counts
+phrases whose parts are new to the border themselves, so that it meets all that can still be frequent, however long,
+and the border is closed behind it.
 
 The set may be large, so tasks get it as a bitmap of hashes with ``SPARSE`` places for each phrase, up to
 ``2 ** BITS``, which are 16 MB. A place that two phrases share makes a task count a phrase too many, never too few. Phrases of
@@ -41,12 +42,12 @@ SAMPLE = 10
 BITS = 27
 FEWEST_BITS = 16
 SPARSE = 64
-PORTION = 8 << 20
+PORTION = 6 << 20
+HELD = 3 << 20
 GROUPS = 64
 # Letters fall to lower case, stops and line ends part pieces, tabs are blanks.
 _LETTERS = bytes.maketrans(bytes(range(65, 91)) + b"\t", bytes(range(97, 123)) + b" ")
 _CLEANED = _LETTERS.translate(bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9))
-COUNTED = "hash long, lang string, phrase string, n long"
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -96,99 +97,115 @@ class _Words:
         return b" ".join([self.names[i] for i in self.at[place:place + length].tolist()])
 
 
-Rows = tuple[np.ndarray, list[bytes | None], np.ndarray]
-
-
-def _phrases(words: _Words, old: PhraseSet | None, new: PhraseSet, longest: int) -> Iterator[tuple[bool, Rows]]:
-    """Counts under the set ``new`` that were not made under ``old``: named phrases of the set, and its border."""
-    # Single words: they have no parts, so the first pass counts all.
-    counts = np.bincount(words.at, minlength=1)
-    held = new.holds(words.hashes)
-    held_before = old.holds(words.hashes) if old else np.zeros(len(held), bool)
-    held[0] = held_before[0] = False
-    which = np.flatnonzero(held & ~held_before)
-    yield True, (words.hashes[which], [words.names[i] for i in which], counts[which])
-    if old is None:
-        which = np.flatnonzero(~held[1:]) + 1
-        yield False, (words.hashes[which], [], counts[which])
-    # From here on by place: hash of the phrase that starts there, and whether it is in each set.
-    single = words.hashes[words.at]
-    hashes, inside, inside_before = single.copy(), held[words.at], held_before[words.at]
-    for length in range(2, longest + 1):
-        counted = inside[:-1] & inside[1:]
-        counted_before = inside_before[:-1] & inside_before[1:]
-        places = np.flatnonzero(counted)
-        if not len(places):
-            return
-        own = _mixed(hashes[places] * np.uint64(0x9E3779B97F4A7C15) + single[places + length - 1])
-        in_new = new.holds(own)
-        before = counted_before[places]
-        in_old = before & old.holds(own) if old else before
-        named = in_new & ~in_old
-        keys, at, n = np.unique(own[named], return_index=True, return_counts=True)
-        yield True, (keys, [words.phrase(p, length) for p in places[named][at].tolist()], n)
-        keys, n = np.unique(own[~in_new & ~before], return_counts=True)
-        yield False, (keys, [], n)
-        hashes = np.zeros(len(counted), np.uint64)
-        hashes[places] = own
-        inside, inside_before = np.zeros(len(counted), bool), np.zeros(len(counted), bool)
-        inside[places], inside_before[places] = in_new, in_old
-
-
-def _counting(old, new, longest: int, names: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``old`` and ``new`` are broadcasts of sets, ``old`` may be None."""
-    def rows(lang: str, named: bool, found: Rows) -> pa.RecordBatch:
-        hashes, phrases, n = found
-        none = pa.nulls(len(hashes), pa.string())
-        return pa.RecordBatch.from_arrays([
-            pa.array(hashes.view(np.int64)), pa.array([lang] * len(hashes), pa.string()) if named else none,
-            pa.array(phrases, pa.binary()).cast(pa.string()) if named else none, pa.array(n.astype(np.int64)),
-        ], ["hash", "lang", "phrase", "n"])
+class _Pass:
+    """What a pass over the documents counts.
+
+    ``known``: the set so far; ``fresh``: the phrases of it to count by words; ``old``: the set under which
+    phrases were counted before. With ``ahead`` a phrase whose parts are in the set, or never counted
+    themselves, is counted as well: that is all the border may still come to hold, so one pass closes it.
+    """
+
+    def __init__(self, known: PhraseSet, fresh: PhraseSet | None = None, old: PhraseSet | None = None, border: bool = True, ahead: bool = False):
+        self.known, self.fresh, self.old, self.border, self.ahead = known, fresh, old, border, ahead
+
+    def phrases(self, words: _Words, longest: int) -> Iterator[tuple[bool, np.ndarray, list[bytes], np.ndarray]]:
+        """Whether by words, hashes, phrases and counts, length by length."""
+        known, fresh, old = self.known, self.fresh, self.old
+        counts = np.bincount(words.at, minlength=1)
+        held = known.holds(words.hashes)
+        held_before = old.holds(words.hashes) if old else np.zeros(len(held), bool)
+        held[0] = held_before[0] = False
+        if fresh:
+            which = np.flatnonzero(held & fresh.holds(words.hashes))
+            yield True, words.hashes[which], [words.names[i] for i in which], counts[which]
+        if self.border and old is None:
+            # Single words have no parts: the first pass counts all.
+            which = np.flatnonzero(~held[1:]) + 1
+            yield False, words.hashes[which], [], counts[which]
+        # From here on by place: the hash of the phrase that starts there, and where longer ones may start.
+        single = words.hashes[words.at]
+        hashes, inside, inside_before = single, held[words.at], held_before[words.at]
+        for length in range(2, longest + 1):
+            places = np.flatnonzero(inside[:-1] & inside[1:])
+            if not len(places):
+                return
+            own = _mixed(hashes[places] * np.uint64(0x9E3779B97F4A7C15) + single[places + length - 1])
+            before = inside_before[places] & inside_before[places + 1]
+            holds = known.holds(own)
+            named = holds & fresh.holds(own) if fresh else np.zeros(len(own), bool)
+            if fresh:
+                keys, at, n = np.unique(own[named], return_index=True, return_counts=True)
+                yield True, keys, [words.phrase(p, length) for p in places[named][at].tolist()], n
+            if self.border:
+                keys, n = np.unique(own[~(named | before)], return_counts=True)
+                yield False, keys, [], n
+            size = len(inside) - 1
+            hashes, inside, inside_before = np.zeros(size, np.uint64), np.zeros(size, bool), np.zeros(size, bool)
+            hashes[places] = own
+            inside[places] = holds | ~before if self.ahead else holds
+            if old:
+                inside_before[places] = before & old.holds(own)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def _counting(sent, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``sent`` is the broadcast of a pass."""
+    def rows(hashes: np.ndarray, names: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), names, pa.array(n.astype(np.int64))], ["hash", "name", "n"])
 
     def count_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, now = old and old.value, new.value
+        work, border = sent.value, []
         for part in portions(batches, "text", PORTION):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
-                words = _Words(lang, texts)
-                for named, found in _phrases(words, before, now, longest):
-                    if len(found[0]) and (names or not named):
-                        yield rows(lang, named, found)
-                if names and before is None:
+                words, prefix = _Words(lang, texts), lang.encode() + b"\n"
+                for by_words, hashes, phrases, n in work.phrases(words, longest):
+                    if by_words:
+                        yield rows(hashes, pa.array([prefix + p for p in phrases], pa.binary()).cast(pa.string()), n)
+                    else:
+                        border.append((hashes, n))
+                if work.fresh and work.old is None and work.border:
                     # A row without a phrase holds the number of all words.
-                    total = np.array([np.count_nonzero(words.at)])
-                    yield rows(lang, True, (np.zeros(1, np.uint64), [None], total))
+                    yield rows(np.zeros(1, np.uint64), pa.array([lang + "\n"]), np.array([np.count_nonzero(words.at)]))
+            if sum(len(n) for _, n in border) > HELD:
+                border = [_summed(border)]
+                if len(border[0][1]) > HELD // 2:
+                    yield rows(border[0][0], pa.nulls(len(border[0][1]), pa.string()), border[0][1])
+                    border = []
+        if border:
+            hashes, n = _summed(border)
+            yield rows(hashes, pa.nulls(len(n), pa.string()), n)
 
     return count_phrases
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+def _counted(texts: DataFrame, work: _Pass, least: float, longest: int) -> DataFrame:
+    """``hash, name, n`` of what comes ``least`` times; ``name`` is null for the border, and the language
+    and a line end for the number of words."""
+    sent = texts.sparkSession.sparkContext.broadcast(work)
+    found = texts.mapInArrow(_counting(sent, longest), "hash long, name string, n long").groupBy("hash", "name").agg(F.sum("n").alias("n"))
+    found = stored(found.where((F.col("n") >= least) | F.col("name").endswith("\n")), "phrase-counts")
+    sent.destroy()
+    return found
 
 
-def _closed(
-    texts: DataFrame, proposed: DataFrame | None, least: float, longest: int, bits: int, names: bool,
-) -> tuple[DataFrame, list[DataFrame]]:
-    """Passes until no phrase of the border comes ``least`` times: hashes of all that do, and what each
-    pass counted by words."""
-    context = texts.sparkSession.sparkContext
-    known, tables = [proposed] if proposed else [], []
-    old, new = None, PhraseSet.of(proposed, bits)
+def _proposed(texts: DataFrame, least: float, longest: int, bits: int) -> DataFrame:
+    """Hashes of the phrases that come ``least`` times in a sample, length by length from an empty set."""
+    known, old, new = [], None, PhraseSet.of(None, bits)
     while True:
-        sent = [s and context.broadcast(s) for s in (old, new)]
-        counted = texts.mapInArrow(_counting(*sent, longest, names), COUNTED)
-        counted = counted.groupBy("hash", "lang", "phrase").agg(F.sum("n").alias("n"))
-        total = F.col("lang").isNotNull() & F.col("phrase").isNull()
-        counted = stored(counted.where((F.col("n") >= least) | total), "phrase-counts")
-        for s in filter(None, sent):
-            s.destroy()
-        tables.append(counted.where("lang IS NOT NULL").drop("hash"))
-        known.append(counted.where("phrase IS NOT NULL OR lang IS NULL").select("hash"))
-        if counted.where("lang IS NULL").isEmpty():
-            return _union(known), tables
-        old, new = new, PhraseSet.of(_union(known), bits)
+        known.append(_counted(texts, _Pass(new, old=old), least, longest).select("hash"))
+        if known[-1].isEmpty():
+            return reduce(DataFrame.unionByName, known)
+        old, new = new, PhraseSet.of(reduce(DataFrame.unionByName, known), bits)
 
 
 def frequent_phrases(
@@ -196,9 +213,9 @@ def frequent_phrases(
     text: str = "text", lang: str = "lang",
 ) -> DataFrame:
     """``lang, phrase, n``: all phrases of up to ``longest`` words that come ``min_count`` times in their
-    language, with exact counts, and for each language a row without a phrase, the number of its words.
+    language, with exact counts, and for each language a row with an empty phrase, the number of its words.
 
-    One document in ``sample`` proposes phrases; that changes the number of passes, not the result.
+    One document in ``sample`` proposes phrases; that changes the work of the passes, not the result.
     """
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
@@ -206,8 +223,21 @@ def frequent_phrases(
     # Copies are told apart by where they stand, so a large group of them is sampled like other documents.
     place = F.xxhash64("text", F.monotonically_increasing_id())
     proposing = stored(texts.where(F.pmod(place, F.lit(sample)) == 0), "phrase-sample")
-    proposed, _ = _closed(proposing, None, max(2, min_count / sample / 2), longest, bits, names=False)
-    return _union(_closed(texts, proposed, min_count, longest, bits, names=True)[1])
+    known = _proposed(proposing, max(2, min_count / sample / 2), longest, bits)
+    first = old = PhraseSet.of(known, bits)
+    found = _counted(texts, _Pass(first, fresh=first), min_count, longest)
+    tables, ahead = [found], True
+    while not (missed := found.where("name IS NULL").select("hash")).isEmpty():
+        # What the border failed on joins the set and is counted by words. The second pass counts the border
+        # to its end, so the third, which names what the second found, has no border left.
+        known = known.unionByName(found.where("hash <> 0 OR name IS NULL").select("hash"))
+        work = _Pass(PhraseSet.of(known, bits), PhraseSet.of(missed, bits), old if ahead else None, border=ahead, ahead=ahead)
+        found = _counted(texts, work, min_count, longest)
+        tables.append(found)
+        ahead = False
+    named = reduce(DataFrame.unionByName, tables).where("name IS NOT NULL").select("name", "n").distinct()
+    phrase = F.substring_index("name", "\n", -1)
+    return named.select(F.left("name", F.length("name") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "n")
 
 
 def collocations(
@@ -216,8 +246,8 @@ def collocations(
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the best phrases of each language by their weakest cut."""
     found = frequent_phrases(docs, min_count, longest, sample, bits, text, lang)
-    totals = found.where("phrase IS NULL").select("lang", F.col("n").alias("total"))
-    known = found.where("phrase IS NOT NULL").withColumn("words", F.split("phrase", " "))
+    totals = found.where("phrase = ''").select("lang", F.col("n").alias("total"))
+    known = found.where("phrase <> ''").withColumn("words", F.split("phrase", " "))
     candidates = known.where(F.size("words") > 1)
     # A longer phrase that holds this one as often does so through those of one word more.
     size = F.size("words")

@@ -67,7 +67,7 @@ def test_equals_plain_counts(spark, sample, bits, least):
     named = {(r.lang, r.phrase): r.n for r in phrases.frequent_phrases(docs, least, sample=sample, bits=bits).collect()}
     found, total = counted(rows)
     assert named == {(lang, " ".join(p)): a for lang, f in found.items() for p, a in f.items() if a >= least} | {
-        (lang, None): total[lang] for lang in found}
+        (lang, ""): total[lang] for lang in found}
 
 
 def test_scores_beyond_64_bits(spark):
@@ -81,6 +81,7 @@ def test_scores_beyond_64_bits(spark):
 def test_bitmap_holds_what_was_added(spark):
     hashes = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     frame = spark.createDataFrame([(int(h),) for h in hashes.view(np.int64)], "hash long")
+    assert not phrases.PhraseSet.of(None, 27).holds(hashes).any()
     for most in (12, 27):
         found = phrases.PhraseSet.of(frame, most)
         assert found.holds(hashes).all() and found.bits == min(most, 19)
