@@ -42,8 +42,8 @@ SAMPLE = 10
 BITS = 27
 FEWEST_BITS = 16
 SPARSE = 64
-PORTION = 6 << 20
-HELD = 3 << 20
+PORTION = 4 << 20
+HELD = 2 << 20
 GROUPS = 64
 # Letters fall to lower case, stops and line ends part pieces, tabs are blanks.
 _LETTERS = bytes.maketrans(bytes(range(65, 91)) + b"\t", bytes(range(97, 123)) + b" ")
