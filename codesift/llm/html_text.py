@@ -14,9 +14,9 @@
    has nearly all lines of the other may be a near copy or share a large template, so what it
    shares goes only if the second page shares it too.
 
-A mark is a guard: a line inside it goes only if both pages share it, and neither of them has
-nearly all lines of the mark, for near copies and quoted passages are text. A page whose host has
-no other than copies keeps its lines. Only hashes of lines move in steps 2 and 3.
+A mark is a guard, for near copies and quoted passages are text: a line inside it goes only if the four nearest
+pages, two on each side unless the host ends there, share it at the same distance from the first or from the last
+line, and none of them has nearly all lines of the mark. A page whose host has no other than copies keeps its lines. Only hashes of lines move in steps 2 and 3.
 
 Defined cases: a null or empty page has empty text; a null URL has an empty host and
 path; repeated rows and equal URLs are neighbours of each other, and copies as above;
@@ -30,8 +30,10 @@ import hashlib
 import html
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -71,6 +73,7 @@ TOKEN = re.compile(
     r"|</?[A-Za-z][^>]*>", re.DOTALL)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 PARTS = re.compile(r"[^a-z]+")
+NO_TAG = re.compile(r"<(?=/?[A-Za-z])")
 
 
 def _is_noise(tag: str, attributes: str) -> bool:
@@ -118,11 +121,19 @@ def _lines_of(text: str, reopen: bool) -> tuple[list[str], bool, bool]:
     """Lines, whether they are marked, and whether a mark was passed over."""
     lines: list[tuple[str, bool]] = []
     held: list[str] = []
-    # Open elements: name, whether it is left out, and where it stands; how many of them are left out, and are marks.
+    # Open elements: name, whether it is left out, and where it stands; the depths of each name, and of those left out.
     opened: list[tuple[str, bool, int]] = []
-    dropped = marks = 0
+    depths: defaultdict[str, list[int]] = defaultdict(list)
+    left_out: list[int] = []
+    marks = 0
+    # Opening tags with an end tag, and how many of the elements left out are among them.
     with_end: set[int] | None = None
+    ended_out = 0
     passed = False
+    # No tag begins behind the last end of one; looking for its end again and again would take quadratic time.
+    last = text.rfind(">") + 1
+    if "<![CDATA[" not in text[last:]:
+        text = text[:last] + NO_TAG.sub("&lt;", text[last:])
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(held)).split())
@@ -131,37 +142,37 @@ def _lines_of(text: str, reopen: bool) -> tuple[list[str], bool, bool]:
         held.clear()
 
     def close_to(depth: int) -> None:
-        nonlocal dropped, marks
+        nonlocal ended_out, marks
         while len(opened) > depth:
-            tag, noise, _ = opened.pop()
-            dropped -= noise
+            tag, noise, start = opened.pop()
+            depths[tag].pop()
+            if noise:
+                left_out.pop()
+                ended_out -= with_end is not None and start in with_end
             marks -= tag in MARKS
 
     def last_open(tags: set[str], until: set[str]) -> int:
-        for depth in range(len(opened) - 1, -1, -1):
-            if opened[depth][0] in tags:
-                return depth
-            if opened[depth][0] in until:
-                break
-        return -1
+        deepest = lambda names: max((depths[n][-1] for n in names if depths.get(n)), default=-1)
+        depth = deepest(tags)
+        return depth if depth > deepest(until - tags) else -1
 
     at, seen_mark = 0, False
     while at < len(text):
         token = TOKEN.search(text, at)
         if token is None:
-            if not dropped:
+            if not left_out:
                 held.append(text[at:])
             break
-        if not dropped and token.start() > at:
+        if not left_out and token.start() > at:
             held.append(text[at:token.start()])
         at = token.end()
         tag = (token["tag"] or "").lower()
         if not tag:
-            if token["data"] and not dropped:
+            if token["data"] and not left_out:
                 held.append(html.escape(token["data"]))
             continue
         if token["end"]:
-            if tag not in INLINE and not dropped:
+            if tag not in INLINE and not left_out:
                 flush()
             depth = last_open({tag}, set())
             if depth >= 0 and tag not in VOID:
@@ -172,34 +183,37 @@ def _lines_of(text: str, reopen: bool) -> tuple[list[str], bool, bool]:
             # The content of these is not markup; it ends at the closing tag only.
             ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(text, at)
             at = ended.end() if ended else len(text)
-            if not dropped and tag not in INLINE:
+            if not left_out and tag not in INLINE:
                 flush()
             continue
         if tag in VOID:
-            if not dropped:
+            if not left_out:
                 held.append(" ") if tag in INLINE else flush()
             continue
         if tag not in INLINE:
-            if not dropped:
+            if not left_out:
                 flush()
             depth = last_open(ENDS.get(tag, {"p"}), {"ul", "ol", "table", "dl", "article", "main", "section", "div", "td"})
             if depth >= 0:
                 close_to(depth)
         if tag in MARKS and not noise:
             # The main text is not part of a menu or footer that was left open.
-            outer = next((d for d, (_, left_out, _) in enumerate(opened) if left_out), -1)
-            if outer >= 0 and not marks:
+            if left_out and not marks:
                 if with_end is None:
                     with_end = _with_end(text)
-                if tag == "main" or reopen or not any(left_out and start in with_end for _, left_out, start in opened):
-                    close_to(outer)
+                    ended_out = sum(opened[d][2] in with_end for d in left_out)
+                if tag == "main" or reopen or not ended_out:
+                    close_to(left_out[0])
                 else:
                     noise = passed = True
             seen_mark = seen_mark or not noise
         if tag == "header" and not marks:
             noise = True
+        depths[tag].append(len(opened))
+        if noise:
+            left_out.append(len(opened))
+            ended_out += with_end is not None and token.start() in with_end
         opened.append((tag, noise, token.start()))
-        dropped += noise
         marks += tag in MARKS
     flush()
     if seen_mark and any(inside for _, inside in lines):
@@ -251,19 +265,30 @@ def shared_lines(own: list[int], other: list[int]) -> list[int]:
     return sorted(found)
 
 
+def _at_one_place(own: list[int], other: list[int], place: int) -> bool:
+    """Does the other page have the line of ``place`` as far from its first or last line?"""
+    from_end = len(other) - len(own) + place
+    return place < len(other) and other[place] == own[place] or 0 <= from_end and other[from_end] == own[place]
+
+
 def template_lines(own: list[int], others: list[list[int]], marked: bool) -> list[int]:
-    """Places in ``own`` of lines that the nearest one or two pages show to be template text."""
-    shared = [set(shared_lines(own, other)) for other in others]
-    if not shared:
+    """Places in ``own`` of lines that the nearest pages show to be template text.
+
+    Two pages are asked, for lines inside a mark ``MARK_WITNESSES``, fewer only at the end of the host.
+    """
+    if not others or marked and len(others) < MARK_WITNESSES:
         return []
+    shared = [set(shared_lines(own, other)) for other in others]
     near_copy = [len(s) > COPY_SHARE * len(own) for s in shared]
+    if marked:
+        # Text may repeat, too: the line must stand in all of them at one place.
+        return [] if any(near_copy) else [
+            i for i in sorted(set.intersection(*shared)) if all(_at_one_place(own, other, i) for other in others)]
     if len(shared) == 1:
         # One page alone: if either has no own line, it says nothing about a template.
         (s,) = shared
-        return [] if marked or len(s) in (len(own), len(others[0])) else sorted(s)
+        return [] if len(s) in (len(own), len(others[0])) else sorted(s)
     both = shared[0] & shared[1]
-    if marked:
-        return [] if any(near_copy) else sorted(both)
     return sorted(set().union(*(both if near else s for s, near in zip(shared, near_copy, strict=True))))
 
 
@@ -297,94 +322,103 @@ def _kept_text(packed: pd.Series, deleted: pd.Series) -> pd.Series:
     return pd.Series([text(*pair) for pair in zip(packed, deleted, strict=True)], dtype=object)
 
 
-FOUND = "uid long, deleted array<int>, marked boolean, part int, run int, host string, hashes array<long>"
+# A page (``uid`` and more), what is deleted in a run, or a run at the end of a partition (``host, hashes``).
+FOUND = "part int, run int, uid long, marked boolean, deleted array<int>, host string, hashes array<long>"
 JUDGED = "part int, run int, marked boolean, deleted array<int>"
-# Runs at either end of a partition that may have neighbours in another one, and with them those that these may need.
-OPEN, END = 2, 4
+# Pages asked about lines inside a mark. Runs that near an end of a partition have neighbours in another one,
+# and END runs are needed there to judge them.
+MARK_WITNESSES = 4
+END = 2 * MARK_WITNESSES
 
 
 @dataclass
 class _Run:
-    """Adjacent pages of a host with equal lines."""
+    """Adjacent pages of a host with equal lines; ``kinds`` are the marks that its pages have."""
 
     host: str
     hashes: list[int]
     number: int
-    pages: list[tuple[int, bool]] = field(default_factory=list)
+    kinds: set[bool] = field(default_factory=set)
+
+
+def _witnesses(runs: list[_Run], at: int, marked: bool) -> list[list[int]]:
+    """Lines of the runs of the host that are nearest to the one at ``at``, from both sides in turn; equal ones count once."""
+    own, found = runs[at], []
+    before = [r.hashes for r in runs[max(0, at - MARK_WITNESSES):at][::-1] if r.host == own.host]
+    after = [r.hashes for r in runs[at + 1:at + 1 + MARK_WITNESSES] if r.host == own.host]
+    most = MARK_WITNESSES if marked else 2
+    for pair in zip_longest(before, after):
+        for lines in pair:
+            if lines is not None and lines != own.hashes and lines not in found and len(found) < most:
+                found.append(lines)
+    return found
 
 
-def _witnesses(runs: list[_Run], run: _Run) -> list[list[int]]:
-    """Lines of the nearest runs of the host: one on each side, or two on one side. Equal ones count once."""
-    at = next(i for i, r in enumerate(runs) if r is run)
-    get = lambda i: runs[i].hashes if 0 <= i < len(runs) and runs[i].host == run.host else None
-    before, after = get(at - 1), get(at + 1)
-    if before is None:
-        before = get(at + 2)
-    elif after is None:
-        after = get(at - 2)
-    found = [lines for lines in (before, after) if lines is not None and lines != run.hashes]
-    return found[:1] if len(found) == 2 and found[0] == found[1] else found
+def _deletions(runs: list[_Run], at: int) -> Iterator[tuple[bool, list[int]]]:
+    for marked in sorted(runs[at].kinds):
+        deleted = template_lines(runs[at].hashes, _witnesses(runs, at, marked), marked)
+        if deleted:
+            yield marked, deleted
 
 
 def _within_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted pages in, what is deleted of each out.
-
-    Pages of the runs at either end get their number only; these runs and the next ones come out as rows without a page.
-    """
+    """Sorted pages in; out come the run of each page, what goes in the runs inside the partition, and the runs at its ends."""
     runs: list[_Run] = []
     out: list[tuple] = []
     part = 0
 
-    def as_row(run: _Run) -> tuple:
-        return None, None, None, part, run.number, run.host, run.hashes
-
-    def undecided(run: _Run) -> list[tuple]:
-        return [(uid, None, marked, part, run.number, None, None) for uid, marked in run.pages]
-
-    def decided(run: _Run) -> list[tuple]:
-        others = _witnesses(runs, run)
-        deleted = {marked: template_lines(run.hashes, others, marked) for marked in {marked for _, marked in run.pages}}
-        return [(uid, deleted[marked], None, None, None, None, None) for uid, marked in run.pages]
-
     def frame() -> pd.DataFrame:
-        rows = pd.DataFrame(out, columns=["uid", "deleted", "marked", "part", "run", "host", "hashes"]).astype(
+        rows = pd.DataFrame(out, columns=["part", "run", "uid", "marked", "deleted", "host", "hashes"]).astype(
             {"uid": "Int64", "part": "Int32", "run": "Int32", "marked": "boolean"})
         out.clear()
         return rows
 
+    def as_rows(run: _Run) -> list[tuple]:
+        return [(part, run.number, None, marked, None, run.host, run.hashes) for marked in sorted(run.kinds)]
+
     for batch in batches:
         for page in batch.itertuples(index=False):
             part, hashes = page.part, list(page.hashes)
             if not runs or runs[-1].host != page.host or runs[-1].hashes != hashes:
+                at = len(runs) - 1 - MARK_WITNESSES
+                # The last run is complete, and with it the neighbours of one before.
+                if at >= 0 and runs[at].number >= MARK_WITNESSES:
+                    out += [(part, runs[at].number, None, marked, deleted, None, None) for marked, deleted in _deletions(runs, at)]
+                if runs and runs[-1].number < END:
+                    out += as_rows(runs[-1])
                 runs.append(_Run(page.host, hashes, runs[-1].number + 1 if runs else 0))
-                if runs[-1].number < END:
-                    out.append(as_row(runs[-1]))
-                if len(runs) > OPEN:
-                    ready = runs[-1 - OPEN]
-                    out += undecided(ready) if ready.number < OPEN else decided(ready)
-                    ready.pages = []
-                del runs[:-END]
-            runs[-1].pages.append((page.uid, page.marked))
+                del runs[:-1 - END]
+            runs[-1].kinds.add(page.marked)
+            out.append((part, runs[-1].number, page.uid, page.marked, None, None, None))
         yield frame()
-    out += [row for run in runs[-OPEN:] for row in undecided(run)]
-    out += [as_row(run) for run in runs if run.number >= END]
+    last = runs[-1].number if runs else -1
+    for at, run in enumerate(runs):
+        if last - MARK_WITNESSES == run.number >= MARK_WITNESSES:
+            out += [(part, run.number, None, marked, deleted, None, None) for marked, deleted in _deletions(runs, at)]
+        if run.number > last - END and (run.number >= END or run is runs[-1]):
+            out += as_rows(run)
     yield frame()
 
 
 def _at_the_ends(rows: pd.DataFrame) -> pd.DataFrame:
     """The runs at the ends of the partitions, of one host: what they delete."""
     runs: list[_Run] = []
+    own: list[list[tuple[int, int]]] = []
+    last: dict[int, int] = {}
     for row in rows.sort_values(["part", "run"]).itertuples(index=False):
         hashes = list(row.hashes)
         if not runs or runs[-1].hashes != hashes:
             runs.append(_Run(row.host, hashes, len(runs)))
-        runs[-1].pages.append((row.part, row.run))
+            own.append([])
+        runs[-1].kinds.add(row.marked)
+        if (row.part, row.run) not in own[-1][-1:]:
+            own[-1].append((row.part, row.run))
+        last[row.part] = row.last
     found = []
-    for run in runs:
-        others = _witnesses(runs, run)
-        for marked in (False, True):
-            deleted = template_lines(run.hashes, others, marked)
-            found += [(part, number, marked, deleted) for part, number in run.pages]
+    for at in range(len(runs)):
+        ends = [(part, run) for part, run in own[at] if run < MARK_WITNESSES or run > last[part] - MARK_WITNESSES]
+        if ends:
+            found += [(part, run, marked, deleted) for marked, deleted in _deletions(runs, at) for part, run in ends]
     return pd.DataFrame(found, columns=["part", "run", "marked", "deleted"])
 
 
@@ -393,11 +427,13 @@ def _deleted(parsed: DataFrame) -> DataFrame:
     order = ["host", "path", "page_id", "uid"]
     ordered = parsed.where(F.size("hashes") > 0).select(*order, "marked", "hashes").repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(_within_partition, FOUND), "html-neighbours")
-    # A few rows for each partition.
-    judged = found.where(F.col("uid").isNull()).select("part", "run", "host", "hashes").groupBy("host").applyInPandas(_at_the_ends, JUDGED)
-    ends = found.where(F.col("uid").isNotNull() & F.col("part").isNotNull()).select("uid", "part", "run", "marked")
-    across = ends.join(F.broadcast(judged.where(F.size("deleted") > 0)), ["part", "run", "marked"]).select("uid", "deleted")
-    return found.where(F.size("deleted") > 0).select("uid", "deleted").unionByName(across)
+    pages = found.where(F.col("uid").isNotNull()).select("part", "run", "marked", "uid")
+    # At most 4 * END rows for each partition.
+    ends = found.where(F.col("host").isNotNull()).select("part", "run", "marked", "host", "hashes")
+    last = pages.groupBy("part").agg(F.max("run").alias("last"))
+    judged = ends.join(last, "part").groupBy("host").applyInPandas(_at_the_ends, JUDGED)
+    inside = found.where(F.col("deleted").isNotNull()).select("part", "run", "marked", "deleted")
+    return pages.join(judged.unionByName(inside), ["part", "run", "marked"]).select("uid", "deleted")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 from codesift.llm import html_text
 from codesift.llm.html_text import page_lines, shared_lines
@@ -98,6 +99,45 @@ def test_template_lines_inside_marks(spark):
         assert texts(spark, rows, partitions) == {i: f"Own {i // 2} a\nOwn {i // 2} b\nOwn {i // 2} c" for i in range(30)}
 
 
+def test_repeated_sentences_inside_marks_stay(spark):
+    """A line that both neighbours hold is text, unless four pages have it at one place."""
+    body = [[f"Own {i} {k}" for k in range(3 + i % 4)] for i in range(20)]
+    for i in range(20):
+        body[i].insert(i * 7 % len(body[i]), "As everyone knows")
+    rows = [(i, f"http://t.x/{i:02}", "<article>" + "".join(f"<p>{line}" for line in body[i]) + "</article>") for i in range(20)]
+    for partitions in ("1", "7"):
+        assert texts(spark, rows, partitions) == {i: "\n".join(body[i]) for i in range(20)}
+    # Three pages are too few to tell.
+    few = [(i, f"http://f.x/{i}", f"<article><p>Mine {i}<p>Share<p>More {i}</article>") for i in range(4)]
+    assert all("Share" in t for t in texts(spark, few).values())
+
+
+def test_runs_of_copies_over_many_partitions(spark):
+    """Neighbours are found across partitions that hold one run only, for marked and unmarked pages alike."""
+    page = lambda i: f"<article><p>Title {i}<p>Ad<p>Own {i}</article>" if i % 2 else unmarked("s", i)
+    which = [i if i < 12 or i > 60 else 13 for i in range(75)]
+    rows = [(i, f"http://s.x/{i:03}", page(w)) for i, w in enumerate(which)]
+    want = texts(spark, rows, "1")
+    for partitions in ("9", "40"):
+        assert texts(spark, rows, partitions) == want
+
+
+def test_hostile_pages_take_linear_time():
+    def seconds(page):
+        start = time.perf_counter()
+        page_lines(page)
+        return time.perf_counter() - start
+
+    for make in (
+        lambda n: "<b>" * n + "</i>" * n, lambda n: "<aside>" + "<article>x" * n, lambda n: "<a " * n, lambda n: "<aside><article>x</article>" * n,
+        lambda n: "<li><ul>" + "<b>" * n + "<li></li>" * n, lambda n: "<a href=\"" * n, lambda n: "x<p" * n + "<!-- " * n,
+    ):
+        seconds(make(2000))
+        assert seconds(make(40_000)) < 4
+    assert page_lines("a <b c") == (["a <b c"], False) and page_lines("<p>x</p> 1 <2 and <a") == (["x", "1 <2 and <a"], False)
+    assert page_lines("<p>x<script>y</script") == (["x"], False) and page_lines("<p>x<!-- y <a") == (["x"], False)
+
+
 def test_article_inside_comments():
     page = "<p>x</p><article><p>Text</article><{0}><article>Reply</article></{1}><aside><article>Teaser</article></aside>"
     assert page_lines(page.format("div class=comments", "div")) == (["Text"], True)
@@ -117,7 +157,7 @@ def test_odd_rows(spark):
 
 
 def test_articles_of_the_given_pages(spark):
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.1"
     texts = {" ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text}
     rows = html_text.main_text(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     # A heading, then the text of a document.
