@@ -6,11 +6,11 @@ of one key become intervals of validity: each lasts until the next one begins. A
 judged by the interval that holds its time, of the longest key that has a verdict then;
 keys with a path go before domains.
 
-The as-of join is an equality join. Time is cut into buckets; for each key and
-bucket from its first entry on there is one row with the verdict at the start of the
-bucket and the intervals that begin in it, as an array in order of time. A capture meets
-the rows of its keys and its own bucket and picks the last interval begun; nothing is
-multiplied by the number of entries. Entries of one key and time are reduced before
+The as-of join is an equality join. Time is cut into buckets; for each key and each bucket
+with a change or a capture there is one row with the verdict at the start of the
+bucket, which is the last change in an earlier one, and the intervals that begin in it, as an array in order of time.
+A capture meets the rows of its keys and its own bucket and picks the last interval begun; nothing is
+multiplied by the number of entries or by the time between them. Entries of one key and time are reduced before
 anything else, so the array is bounded by the number of times at which a key changes in a bucket.
 Captures of one host are many rows of one join key; they only stream past, and
 Spark splits such partitions of a join.
@@ -18,7 +18,8 @@ Spark splits such partitions of a join.
 Defined cases: a null or unreadable URL has no key and a null time no bucket, so such
 captures are kept without a verdict; of entries for one key and time the strictest holds
 (block, then allow, then clear); entries with a null key, time or verdict are left out;
-repeated captures are judged each; an empty list keeps everything. Only the columns
+repeated captures are judged each; an empty list keeps everything;
+any number of seconds is a time, also one far from all others. Only the columns
 named are read.
 """
 
@@ -54,35 +55,25 @@ def keys_of(host: Column, segments: Column) -> Column:
     return F.when(F.coalesce(host, F.lit("")) != "", F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
 
 
-def validity(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``key, bucket, opening, begun`` from ``key, at, verdict``.
+def validity(entries: DataFrame, asked: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``key, bucket, opening, begun`` from ``key, at, verdict``, for the ``key, bucket`` that are asked for.
 
-    ``opening`` is the verdict at the start of the bucket and ``begun`` the changes within it.
+    ``opening`` is the verdict at the start of the bucket and ``begun`` the changes within it. Only buckets with
+    a change or a question have a row, so dates far apart cost nothing.
     """
     rank = F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), F.lower("verdict"))
     known = entries.select("key", F.col("at").cast("long").alias("at"), rank.alias("rank")).where(
         F.col("key").isNotNull() & F.col("at").isNotNull() & (F.col("rank") > 0))
     # The strictest entry of a key and time, reduced before the shuffle.
     reduced = known.groupBy("key", "at").agg(F.min("rank").alias("rank"))
-    change = F.struct("at", "rank")
-    buckets = reduced.groupBy("key", F.floor(F.col("at") / bucket).alias("bucket")).agg(
-        F.sort_array(F.collect_list(change)).alias("begun"))
-    # One row for each key and bucket with a change; what is valid lasts until the next such bucket.
-    by_key = Window.partitionBy("key").orderBy("bucket")
-    spans = buckets.withColumns({
-        "closing": F.element_at("begun", -1)["rank"],
-        "opening": F.lag(F.element_at("begun", -1)["rank"]).over(by_key),
-        "next": F.lead("bucket").over(by_key),
-    })
-    # The horizon is the last bucket with a change of any key; later captures are put into it.
-    last = buckets.agg(F.max("bucket").alias("last"))
-    filled = F.sequence(F.col("bucket"), F.greatest("bucket", F.coalesce(F.col("next") - 1, F.col("horizon"))))
-    rows = spans.withColumn("horizon", last.scalar()).withColumn("in_bucket", F.explode(filled))
-    own = F.col("in_bucket") == F.col("bucket")
-    return rows.select(
-        "key", F.col("in_bucket").alias("bucket"), F.when(own, F.col("opening")).otherwise(F.col("closing")).alias("opening"),
-        F.when(own, F.col("begun")).otherwise(F.slice("begun", 1, 0)).alias("begun"),
-    )
+    changes = reduced.select("key", F.floor(F.col("at") / bucket).alias("bucket"), F.struct("at", "rank").alias("change"))
+    questions = asked.select("key", "bucket").distinct().withColumn("change", F.lit(None).cast(changes.schema["change"].dataType))
+    # Nulls are not collected: a bucket that is only asked for has no changes.
+    buckets = changes.unionByName(questions).groupBy("key", "bucket").agg(F.sort_array(F.collect_list("change")).alias("begun"))
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    closing = F.try_element_at("begun", F.lit(-1))["rank"]
+    rows = buckets.select("key", "bucket", F.last(closing, ignorenulls=True).over(before).alias("opening"), "begun")
+    return rows.where(F.col("opening").isNotNull() | (F.size("begun") > 0))
 
 
 def url_filter(
@@ -98,16 +89,20 @@ def url_filter(
         F.col(at).cast("long").alias("time"), keys_of(host_of(F.col(url)), segments_of(F.col(url))).alias("keys"),
         F.monotonically_increasing_id().alias("uid"),
     )
-    valid = validity(entries, bucket)
-    horizon = valid.agg(F.max("bucket").alias("last")).scalar()
-    asked = rows.withColumn("key", F.explode_outer("keys")).withColumn(
-        "bucket", F.when(F.col("time").isNotNull(), F.least(F.floor(F.col("time") / bucket), horizon)))
+    # The columns to keep go with one of the keys only.
+    asked = rows.select("uid", "time", "row", F.posexplode_outer("keys").alias("place", "key")).select(
+        "uid", "time", "key", F.when(F.coalesce("place", F.lit(0)) == 0, F.col("row")).alias("row"),
+        F.floor(F.col("time") / bucket).alias("bucket"))
+    questions = captures.select(
+        F.explode(keys_of(host_of(F.col(url)), segments_of(F.col(url)))).alias("key"),
+        F.floor(F.col(at).cast("long") / bucket).alias("bucket")).where("bucket IS NOT NULL")
+    valid = validity(entries, questions, bucket)
     begun = F.filter("begun", lambda c: c["at"] <= F.col("time"))
     rank = F.coalesce(F.try_element_at(begun, F.lit(-1))["rank"], F.col("opening"))
     met = asked.join(valid, ["key", "bucket"], "left").withColumn("rank", rank)
     found = F.when(F.col("rank") < len(VERDICTS), F.struct(
         F.contains("key", F.lit("/")).alias("path"), F.length("key").alias("size"), F.col("key").alias("key"), F.col("rank").alias("rank")))
-    best = met.groupBy("uid").agg(F.first("row").alias("row"), F.max(found).alias("best"))
+    best = met.groupBy("uid").agg(F.first("row", ignorenulls=True).alias("row"), F.max(found).alias("best"))
     verdict = F.get(F.array(*[F.lit(v) for v in VERDICTS]), (F.col("best.rank") - 1).cast("int"))
     return best.select(
         *[F.col(f"row.{c}").alias(c) for c in keep], F.col("best.key").alias("matched_key"), verdict.alias("verdict"),

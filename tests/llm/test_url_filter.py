@@ -45,6 +45,19 @@ def test_as_of_join_equals_plain_walk(spark):
             assert (r.matched_key, r.verdict, r.kept) == plain(r.url, r["at"], entries), (r, bucket)
 
 
+def test_far_dates_cost_nothing(spark):
+    random_ = random.Random(8)
+    times = [-62_135_596_800, 0, 86_400, 253_402_300_799, 1_704_067_200_000, 2**55, 1_704_067_200]
+    urls = [f"http://h{k}.example/a/b" for k in range(40)]
+    entries = [(f"h{random_.randrange(40)}.example{random_.choice(['', '/a'])}", random_.choice(times), random_.choice(url_filter.VERDICTS)) for _ in range(100)]
+    captures = [(i, random_.choice(urls), random_.choice(times) + random_.choice([-1, 0, 1, 10**7])) for i in range(300)]
+    frames = spark.createDataFrame(captures, SCHEMA), spark.createDataFrame(entries, ENTRY)
+    for r in url_filter.url_filter(*frames, keep=("page_id", "url", "at")).collect():
+        assert (r.matched_key, r.verdict, r.kept) == plain(r.url, r["at"], entries), r
+    nothing = spark.createDataFrame([], "key string, bucket long")
+    assert url_filter.validity(frames[1], nothing).count() <= 100
+
+
 def test_odd_rows(spark):
     captures = spark.createDataFrame([(1, None, 5), (2, "http://a.b/c", None), (3, "http://a.b/" + "x/" * 500, 9), (3, "http://a.b/", 9)], SCHEMA)
     captures = captures.selectExpr("*", "'clash' AS key", "1 AS bucket", "2 AS rank", "3 AS uid")
