@@ -59,6 +59,28 @@ def test_unusual_make_up_is_refused(spark):
     assert all(kept[i] for i in range(40)) and not kept[100] and not kept[101]
 
 
+def test_both_histograms_decide(spark):
+    """A long list of rare words is refused by its words, prose and a short list are kept."""
+    letters = lambda n: "".join(chr(97 + n // 26 ** k % 26) for k in range(5))
+    common = "the of and to in a is that it for was on".split()
+    prose = [(i, " ".join(w for j in range(60) for w in (common[(i + j) % 12], letters(i * 997 + j * 31), letters(i + j * 7))), "en") for i in range(30)]
+    menu = lambda i, n: " | ".join(letters(i * 7919 + j * 13) for j in range(n))
+    lists = [(100 + i, menu(i, 300), ["en", None][i % 2]) for i in range(4)] + [(200, menu(9, 40), "en")]
+    got = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(prose + lists, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(30)) and got[200].kept and got[200].word_distance is None
+    for i in range(100, 104):
+        assert not got[i].kept and not got[i].base_failed
+        assert got[i].class_distance <= rules.Divergence().max_class < 1 and got[i].word_distance > rules.Divergence().max_word
+
+
+def test_given_documents_are_judged_by_their_words(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op6_quality_rules"](spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    far = [r for r in rows.join(labels, "doc_id", "left").where("word_distance > 0.30 AND NOT base_failed").collect()]
+    assert far and not any(r.quality == 1 or r.kept for r in far)
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_query_equals_sql(spark, tmp_path, odd):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
