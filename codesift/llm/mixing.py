@@ -20,7 +20,7 @@ levels grows with the logarithm of the input. Draws are hashes of ids, so reruns
 whatever the partitioning.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source of
-its own and stands last; repeated rows are documents of their own, told apart by a count
+its own and stands last; repeated rows and rows without an id are documents of their own, told apart by a count
 of equal rows; an empty table gives no rows; sources without words have target 0. Only
 the columns named are read, so other columns cannot clash.
 """
@@ -37,6 +37,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2.0
 BLOCK = 256
+SPLIT = 100_000
 # Fractions this near to 0 or 1 are taken as decided; sums of doubles end there.
 SETTLED = 1e-9
 
@@ -72,9 +73,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def _draw(a: Column, b: Column, salt: int) -> Column:
-    """A number from 0 to 1 that two documents share."""
-    return (F.xxhash64(a, b, F.lit(salt)).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
+def _draw(salt: int, *ids: Column) -> Column:
+    """A number from 0 to 1 that the documents of ``ids`` share."""
+    return (F.xxhash64(*ids, F.lit(salt)).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
 
 
 UNIT = "struct<size:bigint,uid:bigint,copy:bigint,p:double>"
@@ -107,7 +108,7 @@ def _fold(units: Column, level: int) -> Column:
     def meet(state: Column, unit: Column) -> Column:
         held = state["open"]
         up, down = room(held, unit), room(unit, held)
-        draw = _draw(held["uid"] * 31 + held["copy"], unit["uid"] * 31 + unit["copy"], level)
+        draw = _draw(level, held["uid"], held["copy"], unit["uid"], unit["copy"])
         result = F.when(draw * (up + down) < down, hand_over(held, unit, up)).otherwise(hand_over(unit, held, down))
 
         def after(met: Column) -> Column:
@@ -152,7 +153,7 @@ def _fold_last(units: Column) -> Column:
             have = F.greatest(zero, F.least(r["words"], state["scale"] * r["have"] + state["shift"] * r["words"]))
             need, give = (1.0 - r["p"]) * unit["size"], r["p"] * unit["size"]
             up, down = F.least(need, have), F.least(give, r["words"] - have)
-            goes_up = _draw(unit["uid"], unit["copy"], -3) * (up + down) < down
+            goes_up = _draw(-3, unit["uid"], unit["copy"]) * (up + down) < down
             # The rest keeps this part of its expected words, or of its room.
             keeps = F.when(goes_up, 1.0 - up / have).otherwise(1.0 - down / (r["words"] - have))
             fixed = (r["p"] < SETTLED) | (r["p"] > 1.0 - SETTLED) | (up + down <= 0)
@@ -192,7 +193,7 @@ def pivotal_rounding(units: DataFrame, block: int = BLOCK) -> DataFrame:
     with 1 add up to the sum of ``size * p``, give or take half of a small document.
     """
     empty = units.where(F.col("size") == 0).select(
-        "uid", "copy", (_draw(F.col("uid"), F.col("copy"), -2) < F.col("p")).cast("int").alias("extra"))
+        "uid", "copy", (_draw(-2, F.col("uid"), F.col("copy")) < F.col("p")).cast("int").alias("extra"))
     units = units.where(F.col("size") > 0).withColumn("magnitude", F.floor(F.log2("size")).cast("int"))
     groups = units.groupBy("source", "magnitude").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     widest = groups.agg(F.max("blocks")).first()[0] or 1
@@ -214,6 +215,26 @@ def pivotal_rounding(units: DataFrame, block: int = BLOCK) -> DataFrame:
     return chosen.unionByName(final.select(F.explode(_fold_last(F.col("units"))).alias("d")).select("d.*"))
 
 
+def _numbered(sizes: DataFrame, split: int = SPLIT) -> DataFrame:
+    """``doc_id, source, size`` with ``uid, copy``, which no two rows share.
+
+    Equal rows are counted before they are numbered, so an id that many rows have, or none, is numbered by its different sources
+    and sizes; what was counted together is made rows again, more than ``split`` of them in several tasks. Copies of
+    rows without an id count downwards, so that they differ from those of any id.
+    """
+    counted = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0)) + 1)
+    end = F.col("first") + F.col("rows") - 1
+    part = F.explode(F.sequence(F.col("first"), end, F.lit(split)))
+    many = counted.where(F.col("rows") > split).select("*", part.alias("at")).repartition("doc_id", "at").select(
+        "doc_id", "source", "size", F.explode(F.sequence("at", F.least(end, F.col("at") + split - 1))).alias("copy"))
+    few = counted.where(F.col("rows") <= split).select("doc_id", "source", "size", F.explode(F.sequence("first", end)).alias("copy"))
+    return few.unionByName(many).select(
+        "doc_id", "source", "size", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("uid"),
+        F.when(F.col("doc_id").isNull(), -F.col("copy")).otherwise(F.col("copy")).alias("copy"))
+
+
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
     doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK,
@@ -222,12 +243,7 @@ def mix(
     sizes = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
     )
-    # Rows with one id are told apart by the number of the copy; a null id hashes like any other value.
-    same = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size")
-    sizes = stored(
-        sizes.withColumns({"copy": F.row_number().over(same).cast("long"), "uid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))}),
-        "mix-sizes",
-    )
+    sizes = stored(_numbered(sizes), "mix-sizes")
     targets = stored(source_targets(sizes, weights, share), "mix-targets")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     renamed = targets.withColumnRenamed("source", "target_source")

@@ -61,6 +61,27 @@ def test_chance_follows_probability(spark):
     assert all(130 < by_place[k] < 230 for k in range(10)), by_place
 
 
+def test_rows_without_an_id_and_repeated_ids(spark):
+    """As many rows come out as went in, each with its own size."""
+    random_ = random.Random(6)
+    rows = [(random_.choice([None, -1, -1, 0, 5, -(2**62), 2**62]), " ".join("w" * random_.randint(0, 9)), random_.choice(["a", None])) for _ in range(900)]
+    rows += [(None, "same words here", "a")] * 300 + [(-1, "same words here", "a")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    size = lambda t: len((t or "").split())
+    assert Counter((r.doc_id, r.source, r.size) for r in out) == Counter((d, s, size(t)) for d, t, s in rows)
+    want = shared({s: sum(size(t) for _, t, x in rows if x == s) for s in ("a", None)})
+    for source in ("a", None):
+        assert abs(sum(r.taken for r in out if r.source == source) - want[source]) <= 3
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in out)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert Counter((r.doc_id, r.source, r.size, r.taken) for r in again) == Counter((r.doc_id, r.source, r.size, r.taken) for r in out)
+    sizes = docs.selectExpr("doc_id", "source", "CAST(length(text) AS long) AS size")
+    for split in (1, 7, 100_000):
+        numbered = mixing._numbered(sizes, split)
+        assert numbered.count() == len(rows) == numbered.select("uid", "copy").distinct().count()
+
+
 def test_odd_rows(spark):
     rows = mixing.mix_report(clashing(documents(spark))).collect()
     assert len(rows) == 11 and all(r.taken <= 2 * r["size"] for r in rows)
