@@ -354,6 +354,10 @@ ORACLE: dict[str, str] = {
         lambda i: ('0x' || substring(h, 2 * i + 1, 2))::BIGINT), lambda a, b: (xor(a, b) * 16777619) & 4294967295,
         2166136261::BIGINT)) AS fingerprint
         FROM (SELECT event_id, hex(encode({STAMP} || '/é/' || event_type || event_id)) AS h FROM events)""",
+    "run_fingerprint": f"""SELECT printf('AUD-%08X', list_reduce(bytes, lambda a, b: (xor(a, b) * 16777619) & 4294967295, 2166136261::BIGINT)) AS fingerprint
+        FROM (SELECT flatten(list(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substring(h, 2 * i + 1, 2))::BIGINT) ORDER BY place, path)) AS bytes
+        FROM (SELECT 0 AS place, '' AS path, hex(encode({STAMP})) AS h FROM (SELECT max(ts) AS ts FROM events)
+            UNION ALL SELECT 1, path, hex(encode(path)) FROM ({ORDERS})))""",
     "strip_comments": query("SELECT path, clean FROM clean", cleaned(ORDERS)),
     "strip_comments_documents": query("SELECT path, clean FROM clean", cleaned(NOTED)),
     "strip_comments_pages": query("SELECT path, clean FROM clean", cleaned(PAGES)),

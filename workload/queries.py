@@ -17,6 +17,7 @@ from codesift.functions.text import lines_of_code, solidity_version
 from codesift.operators import findings as long_form
 from codesift.operators import metrics
 from codesift.operators import scan
+from codesift.operators.run_hash import run_fingerprint as fingerprint_of_run
 from codesift.plans.audit import Audit, audit
 from codesift.reports import frames, html, markdown, parts
 from codesift.rules import Rule, RulePack
@@ -369,6 +370,12 @@ def fingerprint(spark, sf_dir):
     return rows.select("event_id", fingerprint_of(run_timestamp(F.col("ts")), path).alias("fingerprint"))
 
 
+def run_fingerprint(spark, sf_dir):
+    """All contracts of a run, stamped with the time of the last event."""
+    last = corpus.table(spark, sf_dir, "events").agg(F.max("ts").alias("ts"))
+    return fingerprint_of_run(corpus.contracts(spark, sf_dir), last.select(run_timestamp(F.col("ts")).alias("timestamp")))
+
+
 def stream_scan(spark, sf_dir):
     """The orders table read as a stream, scanned, and reported from the sink."""
     sources = corpus.streamed_contracts(spark, sf_dir)
@@ -389,7 +396,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contract_report_external, contract_risk, clean_contracts, severity_gate, severity_rollup,
         summary, summary_external, severity_share, risk_bands, severity_display, contract_nested,
         contract_listing, report_json, report_markdown, report_markdown_external,
-        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint,
+        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint,
         stream_scan, skipped_sources, external_repeated, findings_min_high_external, contract_listing_external,
         report_json_external, report_html_external, report_html_links, custom_rule_syntax,
     )},
