@@ -7,6 +7,7 @@ both read the same way: ``chr`` for special characters, ``||`` and ``CASE``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NL, TAB, QUOTE, TICK, BACKSLASH = "chr(10)", "chr(9)", "chr(34)", "chr(39)", "chr(92)"
 
@@ -180,6 +181,14 @@ def noted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(rows, "doc_id").selectExpr(f"{DOCUMENT_PATH} AS path", f"{NOTED_TEXT} AS content")
 
 
+def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts as ``path, seq, content`` in chunks whose length follows from the document."""
+    rows = noted_documents(spark, sf_dir).withColumn("size", F.expr("300 + crc32(encode(path, 'UTF-8')) % 700"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("content") / F.col("size")) - 1))
+    return rows.where("content <> ''").select("path", "content", "size", starts.alias("seq")).select(
+        "path", "seq", F.substring("content", (F.col("seq") * F.col("size") + 1).cast("int"), F.col("size").cast("int")).alias("content"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", "html")
     return spread(rows, "page_id").selectExpr(f"{PAGE_PATH} AS path", "html AS content")

@@ -358,6 +358,9 @@ ORACLE: dict[str, str] = {
         FROM (SELECT flatten(list(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substring(h, 2 * i + 1, 2))::BIGINT) ORDER BY place, path)) AS bytes
         FROM (SELECT 0 AS place, '' AS path, hex(encode({STAMP})) AS h FROM (SELECT max(ts) AS ts FROM events)
             UNION ALL SELECT 1, path, hex(encode(path)) FROM ({ORDERS})))""",
+    "strip_comments_chunked": query(
+        """SELECT path, line, text FROM (SELECT path, unnest(lines) AS text, generate_subscripts(lines, 1) AS line
+        FROM (SELECT path, string_split(clean, chr(10)) AS lines FROM clean)) WHERE text <> ''""", cleaned(NOTED)),
     "strip_comments": query("SELECT path, clean FROM clean", cleaned(ORDERS)),
     "strip_comments_documents": query("SELECT path, clean FROM clean", cleaned(NOTED)),
     "strip_comments_pages": query("SELECT path, clean FROM clean", cleaned(PAGES)),

@@ -17,6 +17,7 @@ from codesift.functions.text import lines_of_code, solidity_version
 from codesift.operators import findings as long_form
 from codesift.operators import metrics
 from codesift.operators import scan
+from codesift.operators.chunks import lines_of_chunks, strip_chunks
 from codesift.operators.run_hash import run_fingerprint as fingerprint_of_run
 from codesift.plans.audit import Audit, audit
 from codesift.reports import frames, html, markdown, parts
@@ -125,6 +126,11 @@ def _stripped(source: Callable, spark, sf_dir):
     return source(spark, sf_dir).select("path", strip(F.col("content")).alias("clean"))
 
 
+def strip_comments_chunked(spark, sf_dir):
+    """Lines of texts that come in chunks, stripped chunk by chunk."""
+    return lines_of_chunks(strip_chunks(corpus.chunked_documents(spark, sf_dir)))
+
+
 def loc(spark, sf_dir):
     rows = corpus.contracts(spark, sf_dir).unionByName(corpus.documents(spark, sf_dir))
     return rows.select("path", lines_of_code(F.col("content")).alias("lines_of_code"))
@@ -396,7 +402,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contract_report_external, contract_risk, clean_contracts, severity_gate, severity_rollup,
         summary, summary_external, severity_share, risk_bands, severity_display, contract_nested,
         contract_listing, report_json, report_markdown, report_markdown_external,
-        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint,
+        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint, strip_comments_chunked,
         stream_scan, skipped_sources, external_repeated, findings_min_high_external, contract_listing_external,
         report_json_external, report_html_external, report_html_links, custom_rule_syntax,
     )},
