@@ -142,15 +142,37 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(cores * 2, *keys)
 
 
+def _streamed(orders: DataFrame, *texts: str) -> DataFrame:
+    """Contracts from a streaming orders table. A stream does not show its splits, so the narrow key rows are always spread."""
+    keys = orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    spread_keys = keys.repartition(orders.sparkSession.sparkContext.defaultParallelism * 2, "o_orderkey")
+    return spread_keys.selectExpr(*texts)
+
+
 def streamed_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders table as a stream of ``path, content``."""
     schema = table(spark, sf_dir, "orders").schema
     # As a pattern the path serves a file and a folder of part files.
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parque[t]")
-    # A stream does not show its splits, so the narrow key rows are always spread.
-    keys = stream.select("o_orderkey", "o_orderpriority")
-    spread_keys = keys.repartition(spark.sparkContext.defaultParallelism * 2, "o_orderkey")
-    return spread_keys.selectExpr(f"{ORDER_PATH} AS path", f"{ORDER_TEXT} AS content")
+    return _streamed(stream, f"{ORDER_PATH} AS path", f"{ORDER_TEXT} AS content")
+
+
+def arriving_orders(spark: SparkSession, sf_dir: str, folder: str, parts: int = 3) -> DataFrame:
+    """The orders as a stream of several micro-batches, late keys first in some of them."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    for part in range(parts):
+        keys.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(parts)) == part).write.parquet(f"{folder}/{part}")
+    return spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def arriving_contracts(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """``path, content`` of every order, in several micro-batches."""
+    return _streamed(arriving_orders(spark, sf_dir, folder), f"{ORDER_PATH} AS path", f"{ORDER_TEXT} AS content")
+
+
+def arriving_shared_contracts(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """``path, content, seq``, one path per customer, in several micro-batches."""
+    return _streamed(arriving_orders(spark, sf_dir, folder), f"{SHARED_PATH} AS path", f"{ORDER_TEXT} AS content", "o_orderkey AS seq")
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

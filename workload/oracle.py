@@ -238,6 +238,9 @@ STAMP = "strftime(ts, '%Y-%m-%d %H:%M:%S UTC')"
 ORACLE: dict[str, str] = {
     "source_dedup": query(f"SELECT {REPORT_COLUMNS} FROM report",
                           cleaned(SHARED), rule_rows(RULES), hits(RULES), SNIPPETS, FINDINGS, figures()),
+    "stream_dedup": query(f"SELECT {REPORT_COLUMNS} FROM report",
+                          cleaned(SHARED), rule_rows(RULES), hits(RULES), SNIPPETS, FINDINGS, figures()),
+    "stream_summary": query("SELECT * FROM summary", *REPORT),
     "rule_catalog": query(
         """SELECT rule_order, rule_id, title, description, severity, swc, cwe, recommendation,
         array_to_string(refs, ' ') AS reference_text, regex, coalesce(n, 0) AS n_findings

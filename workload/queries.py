@@ -25,6 +25,7 @@ from codesift.rules import Rule, RulePack
 from codesift.session import shared_folder
 from codesift.solidity import RULES, solidity_rules
 from codesift.sources.detectors import detector_documents, external_findings as external_rows
+from codesift.streaming import live
 from codesift.streaming.live import stream_contracts
 from workload import corpus
 
@@ -393,6 +394,26 @@ def stream_scan(spark, sf_dir):
     return metrics.contract_report(metrics.contract_metrics(scanned))
 
 
+def _stream_folder(spark) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def stream_dedup(spark, sf_dir):
+    """Orders that claim one path arrive in several batches; the smallest key counts."""
+    folder = _stream_folder(spark)
+    sources = corpus.arriving_shared_contracts(spark, sf_dir, f"{folder}/orders")
+    live.stream_first_per_path(sources, solidity_rules(), f"{folder}/ledger", f"{folder}/state").awaitTermination()
+    return live.first_rows(spark, f"{folder}/ledger")
+
+
+def stream_summary(spark, sf_dir):
+    """Running totals over all batches."""
+    folder = _stream_folder(spark)
+    sources = corpus.arriving_contracts(spark, sf_dir, f"{folder}/orders")
+    live.stream_totals(sources, solidity_rules(), f"{folder}/ledger", f"{folder}/state").awaitTermination()
+    return live.totals(spark, f"{folder}/ledger")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (
         top_risky, source_dedup, rule_catalog, external_findings, loc, pragma_version,
@@ -402,7 +423,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contract_report_external, contract_risk, clean_contracts, severity_gate, severity_rollup,
         summary, summary_external, severity_share, risk_bands, severity_display, contract_nested,
         contract_listing, report_json, report_markdown, report_markdown_external,
-        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint, strip_comments_chunked,
+        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint, strip_comments_chunked, stream_dedup, stream_summary,
         stream_scan, skipped_sources, external_repeated, findings_min_high_external, contract_listing_external,
         report_json_external, report_html_external, report_html_links, custom_rule_syntax,
     )},
