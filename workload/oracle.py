@@ -240,6 +240,7 @@ ORACLE: dict[str, str] = {
                           cleaned(SHARED), rule_rows(RULES), hits(RULES), SNIPPETS, FINDINGS, figures()),
     "stream_dedup": query(f"SELECT {REPORT_COLUMNS} FROM report",
                           cleaned(SHARED), rule_rows(RULES), hits(RULES), SNIPPETS, FINDINGS, figures()),
+    "rescan": query(f"SELECT {REPORT_COLUMNS} FROM report", *REPORT),
     "stream_summary": query("SELECT * FROM summary", *REPORT),
     "rule_catalog": query(
         """SELECT rule_order, rule_id, title, description, severity, swc, cwe, recommendation,

@@ -20,6 +20,7 @@ from codesift.operators import scan
 from codesift.operators.chunks import lines_of_chunks, strip_chunks
 from codesift.operators.run_hash import run_fingerprint as fingerprint_of_run
 from codesift.plans.audit import Audit, audit
+from codesift.plans.rescan import rescan as scan_of_changes
 from codesift.reports import frames, html, markdown, parts
 from codesift.rules import Rule, RulePack
 from codesift.session import shared_folder
@@ -121,6 +122,16 @@ def external_repeated(spark, sf_dir):
     return found.report().select("path", "n_findings", "risk_score", "high", "info")
 
 
+def rescan(spark, sf_dir):
+    """Two snapshots: in the second a third of the files are new or changed, and only those are scanned."""
+    store = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    now = corpus.contracts(spark, sf_dir)
+    kind = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(6))
+    before = now.where(kind > 0).withColumn("content", F.when(kind == 1, F.lit("old text")).otherwise(F.col("content")))
+    scan_of_changes(before, solidity_rules(), store)
+    return metrics.contract_report(metrics.contract_metrics(scan_of_changes(now, solidity_rules(), store)))
+
+
 # --- Text ------------------------------------------------------------------
 
 def _stripped(source: Callable, spark, sf_dir):
@@ -423,7 +434,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contract_report_external, contract_risk, clean_contracts, severity_gate, severity_rollup,
         summary, summary_external, severity_share, risk_bands, severity_display, contract_nested,
         contract_listing, report_json, report_markdown, report_markdown_external,
-        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint, strip_comments_chunked, stream_dedup, stream_summary,
+        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint, strip_comments_chunked, stream_dedup, stream_summary, rescan,
         stream_scan, skipped_sources, external_repeated, findings_min_high_external, contract_listing_external,
         report_json_external, report_html_external, report_html_links, custom_rule_syntax,
     )},
