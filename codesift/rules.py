@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.functions.dialect import JvmRegex, UnsupportedPattern, can_match_nothing, to_jvm
+from codesift.functions.segments import linear_form
 from codesift.functions.severity import rank_of, RANK
 
 RULE_SCHEMA = (
@@ -44,19 +45,25 @@ class CompiledRule:
     order: int
     rule: Rule
     jvm: JvmRegex
+    # A form with the groups of ``Rule.jvm_form`` that reads a text once, where the pattern has one.
+    linear: str | None = None
 
     @property
     def pattern(self) -> str:
-        return self.rule.jvm_form or self.jvm.pattern
+        return self.grouped or self.jvm.pattern
+
+    @property
+    def grouped(self) -> str | None:
+        return self.rule.jvm_form or self.linear
 
     @property
     def before_mark(self) -> str:
         """Replacement text ahead of the match mark."""
-        return "$1" if self.rule.jvm_form else ""
+        return "$1" if self.grouped else ""
 
     @property
     def after_mark(self) -> str:
-        return "$2" if self.rule.jvm_form else "$0"
+        return "$2" if self.grouped else "$0"
 
 
 class RulePack:
@@ -78,7 +85,7 @@ class RulePack:
             if can_match_nothing(rule.regex):
                 raise UnsupportedPattern(f"{rule.rule_id}: pattern matches the empty string")
             try:
-                self.rules.append(CompiledRule(order, rule, to_jvm(rule.regex)))
+                self.rules.append(CompiledRule(order, rule, to_jvm(rule.regex), linear_form(rule.regex)))
             except UnsupportedPattern as error:
                 raise UnsupportedPattern(f"{rule.rule_id}: {error}") from error
         if size > MAX_PACK_BYTES:
