@@ -100,13 +100,13 @@ def linear_form(source: str) -> str | None:
             tail[first + 1:first + 2] and tail[first + 1].kind == "repeat"):
         return None
     begins = _chars(tail[first], dotall)
-    if OTHER in begins:
+    opening = _chars(next(t for t in head if t.kind == "lit"), dotall)
+    if OTHER in begins | opening:
         return None
 
     at_least_one = dialect._least(tokens, gap) == 1
     one = dialect._emit([tokens[gap]]) if at_least_one else ""
     head_form, tail_form = dialect._emit(head) + one, dialect._emit(tail)
-    opening = _chars(next(t for t in head if t.kind == "lit"), dotall)
     skipped = rf"(?:{_class(stop | opening, True)}++|(?!{dialect._emit(head)}){_class(opening)})*+"
     rest = _class(stop, True) + "*+"
     prefix = "(?ds)" if dotall else "(?d)"

@@ -7,6 +7,8 @@ anything downstream can shuffle them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,30 +94,33 @@ def _unrolled_hits(clean: Column, mark: Column, pack: RulePack) -> Column:
     return F.concat(*parts)
 
 
-def _rule_array(pack: RulePack) -> Column:
-    rows = [
-        {"rule_order": r.order, "rule_id": r.rule.rule_id, "neg_rank": -r.rule.rank, "pattern": r.pattern,
-         "before": r.before_mark, "after": r.after_mark, "required": r.jvm.required}
-        for r in pack.rules
-    ]
-    return literal_rows(rows, RULE)
+def rule_row(rule: CompiledRule) -> dict:
+    """What the scan takes from a rule, by the fields of RULE."""
+    return {
+        "rule_order": rule.order, "rule_id": rule.rule.rule_id, "neg_rank": -rule.rule.rank, "pattern": rule.pattern,
+        "before": rule.before_mark, "after": rule.after_mark, "required": rule.jvm.required,
+    }
+
+
+def rule_array(pack: RulePack) -> Column:
+    return literal_rows([rule_row(r) for r in pack.rules], RULE)
 
 
-def _matching_rules(clean: Column, pack: RulePack) -> Column:
+def _matching_rules(clean: Column, rules: Column) -> Column:
     """The rules that match anywhere, literals first."""
     def matches(rule: Column) -> Column:
         literals = F.forall(rule["required"], lambda s: F.exists(s, lambda v: F.contains(clean, v)))
         return F.when(literals, F.rlike(clean, rule["pattern"])).otherwise(F.lit(False))
 
-    return F.filter(_rule_array(pack), matches)
+    return F.filter(rules, matches)
 
 
-def _array_hits(clean: Column, mark: Column, pack: RulePack) -> Column:
+def _array_hits(clean: Column, mark: Column, rules: Column) -> Column:
     def hits(rule: Column) -> Column:
         marked = F.regexp_replace(clean, rule["pattern"], F.concat(rule["before"], mark, rule["after"]))
         return _line_hits(marked, mark, rule["neg_rank"], rule["rule_order"])
 
-    return F.flatten(F.transform(_matching_rules(clean, pack), hits))
+    return F.flatten(F.transform(_matching_rules(clean, rules), hits))
 
 
 def findings_array(content: Column, clean: Column, pack: RulePack, unroll: bool = False) -> Column:
@@ -127,8 +132,17 @@ def findings_array(content: Column, clean: Column, pack: RulePack, unroll: bool
     """
     if not len(pack):
         return F.array().cast(f"array<{FINDING}>")
-    find = _unrolled_hits if unroll else _array_hits
+    if unroll:
+        return _findings(content, clean, lambda c, m: _unrolled_hits(c, m, pack))
+    return findings_of_rules(content, clean, rule_array(pack))
+
+
+def findings_of_rules(content: Column, clean: Column, rules: Column) -> Column:
+    """The same for a column of rules (an array of RULE), which may differ from row to row."""
+    return _findings(content, clean, lambda c, m: _array_hits(c, m, rules))
+
 
+def _findings(content: Column, clean: Column, find: Callable[[Column, Column], Column]) -> Column:
     def numbered(hits: Column) -> Column:
         def with_snippets(lines: Column) -> Column:
             return F.transform(
@@ -144,7 +158,7 @@ def findings_array(content: Column, clean: Column, pack: RulePack, unroll: bool
             F.array().cast(f"array<{FINDING}>")
         )
 
-    return let(clean, lambda c: let(_mark_for(c), lambda m: let(find(c, m, pack), numbered)))
+    return let(clean, lambda c: let(_mark_for(c), lambda m: let(find(c, m), numbered)))
 
 
 def scan_sources(
@@ -163,9 +177,17 @@ def scan_sources(
     content, clean = F.col("content"), F.col("clean")
     kept = [F.col(name) for name in keep]
     cleaned = sources.select("path", "content", *kept, strip_comments(content).alias("clean"))
-    # One generated row per file. The generator keeps the optimizer from copying the
-    # scan into filters on its result, which would match every rule again.
-    found = findings_array(content, clean, pack.at_least(min_severity), unroll)
+    return scanned_rows(cleaned, findings_array(content, clean, pack.at_least(min_severity), unroll), keep)
+
+
+def scanned_rows(cleaned: DataFrame, found: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``path, content, clean`` and an expression of the findings to one row per file.
+
+    One generated row per file: the generator keeps the optimizer from copying the
+    scan into filters on its result, which would match every rule again.
+    """
+    content, clean = F.col("content"), F.col("clean")
+    kept = [F.col(name) for name in keep]
     return cleaned.select("*", F.explode_outer(F.array(found)).alias("findings")).select(
         "path",
         *kept,
@@ -179,5 +201,5 @@ def scan_sources(
 def rule_hit_flags(sources: DataFrame, pack: RulePack) -> DataFrame:
     """``path`` and the ids of the rules that match anywhere, in rule order."""
     cleaned = sources.select("path", strip_comments(F.col("content")).alias("clean"))
-    ids = let(F.col("clean"), lambda c: F.transform(_matching_rules(c, pack), lambda r: r["rule_id"]))
+    ids = let(F.col("clean"), lambda c: F.transform(_matching_rules(c, rule_array(pack)), lambda r: r["rule_id"]))
     return cleaned.select("path", ids.alias("rule_ids"))

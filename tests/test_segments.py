@@ -62,7 +62,7 @@ def test_rules_with_a_form_by_hand_get_one(spark):
 
 
 def test_other_patterns_are_left_alone():
-    for pattern in ("abc", "a.{0,80}b", "(?i)a[^x]*b", "a[^x]*", "(a|b)[^x]*c", "[^x]*a", "a[^x]*b[^y]*c", "a[^x]*b|c", "a+[^x]*b", r"a\s*[^x]*b", r"(?s)a.*b"):
+    for pattern in ("abc", "a.{0,80}b", "(?i)a[^x]*b", "a[^x]*", "(a|b)[^x]*c", "[^x]*a", "a[^x]*b[^y]*c", "a[^x]*b|c", "a+[^x]*b", "é[^x]*b", "a[^x]*é", r"a\s*[^x]*b", r"(?s)a.*b"):
         assert linear_form(pattern) is None, pattern
 
 

@@ -185,6 +185,17 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_rows(spark, sf_dir).selectExpr(f"{ORDER_PATH} AS path", f"{ORDER_TEXT} AS content")
 
 
+def contract_rules(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
+    """One rule for each order, which names its contract; orders of rules begin at ``first``."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    place = F.col("o_orderkey").cast("int") + first
+    texts = {n: F.lit("") for n in ("title", "description", "swc", "cwe", "recommendation")}
+    return keys.select(
+        place.alias("rule_order"), F.concat(F.lit("ORD-"), "o_orderkey").alias("rule_id"), F.lit("INFO").alias("severity"),
+        *[value.alias(name) for name, value in texts.items()], F.array().cast("array<string>").alias("references"),
+        F.concat(F.lit(r"contract\s+C"), "o_orderkey", F.lit(r"\s*\{")).alias("regex"))
+
+
 def shared_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content, seq``: one row per order, one path per customer."""
     return order_rows(spark, sf_dir).selectExpr(

@@ -253,6 +253,10 @@ ORACLE: dict[str, str] = {
         AS lines_of_code FROM src""", f"src AS ({ORDERS} UNION ALL {DOCUMENTS})"),
     "pragma_version": query("SELECT path, solidity_version FROM report", *REPORT),
     "rule_matches": query(f"SELECT path, {MATCH} FROM hits", *SCAN),
+    "scan_by_literals": query(
+        f"""SELECT path, {MATCH} FROM hits UNION ALL SELECT path, rule_order, (1 + {newlines('before')})::INTEGER, 1::INTEGER
+        FROM (SELECT path, (o_orderkey + {len(RULES)})::INTEGER AS rule_order, left(clean, strpos(clean, 'contract C' || o_orderkey || ' {{') - 1) AS before
+            FROM clean JOIN (SELECT {corpus.ORDER_PATH} AS path, o_orderkey FROM orders) USING (path))""", *SCAN),
     "scan_unrolled": query(f"SELECT path, {MATCH} FROM hits", *SCAN),
     "rule_hit_flags": query(
         """SELECT path, coalesce(ids, '') AS rule_ids FROM src LEFT JOIN (SELECT path, string_agg(rule_id, ',' ORDER BY rule_order)

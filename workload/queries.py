@@ -18,6 +18,7 @@ from codesift.operators import findings as long_form
 from codesift.operators import metrics
 from codesift.operators import scan
 from codesift.operators.chunks import lines_of_chunks, strip_chunks
+from codesift.operators.literals import scan_by_literals as scan_by_keys
 from codesift.operators.run_hash import run_fingerprint as fingerprint_of_run
 from codesift.plans.audit import Audit, audit
 from codesift.plans.rescan import rescan as scan_of_changes
@@ -165,6 +166,14 @@ def scan_unrolled(spark, sf_dir):
     return long_form.explode_findings(rows).select("path", "rule_order", "line", "occ")
 
 
+def scan_by_literals(spark, sf_dir):
+    """The pack and one more rule for each contract."""
+    pack = solidity_rules()
+    rules = pack.to_df(spark).unionByName(corpus.contract_rules(spark, sf_dir, len(pack)))
+    rows = scan_by_keys(corpus.contracts(spark, sf_dir), rules)
+    return long_form.explode_findings(rows).select("path", "rule_order", "line", "occ")
+
+
 def one_rule(rule_id: str, spark, sf_dir):
     rows = scan.scan_sources(corpus.contracts(spark, sf_dir), solidity_rules().only(rule_id))
     return long_form.explode_findings(rows).select("path", "line", "occ")
@@ -434,7 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contract_report_external, contract_risk, clean_contracts, severity_gate, severity_rollup,
         summary, summary_external, severity_share, risk_bands, severity_display, contract_nested,
         contract_listing, report_json, report_markdown, report_markdown_external,
-        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint, strip_comments_chunked, stream_dedup, stream_summary, rescan,
+        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint, strip_comments_chunked, stream_dedup, stream_summary, rescan, scan_by_literals,
         stream_scan, skipped_sources, external_repeated, findings_min_high_external, contract_listing_external,
         report_json_external, report_html_external, report_html_links, custom_rule_syntax,
     )},
