@@ -226,6 +226,8 @@ def _numbered(sizes: DataFrame, split: int = SPLIT) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0)) + 1)
     end = F.col("first") + F.col("rows") - 1
+    # Narrow rows, which are read twice.
+    counted = stored(counted, "mix-counts")
     part = F.explode(F.sequence(F.col("first"), end, F.lit(split)))
     many = counted.where(F.col("rows") > split).select("*", part.alias("at")).repartition("doc_id", "at").select(
         "doc_id", "source", "size", F.explode(F.sequence("at", F.least(end, F.col("at") + split - 1))).alias("copy"))
