@@ -25,6 +25,8 @@ RULE = (
     "required:array<array<string>>>"
 )
 MARK = "\x01"
+# From so many matches of a rule in a text on, its lines are counted one by one.
+MANY_MATCHES = 100
 
 
 def _mark_for(clean: Column) -> Column:
@@ -36,7 +38,10 @@ def _mark_for(clean: Column) -> Column:
 
 
 def _line_hits(marked: Column, mark: Column, neg_rank: Column, rule_order: Column) -> Column:
-    """One struct per marked line; ``occ`` counts the marks on it."""
+    """One struct for each match, with its line and its number on that line.
+
+    Line feeds are counted between the marks; a text with very many matches is cut into lines instead.
+    """
     def on_line(text: Column, index: Column) -> Column:
         removed = F.length(text) - F.length(F.replace(text, mark, F.lit("")))
         return F.when(
@@ -47,11 +52,28 @@ def _line_hits(marked: Column, mark: Column, neg_rank: Column, rule_order: Colum
             ),
         )
 
-    return F.filter(F.transform(split_lines(marked), on_line), lambda h: h.isNotNull())
+    def next_hit(done: Column, piece: Column) -> Column:
+        feeds = F.octet_length(piece) - F.octet_length(F.replace(piece, F.lit("\n"), F.lit("")))
+        before = F.try_element_at(done, F.lit(-1))
+
+        def hit(n: Column) -> Column:
+            return F.struct(
+                neg_rank.alias("neg_rank"), (F.coalesce(before["line"], F.lit(1)) + n).alias("line"), rule_order.alias("rule_order"),
+                F.when(n == 0, F.coalesce(before["occ"], F.lit(0)) + 1).otherwise(1).alias("occ"))
+
+        return F.concat(done, F.array(let(feeds, hit)))
+
+    def by_piece(pieces: Column) -> Column:
+        return F.when(
+            F.size(pieces) <= MANY_MATCHES,
+            F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array().cast(f"array<{HIT}>"), next_hit),
+        ).otherwise(_each_occurrence(F.filter(F.transform(split_lines(marked), on_line), lambda h: h.isNotNull())))
+
+    return let(F.split(marked, mark, -1), by_piece)
 
 
 def _each_occurrence(hits: Column) -> Column:
-    """Sorted hits with one entry per match; most lines hold one match of a rule."""
+    """Hits with one entry per match from hits with one entry per line; most lines hold one match of a rule."""
     def repeated(h: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(1), h["occ"]),
@@ -61,12 +83,9 @@ def _each_occurrence(hits: Column) -> Column:
             ),
         )
 
-    return let(
-        F.sort_array(hits),
-        lambda ordered: F.when(
-            F.exists(ordered, lambda h: h["occ"] > 1), F.flatten(F.transform(ordered, repeated))
-        ).otherwise(ordered),
-    )
+    return let(hits, lambda lines: F.when(
+        F.exists(lines, lambda h: h["occ"] > 1), F.flatten(F.transform(lines, repeated))
+    ).otherwise(lines))
 
 
 def _rule_matches(clean: Column, rule: CompiledRule) -> Column:
@@ -146,7 +165,7 @@ def _findings(content: Column, clean: Column, find: Callable[[Column, Column], C
     def numbered(hits: Column) -> Column:
         def with_snippets(lines: Column) -> Column:
             return F.transform(
-                _each_occurrence(hits),
+                F.sort_array(hits),
                 lambda h, i: F.struct(
                     (i + 1).alias("position"), h["rule_order"].alias("rule_order"),
                     (-h["neg_rank"]).alias("rank"), h["line"].alias("line"), h["occ"].alias("occ"),
