@@ -46,12 +46,23 @@ def external_metrics(external: DataFrame) -> DataFrame:
     )
 
 
+def added_external(figures: DataFrame) -> DataFrame:
+    """Rows of ``external_metrics`` of several sets of findings, by path as one."""
+    kinds = {"x_max_weight": F.max}
+    return figures.groupBy("path").agg(*[kinds.get(c, F.sum)(c).alias(c) for c in figures.columns if c != "path"])
+
+
 def merge_external(metrics: DataFrame, external: DataFrame) -> DataFrame:
     """Add external findings to the figures of their files."""
+    return merge_figures(metrics, external_metrics(external))
+
+
+def merge_figures(metrics: DataFrame, external: DataFrame) -> DataFrame:
+    """The same with the figures of the external findings."""
     def added(name: str) -> Column:
         return (F.col(name) + F.coalesce(F.col(f"x_{name}"), F.lit(0))).alias(name)
 
-    return metrics.join(external_metrics(external), "path", "left").select(
+    return metrics.join(external, "path", "left").select(
         "path", "file_name", "lines_of_code", "solidity_version",
         *[added(name) for name in ("n_findings", *COUNTS)],
         F.greatest("max_weight", F.coalesce("x_max_weight", F.lit(0.0))).alias("max_weight"),

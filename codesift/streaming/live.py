@@ -15,15 +15,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codesift.functions.severity import overall_risk
 from codesift.operators.dedup import first_per_path
-from codesift.operators.metrics import COUNTS, contract_metrics, contract_report, summary
+from codesift.operators.metrics import (
+    COUNTS, added_external, contract_metrics, contract_report, external_metrics, merge_figures, summary,
+)
 from codesift.operators.scan import scan_sources
 from codesift.rules import RulePack
+from codesift.sources.detectors import detector_documents, external_severities
 
 BATCH = "batch"
 FIRST_ROW = (
     "path string, file_name string, n_findings long, risk_score double, lines_of_code int, solidity_version string, "
     "critical long, high long, medium long, low long, info long, seq long"
 )
+FIGURES = (
+    "path string, file_name string, lines_of_code int, solidity_version string, n_findings long, critical long, high long, "
+    "medium long, low long, info long, max_weight double, sum_weight double"
+)
+EXTERNAL = (
+    "path string, x_n_findings long, x_critical long, x_high long, x_medium long, x_low long, x_info long, "
+    "x_max_weight double, x_sum_weight double"
+)
 TOTALS = "total_contracts long, total_findings long, critical long, high long, medium long, low long, info long"
 
 
@@ -103,3 +114,27 @@ def totals(spark: SparkSession, ledger: str) -> DataFrame:
     parts = _parts(spark, ledger, TOTALS)
     added = parts.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _names(TOTALS)])
     return added.withColumn("overall_risk", overall_risk(*[F.col(c) for c in COUNTS[:4]]))
+
+
+def stream_figures(sources: DataFrame, pack: RulePack, ledger: str, checkpoint: str, min_severity: str | None = None) -> StreamingQuery:
+    """Scan a streaming ``path, content`` frame and keep the figures of each file; paths do not come twice."""
+    figures = contract_metrics(scan_sources(sources, pack, min_severity))
+    return _ledger(figures, lambda rows: rows.select(*_names(FIGURES)), "append", ledger, checkpoint)
+
+
+def stream_external(results: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
+    """Keep the figures of streaming detector results (``path, json``).
+
+    A micro-batch adds one row for each path. Results may come before their file, after it, or for a path of many batches:
+    nothing waits for anything, so no row is late.
+    """
+    def figures(batch: DataFrame) -> DataFrame:
+        return external_metrics(external_severities(detector_documents(batch))).select(*_names(EXTERNAL))
+
+    return _ledger(results, figures, "append", ledger, checkpoint)
+
+
+def live_report(spark: SparkSession, figures: str, external: str) -> DataFrame:
+    """The report over all that the two ledgers hold by now, files without results included."""
+    added = added_external(_parts(spark, external, EXTERNAL))
+    return contract_report(merge_figures(_parts(spark, figures, FIGURES), added))

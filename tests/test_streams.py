@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codesift import audit
 from codesift.solidity import solidity_rules
 from codesift.streaming import live
+from test_external import detector, document
 
 SOURCE = "path string, content string, seq long"
 LINES = ["tx.origin;", "admin = x;", "selfdestruct(a);", "pragma solidity ^0.8.0;", "x = 1;"]
@@ -82,3 +83,25 @@ def test_rows_without_content_are_not_first(spark, tmp_path):
     folder = str(tmp_path)
     live.stream_first_per_path(arriving(spark, folder, data, 2), solidity_rules(), f"{folder}/l", f"{folder}/s").awaitTermination()
     assert [(r.path, r.n_findings) for r in live.first_rows(spark, f"{folder}/l").where(F.col("high") > 0).collect()] == [("/a.sol", 1)]
+
+
+def test_external_results_in_any_order(spark, tmp_path):
+    folder = str(tmp_path)
+    data = [(f"/s{i}.sol", content, seq) for i, (_, content, seq) in enumerate(rows(4, 30))]
+    results = [(f"/s{i % 12 if i % 3 else 0}.sol", document(detector(impact=["High", "Low", "Odd"][i % 3]))) for i in range(40)]
+    results += results[:5] + [("/not/there.sol", document(detector())), ("/s1.sol", "{broken"), ("/s2.sol", None)]
+    want = audit(spark.createDataFrame(data, SOURCE), external=spark.createDataFrame(results, "path string, json string")).report().collect()
+    for k in range(4):
+        spark.createDataFrame(results[k::4], "path string, json string").coalesce(1).write.mode("append").parquet(f"{folder}/ext")
+
+    def run_external():
+        stream = spark.readStream.schema("path string, json string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/ext")
+        live.stream_external(stream, f"{folder}/x", f"{folder}/xs").awaitTermination()
+
+    run_external()
+    assert live.live_report(spark, f"{folder}/f", f"{folder}/x").count() == 0
+    live.stream_figures(arriving(spark, folder, data, 3), solidity_rules(), f"{folder}/f", f"{folder}/s").awaitTermination()
+    assert sorted(map(tuple, live.live_report(spark, f"{folder}/f", f"{folder}/x").collect())) == sorted(map(tuple, want))
+    forget_last_batch(f"{folder}/xs")
+    run_external()
+    assert sorted(map(tuple, live.live_report(spark, f"{folder}/f", f"{folder}/x").collect())) == sorted(map(tuple, want))

@@ -165,6 +165,16 @@ def arriving_orders(spark: SparkSession, sf_dir: str, folder: str, parts: int =
     return spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
 
 
+def arriving_results(spark: SparkSession, sf_dir: str, folder: str, parts: int = 3) -> DataFrame:
+    """``path, json`` of the detector run of every event, in several micro-batches."""
+    keys = table(spark, sf_dir, "events").select("event_id", "event_type")
+    for part in range(parts):
+        keys.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == part).write.parquet(f"{folder}/{part}")
+    stream = spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return stream.repartition(spark.sparkContext.defaultParallelism * 2, "event_id").selectExpr(
+        f"{EVENT_PATH} AS path", f"{DETECTOR_TEXT} AS json")
+
+
 def arriving_contracts(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """``path, content`` of every order, in several micro-batches."""
     return _streamed(arriving_orders(spark, sf_dir, folder), f"{ORDER_PATH} AS path", f"{ORDER_TEXT} AS content")

@@ -287,6 +287,7 @@ ORACLE: dict[str, str] = {
         f"SELECT path, position, swc, CASE WHEN {HAS_LINK} THEN 'https://swcregistry.io/docs/' || swc END AS url FROM all_findings", *FOUND_ALL),
     "contract_report": query(f"SELECT {REPORT_COLUMNS} FROM report", *REPORT),
     "stream_scan": query(f"SELECT {REPORT_COLUMNS} FROM report", *REPORT),
+    "stream_external": query(f"SELECT {REPORT_COLUMNS} FROM report", *REPORT_ALL),
     "contract_report_external": query(f"SELECT {REPORT_COLUMNS} FROM report", *REPORT_ALL),
     "contract_risk": query("SELECT path, n_findings, risk_score FROM report", *REPORT),
     "clean_contracts": query("SELECT path, file_name, lines_of_code FROM report WHERE n_findings = 0", *REPORT),

@@ -434,6 +434,16 @@ def stream_summary(spark, sf_dir):
     return live.totals(spark, f"{folder}/ledger")
 
 
+def stream_external(spark, sf_dir):
+    """Contracts and detector results arrive apart from each other."""
+    folder = _stream_folder(spark)
+    results = corpus.arriving_results(spark, sf_dir, f"{folder}/events")
+    live.stream_external(results, f"{folder}/external", f"{folder}/external-state").awaitTermination()
+    sources = corpus.arriving_contracts(spark, sf_dir, f"{folder}/orders")
+    live.stream_figures(sources, solidity_rules(), f"{folder}/figures", f"{folder}/state").awaitTermination()
+    return live.live_report(spark, f"{folder}/figures", f"{folder}/external")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (
         top_risky, source_dedup, rule_catalog, external_findings, loc, pragma_version,
@@ -443,7 +453,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contract_report_external, contract_risk, clean_contracts, severity_gate, severity_rollup,
         summary, summary_external, severity_share, risk_bands, severity_display, contract_nested,
         contract_listing, report_json, report_markdown, report_markdown_external,
-        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint, strip_comments_chunked, stream_dedup, stream_summary, rescan, scan_by_literals,
+        report_markdown_summary, report_html_fragment, report_html_summary, run_stamp, fingerprint, run_fingerprint, strip_comments_chunked, stream_dedup, stream_summary, rescan, scan_by_literals, stream_external,
         stream_scan, skipped_sources, external_repeated, findings_min_high_external, contract_listing_external,
         report_json_external, report_html_external, report_html_links, custom_rule_syntax,
     )},
