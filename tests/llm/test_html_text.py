@@ -122,6 +122,55 @@ def test_runs_of_copies_over_many_partitions(spark):
         assert texts(spark, rows, partitions) == want
 
 
+def plain_texts(rows):
+    """The rules applied to the sorted pages of each host, all in one place."""
+    parsed = [(url.split("/")[2], "/" + url.split("/", 3)[3], i, *page_lines(page)) for i, url, page in rows]
+    out = {i: lines for _, _, i, lines, _ in parsed}
+    for host in {p[0] for p in parsed}:
+        runs = []
+        for _, _, i, lines, marked in sorted(p for p in parsed if p[0] == host and p[3]):
+            if not runs or runs[-1][0] != lines:
+                runs.append((lines, []))
+            runs[-1][1].append((i, marked))
+        for at, (own, pages) in enumerate(runs):
+            for i, marked in pages:
+                most, found = (4, []) if marked else (2, [])
+                for step in range(1, 5):
+                    for near in (at - step, at + step):
+                        if 0 <= near < len(runs) and runs[near][0] != own and runs[near][0] not in found and len(found) < most:
+                            found.append(runs[near][0])
+                shared = [set(shared_lines(own, other)) for other in found]
+                copies = [len(s) > 0.8 * len(own) for s in shared]
+                gone = set()
+                if marked and len(found) == 4 and not any(copies):
+                    edge = lambda k, o: o[k:k + 1] == [own[k]] or o[::-1][len(own) - 1 - k:len(own) - k] == [own[k]]
+                    gone = {k for k in set.intersection(*shared) if all(edge(k, o) for o in found)}
+                elif not marked and len(found) == 1 and len(shared[0]) not in (len(own), len(found[0])):
+                    gone = shared[0]
+                elif not marked and len(found) == 2:
+                    both = shared[0] & shared[1]
+                    gone = set().union(*[both if copy else s for s, copy in zip(shared, copies, strict=True)])
+                out[i] = [line for k, line in enumerate(own) if k not in gone]
+    return {i: "\n".join(lines) for i, lines in out.items()}
+
+
+def test_random_hosts_equal_the_plain_version(spark):
+    random_ = random.Random(12)
+    rows = []
+    for host in range(7):
+        template = [[f"T{host} {k}" for k in range(random_.randint(0, 5))] for _ in range(2)]
+        for n in range(random_.choice([1, 2, 3, 5, 9, 25])):
+            own = [random_.choice([f"Own {host} {n} {k}", f"Own {host} {n} {k}", "Common", "Known"]) for k in range(random_.randint(0, 6))]
+            lines = template[0] + own + template[1]
+            body = "".join(f"<p>{line}" for line in lines)
+            page = f"<article>{body}</article>" if random_.random() < 0.4 else body
+            for _ in range(random_.choice([1, 1, 1, 2, 6])):
+                rows.append((len(rows), f"http://h{host}.x/{n:03}/{len(rows):04}", page))
+    want = plain_texts(rows)
+    for partitions in ("1", "6", "30"):
+        assert texts(spark, rows, partitions) == want
+
+
 def test_hostile_pages_take_linear_time():
     def seconds(page):
         start = time.perf_counter()

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -68,6 +69,50 @@ def test_windows_hold_every_byte():
             b"\xc3\x80", b"\xc3\xa0").replace(b"\xc3\x89", b"\xc3\xa9")
 
 
+def plain_pooled(network, text, width):
+    """The pooled probabilities byte by byte, one number at a time for each unit."""
+    data = bytearray(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    for i in range(1, len(data)):
+        if data[i - 1] == 0xC3 and 0x80 <= data[i] <= 0x9E:
+            data[i] += 32
+    w, h = {k: v.astype(float) for k, v in network.weights.items()}, network.hidden
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    total, letters = [0.0] * len(network.languages), 0
+    for start in range(0, len(data), width):
+        part = bytes(data[start:start + width]).ljust(width, b"\0")
+        states = {}
+        for side, order in (("f", range(width)), ("b", range(width - 1, -1, -1))):
+            state = [0.0] * h
+            for t in order:
+                x = w[f"in_{side}"][part[t]]
+                g = [sum(state[i] * w[f"rec_{side}"][i, j] for i in range(h)) for j in range(3 * h)]
+                update = [sigmoid(x[j] + g[j]) for j in range(h)]
+                reset = [sigmoid(x[h + j] + g[h + j]) for j in range(h)]
+                new = [math.tanh(x[2 * h + j] + reset[j] * g[2 * h + j]) for j in range(h)]
+                state = [update[j] * state[j] + (1 - update[j]) * new[j] for j in range(h)]
+                states[side, t] = state
+        for t, byte in enumerate(part):
+            if 97 <= byte <= 122 or byte >= 128:
+                scores = [
+                    sum(states[side, t][j] * w[f"out_{side}"][j, c] for side in "fb" for j in range(h)) + w["bias"][c]
+                    for c in range(len(network.languages))]
+                powers = [math.exp(s - max(scores)) for s in scores]
+                total = [a + p / sum(powers) for a, p in zip(total, powers, strict=True)]
+                letters += 1
+    return [a / letters for a in total]
+
+
+def test_prediction_equals_a_plain_network(spark):
+    """The query's column against the network byte by byte, over several windows and odd bytes."""
+    network = language.Network(["aa", "bb", "cc"], 3, 5)
+    texts = ["The OUD", "schÜ ung É" * 4, "x", "12 345 a", "ßÀÞ " * 9, "long text without end " * 5]
+    column = language.predict_column(network, 16)
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", column("text").alias("p"))
+    for r in frame.collect():
+        want = plain_pooled(network, texts[r.id], 16)
+        assert r.p.lang_pred == network.languages[int(np.argmax(want))] and abs(r.p.score - max(want)) < 1e-5
+
+
 def test_odd_rows(spark):
     rows = {r.doc_id: r for r in language.identify(clashing(documents(spark)), SMALL).collect()}
     assert len(rows) == 10  # id 1 twice

@@ -85,7 +85,7 @@ def test_encoding(steps):
 def test_run_and_registration(spark, steps):
     rows = corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens").collect()
     assert sorted(map(tuple, rows)) == sorted((r.doc_id, r.n_tokens) for r in steps[5])
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_odd_rows_in_every_stage(spark):
