@@ -14,8 +14,8 @@
    has nearly all lines of the other may be a near copy or share a large template, so what it
    shares goes only if the second page shares it too.
 
-A mark is a guard, for near copies and quoted passages are text: a line inside it goes only if the four nearest
-pages, two on each side unless the host ends there, share it at the same distance from the first or from the last
+A mark is a guard, for near copies and passages that many texts have are text: a line inside it goes only if the ten nearest
+pages, five on each side unless the host ends there, share it at the same distance from the first or from the last
 line, and none of them has nearly all lines of the mark. A page whose host has no other than copies keeps its lines. Only hashes of lines move in steps 2 and 3.
 
 Defined cases: a null or empty page has empty text; a null URL has an empty host and
@@ -278,12 +278,15 @@ def template_lines(own: list[int], others: list[list[int]], marked: bool) -> lis
     """
     if not others or marked and len(others) < MARK_WITNESSES:
         return []
+    if marked:
+        # Text may repeat, too: the line must stand in all of them at one place. Few lines do, and few pages are aligned.
+        fixed = [i for i in range(len(own)) if all(_at_one_place(own, other, i) for other in others)]
+        if not fixed:
+            return []
     shared = [set(shared_lines(own, other)) for other in others]
     near_copy = [len(s) > COPY_SHARE * len(own) for s in shared]
     if marked:
-        # Text may repeat, too: the line must stand in all of them at one place.
-        return [] if any(near_copy) else [
-            i for i in sorted(set.intersection(*shared)) if all(_at_one_place(own, other, i) for other in others)]
+        return [] if any(near_copy) else [i for i in fixed if all(i in s for s in shared)]
     if len(shared) == 1:
         # One page alone: if either has no own line, it says nothing about a template.
         (s,) = shared
@@ -327,7 +330,7 @@ FOUND = "part int, run int, uid long, marked boolean, deleted array<int>, host s
 JUDGED = "part int, run int, marked boolean, deleted array<int>"
 # Pages asked about lines inside a mark. Runs that near an end of a partition have neighbours in another one,
 # and END runs are needed there to judge them.
-MARK_WITNESSES = 4
+MARK_WITNESSES = 10
 END = 2 * MARK_WITNESSES
 
 

@@ -100,15 +100,15 @@ def test_template_lines_inside_marks(spark):
 
 
 def test_repeated_sentences_inside_marks_stay(spark):
-    """A line that both neighbours hold is text, unless four pages have it at one place."""
+    """A line that neighbours hold is text, unless all the nearest pages have it at one place."""
     body = [[f"Own {i} {k}" for k in range(3 + i % 4)] for i in range(20)]
     for i in range(20):
         body[i].insert(i * 7 % len(body[i]), "As everyone knows")
     rows = [(i, f"http://t.x/{i:02}", "<article>" + "".join(f"<p>{line}" for line in body[i]) + "</article>") for i in range(20)]
     for partitions in ("1", "7"):
         assert texts(spark, rows, partitions) == {i: "\n".join(body[i]) for i in range(20)}
-    # Three pages are too few to tell.
-    few = [(i, f"http://f.x/{i}", f"<article><p>Mine {i}<p>Share<p>More {i}</article>") for i in range(4)]
+    # Nine pages are too few to tell.
+    few = [(i, f"http://f.x/{i}", f"<article><p>Mine {i}<p>Share<p>More {i}</article>") for i in range(10)]
     assert all("Share" in t for t in texts(spark, few).values())
 
 
@@ -134,15 +134,15 @@ def plain_texts(rows):
             runs[-1][1].append((i, marked))
         for at, (own, pages) in enumerate(runs):
             for i, marked in pages:
-                most, found = (4, []) if marked else (2, [])
-                for step in range(1, 5):
+                most, found = (html_text.MARK_WITNESSES, []) if marked else (2, [])
+                for step in range(1, html_text.MARK_WITNESSES + 1):
                     for near in (at - step, at + step):
                         if 0 <= near < len(runs) and runs[near][0] != own and runs[near][0] not in found and len(found) < most:
                             found.append(runs[near][0])
                 shared = [set(shared_lines(own, other)) for other in found]
                 copies = [len(s) > 0.8 * len(own) for s in shared]
                 gone = set()
-                if marked and len(found) == 4 and not any(copies):
+                if marked and len(found) == html_text.MARK_WITNESSES and not any(copies):
                     edge = lambda k, o: o[k:k + 1] == [own[k]] or o[::-1][len(own) - 1 - k:len(own) - k] == [own[k]]
                     gone = {k for k in set.intersection(*shared) if all(edge(k, o) for o in found)}
                 elif not marked and len(found) == 1 and len(shared[0]) not in (len(own), len(found[0])):
