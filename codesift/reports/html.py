@@ -1,4 +1,7 @@
-"""HTML fragments: a scope row and a block of findings for each file."""
+"""HTML fragments: a scope row and a block of findings for each file.
+
+Fixed values: the class names, labels and marks of the page, which stand as literals in the functions below.
+"""
 
 from __future__ import annotations
 

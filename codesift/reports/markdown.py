@@ -1,4 +1,7 @@
-"""Markdown: one text per file, and the opening block of the corpus."""
+"""Markdown: one text per file, and the opening block of the corpus.
+
+Fixed values: the headings, labels, marks and sentences of the report, which stand as literals in the functions below.
+"""
 
 from __future__ import annotations
 

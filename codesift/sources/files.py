@@ -78,6 +78,23 @@ def skipped_sources(
     return files.select(plain_path(uri).alias("path")).join(readable, "path", "left_anti")
 
 
+def _direct(spark: SparkSession, targets: list, suffix: str) -> list[str]:
+    """Patterns for the direct children of directories, so that nothing below them is listed; other targets as they are.
+
+    A directory without such a child has no pattern, as Spark fails on one that matches nothing.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    found = []
+    for path in targets:
+        system = path.getFileSystem(conf)
+        children = hadoop.Path(path, f"*{suffix}")
+        if not system.exists(path) or system.getFileStatus(path).isFile():
+            found.append(path.toString())
+        elif len(system.globStatus(children) or ()):
+            found.append(children.toString())
+    return found
+
+
 def _listed(
     spark: SparkSession, targets: Sequence[str] | str, recursive: bool, suffix: str, on_error: str, source: str
 ) -> tuple[DataFrame, Column]:
@@ -89,6 +106,7 @@ def _listed(
         raise ValueError("no targets given")
     qualified = {path.toString(): path for path in (_qualified(spark, t) for t in targets)}
     paths = distinct_targets(list(qualified), recursive)
+    loaded = paths if recursive else _direct(spark, [qualified[p] for p in paths], suffix) or paths
     # Recursive lookup also when children of subdirectories are not wanted: without
     # it, directory names such as ``k=v`` would be taken for partitions. The filter on
     # the file's path is applied to the listing, so those children are never opened.
@@ -96,7 +114,7 @@ def _listed(
     options = {"ignoreMissingFiles": skip, "ignoreCorruptFiles": skip, "pathGlobFilter": f"*{suffix}", "recursiveFileLookup": True}
     if source == "text":
         options["wholetext"] = True
-    files = spark.read.format(source).options(**options).load(paths)
+    files = spark.read.format(source).options(**options).load(loaded)
     # Local URIs are spelled with one or with three slashes.
     uri = F.regexp_replace("_metadata.file_path", r"\Afile:/*+", "file:/")
     if not recursive:

@@ -29,6 +29,19 @@ def test_listing(spark, tree):
     assert paths(read_sources(spark, [f"{tree}/sub", f"{tree}/a.sol"]), tree) == ["a.sol", "sub/d.sol"]
 
 
+def test_direct_listing_stays_out_of_the_tree(spark, tree):
+    names = lambda frame: sorted(os.path.basename(f) for f in frame.inputFiles())
+    assert names(read_sources(spark, tree)) == ["a.sol"]
+    assert names(read_sources(spark, [f"{tree}/sub", f"{tree}/k=1"])) == ["d.sol", "g.sol"]
+    os.makedirs(f"{tree}/only/below")
+    (open(f"{tree}/only/below/x.sol", "w")).close()
+    assert paths(read_sources(spark, [f"{tree}/only", tree]), tree) == ["a.sol"]
+    assert paths(read_sources(spark, f"{tree}/only"), tree) == []
+    os.makedirs(f"{tree}/dir.sol")
+    (open(f"{tree}/dir.sol/y.sol", "w")).close()
+    assert paths(read_sources(spark, tree), tree) == ["a.sol"]
+
+
 def test_whole_content(spark, tree):
     row = read_sources(spark, f"{tree}/a.sol").first()
     assert (row.file_name, row.content) == ("a.sol", "tx.origin\r\nx")
