@@ -181,21 +181,21 @@ def _nearest(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def _places(keyed: DataFrame) -> DataFrame:
-    """``uid, ordering, place``: the place of each key in its ordering, from 0.
+    """``uid, asks, ordering, place``: the place of each key in its ordering, from 0.
 
     Spark sorts the narrow keys by range; the place in the partition plus the rows of earlier
     partitions is the place in the ordering. The table of partitions has a row for each.
     """
     # Equal keys are told apart by the id, so a common key fills as many ranges as it needs.
     order = ["ordering", "key", "vec_id", "uid"]
-    keys = keyed.select("vec_id", "uid", F.posexplode("keys").alias("ordering", "key"))
+    keys = keyed.select("vec_id", "uid", "asks", F.posexplode("keys").alias("ordering", "key"))
     ordered = keys.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = stored(ordered.select("uid", "ordering", F.monotonically_increasing_id().alias("at")), "neighbour-order").select(
-        "uid", "ordering", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    rows = stored(ordered.select("uid", "asks", "ordering", F.monotonically_increasing_id().alias("at")), "neighbour-order").select(
+        "uid", "asks", "ordering", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     earlier = Window.partitionBy("ordering").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("ordering", "part").agg(F.count("*").alias("n"), F.min("at").alias("first")).select(
         "ordering", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("offset"))
-    return rows.join(F.broadcast(parts), ["ordering", "part"]).select("uid", "ordering", (F.col("at") + F.col("offset")).alias("place"))
+    return rows.join(F.broadcast(parts), ["ordering", "part"]).select("uid", "asks", "ordering", (F.col("at") + F.col("offset")).alias("place"))
 
 
 def _windows(places: DataFrame, total: int, setting: Orderings) -> DataFrame:
@@ -221,7 +221,7 @@ def nearest_neighbours(
     asking = rows.where(F.col("vec_id") % every == 0).select(F.lit(True).alias("asks"), "vec_id", "v")
     keyed = indexed.unionByName(asking).withColumn("keys", _key_column(setting)("v"))
     keyed = stored(keyed.withColumn("uid", F.monotonically_increasing_id()), "neighbour-keys")
-    placed = _windows(_places(keyed), keyed.count(), setting).join(keyed.select("uid", "asks"), "uid")
+    placed = _windows(stored(_places(keyed), "neighbour-places"), keyed.count(), setting)
     looks = F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))
     asked = placed.where("asks").withColumn("block", F.explode(looks))
     held = placed.where("NOT asks").withColumn("block", F.floor(F.col("place") / block))
