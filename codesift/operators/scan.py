@@ -125,7 +125,7 @@ def rule_array(pack: RulePack) -> Column:
     return literal_rows([rule_row(r) for r in pack.rules], RULE)
 
 
-def _matching_rules(clean: Column, rules: Column) -> Column:
+def matching_rules(clean: Column, rules: Column) -> Column:
     """The rules that match anywhere, literals first."""
     def matches(rule: Column) -> Column:
         literals = F.forall(rule["required"], lambda s: F.exists(s, lambda v: F.contains(clean, v)))
@@ -139,7 +139,7 @@ def _array_hits(clean: Column, mark: Column, rules: Column) -> Column:
         marked = F.regexp_replace(clean, rule["pattern"], F.concat(rule["before"], mark, rule["after"]))
         return _line_hits(marked, mark, rule["neg_rank"], rule["rule_order"])
 
-    return F.flatten(F.transform(_matching_rules(clean, rules), hits))
+    return F.flatten(F.transform(matching_rules(clean, rules), hits))
 
 
 def findings_array(content: Column, clean: Column, pack: RulePack, unroll: bool = False) -> Column:
@@ -220,5 +220,5 @@ def scanned_rows(cleaned: DataFrame, found: Column, keep: tuple[str, ...] = ())
 def rule_hit_flags(sources: DataFrame, pack: RulePack) -> DataFrame:
     """``path`` and the ids of the rules that match anywhere, in rule order."""
     cleaned = sources.select("path", strip_comments(F.col("content")).alias("clean"))
-    ids = let(F.col("clean"), lambda c: F.transform(_matching_rules(c, rule_array(pack)), lambda r: r["rule_id"]))
+    ids = let(F.col("clean"), lambda c: F.transform(matching_rules(c, rule_array(pack)), lambda r: r["rule_id"]))
     return cleaned.select("path", ids.alias("rule_ids"))

@@ -1,0 +1,73 @@
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from codesift.operators import signatures
+from codesift.operators.scan import rule_hit_flags
+from codesift.rules import Rule, RulePack
+from codesift.solidity import solidity_rules
+
+SOURCE = "path string, content string"
+
+
+def rows(found):
+    return sorted((r.path, r.rule_ids) for r in found.collect())
+
+
+def pack_of(*patterns):
+    return RulePack(Rule(f"R-{i}", "t", "d", "LOW", "", "", "", (), p) for i, p in enumerate(patterns))
+
+
+@pytest.mark.parametrize("max_sent", [0, 10**6])
+def test_equals_a_plain_search(spark, tmp_path, max_sent):
+    random_ = random.Random(max_sent)
+    pieces = ["tx.origin;", "selfdestruct(a);", "// suicide\n", "/* ecrecover */", "ab", "é🙂x", "owner = a;", "\n", "unchecked {", "for (", "a.length", ")"]
+    texts = [(f"/d{i % 9}/f{i}", "".join(random_.choice(pieces) for _ in range(random_.randint(0, 6)))) for i in range(120)]
+    texts += [("/null", None), ("/empty", ""), ("/short", "ab"), ("/d1/f1", "tx.origin"), ("/d1/f1", "tx.origin"), (None, "ecrecover(a)")]
+    sources = spark.createDataFrame(texts, SOURCE)
+    signatures.store_corpus(sources, str(tmp_path / "store"), 10)
+    plus = solidity_rules().plus(*[r.rule for r in pack_of("é🙂x", "ab", "a.", "(?i)OWNER", "nowhere at all").rules])
+    for pack in (plus, solidity_rules(), plus.only("SA-002"), plus.only("R-4"), plus.only("R-2"), RulePack([])):
+        want = [(p or "", ids) for p, ids in map(tuple, rule_hit_flags(sources, pack).collect())] if len(pack) else [(p or "", []) for p, _ in texts]
+        got = signatures.rule_hit_flags_indexed(spark, str(tmp_path / "store"), pack, max_sent).collect()
+        assert sorted((r.path or "", r.rule_ids) for r in got) == sorted(want)
+
+
+def test_parts_without_a_literal_are_not_opened(spark, tmp_path):
+    """Forty parts, one project each; the files of those that cannot hold the literal are taken away, and the search still works."""
+    sources = spark.createDataFrame([(f"/p{i:03}", f"contract item{i // 10:02}zz {{}}\n" * 3) for i in range(400)], SOURCE)
+    store = str(tmp_path / "store")
+    signatures.store_corpus(sources, store, 40)
+    pack = pack_of(r"\bitem07zz\b", r"\bitem3[0-9]zz\b|item31zz", "absent")
+    possible = {r.part: r.orders for r in signatures.possible_rules(spark, store, pack.only("R-0", "R-2")).collect()}
+    needed = [part for part, orders in possible.items() if orders]
+    assert len(possible) >= 30 and len(needed) <= 3 and all(orders in ([], [0]) for orders in possible.values())
+    found = signatures.texts_to_search(spark, store, pack.only("R-0"))
+    assert {r.part for r in found.collect()} == set(needed)
+    assert "dynamicpruning" in found._jdf.queryExecution().toString()
+    for part in possible.keys() - set(needed):
+        for name in os.listdir(f"{store}/texts/part={part}"):
+            with open(f"{store}/texts/part={part}/{name}", "wb") as file:
+                file.write(b"not a table")
+    hits = found.where(F.exists("rules", lambda r: F.rlike("clean", r["pattern"]))).select("path")
+    assert sorted(r.path for r in hits.collect()) == [f"/p{i:03}" for i in range(70, 80)]
+
+
+def test_signatures_have_all_bits_of_their_texts(spark, tmp_path):
+    sources = spark.createDataFrame([(f"/{i}", f"abc {i * 7919} xyz{i}") for i in range(200)], SOURCE)
+    store = str(tmp_path / "store")
+    signatures.store_corpus(sources, store, 4)
+    stored = spark.read.parquet(f"{store}/signatures-{signatures.GRAM}-{signatures.BITS}")
+    bits = {(r.part, r.bucket * 32768 - 32768 + 8 * at + bit)
+            for r in stored.where("bucket > 0").collect() for at, byte in enumerate(r.bitmap) for bit in range(8) if byte >> bit & 1}
+    wanted = signatures.stored_texts(spark, store).select("part", F.explode(signatures._bits_of(F.col("clean"))).alias("bit"))
+    count = {(r.part, r.bit - 1) for r in wanted.collect() if r.bit > 0}
+    assert count == bits
+
+
+def test_empty_corpus(spark, tmp_path):
+    sources = spark.createDataFrame([], SOURCE)
+    signatures.store_corpus(sources, str(tmp_path / "store"), 3)
+    assert signatures.rule_hit_flags_indexed(spark, str(tmp_path / "store"), solidity_rules()).count() == 0

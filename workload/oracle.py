@@ -258,9 +258,9 @@ ORACLE: dict[str, str] = {
         FROM (SELECT path, (o_orderkey + {len(RULES)})::INTEGER AS rule_order, left(clean, strpos(clean, 'contract C' || o_orderkey || ' {{') - 1) AS before
             FROM clean JOIN (SELECT {corpus.ORDER_PATH} AS path, o_orderkey FROM orders) USING (path))""", *SCAN),
     "scan_unrolled": query(f"SELECT path, {MATCH} FROM hits", *SCAN),
-    "rule_hit_flags": query(
+    **dict.fromkeys(("rule_hit_flags", "rule_hit_flags_indexed"), query(
         """SELECT path, coalesce(ids, '') AS rule_ids FROM src LEFT JOIN (SELECT path, string_agg(rule_id, ',' ORDER BY rule_order)
-        AS ids FROM (SELECT DISTINCT path, rule_order, rule_id FROM hits JOIN rules USING (rule_order)) GROUP BY path) USING (path)""", *SCAN),
+        AS ids FROM (SELECT DISTINCT path, rule_order, rule_id FROM hits JOIN rules USING (rule_order)) GROUP BY path) USING (path)""", *SCAN)),
     "snippets": query(f"SELECT path, {MATCH}, code_snippet FROM snips", *SCAN, SNIPPETS),
     "noted_scan": query(f"SELECT path, {MATCH}, code_snippet FROM snips",
                         cleaned(NOTED), rule_rows(RULES), hits(RULES), SNIPPETS),

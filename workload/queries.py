@@ -20,6 +20,8 @@ from codesift.operators import scan
 from codesift.operators.chunks import lines_of_chunks, strip_chunks
 from codesift.operators.literals import scan_by_literals as scan_by_keys
 from codesift.operators.run_hash import run_fingerprint as fingerprint_of_run
+from codesift.operators.signatures import rule_hit_flags_indexed as flags_by_signature
+from codesift.operators.signatures import store_corpus
 from codesift.plans.audit import Audit, audit
 from codesift.plans.rescan import rescan as scan_of_changes
 from codesift.reports import frames, html, markdown, parts
@@ -184,6 +186,14 @@ def rule_hit_flags(spark, sf_dir):
     return flags.select("path", F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
+def rule_hit_flags_indexed(spark, sf_dir):
+    """The same from a stored corpus, whose parts are searched for those rules only that their signature allows."""
+    store = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    store_corpus(corpus.contracts(spark, sf_dir), store, parts=16)
+    flags = flags_by_signature(spark, store, solidity_rules())
+    return flags.select("path", F.array_join("rule_ids", ",").alias("rule_ids"))
+
+
 def snippets(spark, sf_dir):
     hits = long_form.explode_findings(contracts_audit(spark, sf_dir).contracts)
     return hits.select("path", "rule_order", "line", "occ", "code_snippet")
@@ -447,7 +457,7 @@ def stream_external(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (
         top_risky, source_dedup, rule_catalog, external_findings, loc, pragma_version,
-        rule_matches, scan_unrolled, rule_hit_flags, snippets, noted_scan, custom_rule_pack,
+        rule_matches, scan_unrolled, rule_hit_flags, rule_hit_flags_indexed, snippets, noted_scan, custom_rule_pack,
         custom_rule_added, findings_enriched, findings_numbered, findings_sorted, findings_min_high,
         findings_filtered, findings_with_external, finding_links, contract_report,
         contract_report_external, contract_risk, clean_contracts, severity_gate, severity_rollup,
