@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import functions as F
 
 from codesift.reports import frames, html, markdown
+from codesift.session import must_be_new, published, removed
 
 # Accepted format names; any other name means html.
 FORMAT_NAMES = {"json": "json", "md": "md", "markdown": "md"}
@@ -20,11 +24,22 @@ def write_report(audit, folder: str, fmt: str = "html") -> str:
     The corpus is scanned once: the scanned rows are written to the shared folder,
     all datasets start from there, and the rows are removed at the end, unless the audit
     was materialized by its owner.
+
+    The report appears as a whole: its datasets are written to a folder beside it, which gets the name at the end. A run that
+    fails leaves nothing, and one that is killed leaves only a folder whose name starts with ``_writing``. ``folder`` must be new or
+    empty. (Where a file system copies to rename, as object stores do, readers wait for the return of this call.)
     """
     fmt = normalize_format(fmt)
+    spark, folder = audit.scanned.sparkSession, folder.rstrip("/")
+    must_be_new(spark, folder)
+    made = posixpath.join(posixpath.dirname(folder), f"_writing-{uuid.uuid4().hex}")
     stored = audit.materialized()
     try:
-        REPORTERS[fmt](stored, folder)
+        REPORTERS[fmt](stored, made)
+        published(spark, made, folder)
+    except BaseException:
+        removed(spark, made)
+        raise
     finally:
         if stored is not audit:
             stored.close()

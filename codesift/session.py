@@ -58,6 +58,27 @@ def run_folder(spark: SparkSession, name: str, folder: str | None = None) -> str
     return f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def must_be_new(spark: SparkSession, folder: str) -> None:
+    """Raise if there is a folder or file of that name, unless it is an empty folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(path) and (system.getFileStatus(path).isFile() or len(system.listStatus(path))):
+        raise FileExistsError(f"{folder} exists")
+
+
+def published(spark: SparkSession, made: str, folder: str) -> None:
+    """Give a finished folder its name, by one rename. A folder that came to be in the meantime is not touched."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(made), hadoop.Path(folder)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    must_be_new(spark, folder)
+    if system.exists(target):
+        system.delete(target, False)
+    system.mkdirs(target.getParent())
+    if not system.rename(source, target):
+        raise OSError(f"{made} could not be renamed to {folder}")
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Delete a folder made by ``run_folder``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

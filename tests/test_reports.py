@@ -1,5 +1,6 @@
 import glob
 import json
+import os
 from datetime import datetime, timezone
 
 import pytest
@@ -103,6 +104,35 @@ def test_json_report_with_external_findings(found_external, tmp_path):
     assert "Findings" not in json.loads(lines(f"{tmp_path}/r/contracts").splitlines()[0])
 
 
+@pytest.mark.parametrize("fmt", ["json", "md", "html"])
+def test_a_failed_report_leaves_nothing(found, tmp_path, monkeypatch, fmt):
+    whole = REPORTERS[fmt]
+
+    def fails(audit, folder):
+        whole(audit, folder)
+        audit.report().select(F.raise_error(F.lit("no disk"))).write.text(f"{folder}/more")
+
+    monkeypatch.setitem(REPORTERS, fmt, fails)
+    with pytest.raises(Exception, match="no disk"):
+        write_report(found, f"{tmp_path}/all/r", fmt)
+    assert not os.path.exists(f"{tmp_path}/all/r") and not os.listdir(f"{tmp_path}/all")
+    monkeypatch.setitem(REPORTERS, fmt, whole)
+    write_report(found, f"{tmp_path}/all/r/", fmt)
+    assert os.listdir(f"{tmp_path}/all") == ["r"] and {"summary", "contracts"} <= set(os.listdir(f"{tmp_path}/all/r"))
+    with pytest.raises(FileExistsError):
+        write_report(found, f"{tmp_path}/all/r", fmt)
+    assert os.listdir(f"{tmp_path}/all") == ["r"]
+
+
+def test_a_report_into_an_empty_folder(found, tmp_path):
+    os.mkdir(f"{tmp_path}/r")
+    write_report(found, f"{tmp_path}/r", "md")
+    assert "summary" in os.listdir(f"{tmp_path}/r")
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(FileExistsError):
+        write_report(found, f"{tmp_path}/file", "md")
+
+
 def test_format_names():
     names = {"json": "json", "JSON": "json", "md": "md", "Markdown": "md", "html": "html", "x": "html", None: "html"}
     assert {n: normalize_format(n) for n in names} == names and set(REPORTERS) == {"json", "md", "html"}
