@@ -1,0 +1,46 @@
+"""Tasks and micro-batches of growing tables."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from codesift.operators.scan import scan_sources
+from codesift.solidity import solidity_rules
+from workload import corpus
+
+
+@pytest.fixture
+def folder(spark, tmp_path, monkeypatch):
+    """Orders and events in several files each, many more rows than a task is to take."""
+    monkeypatch.setattr(corpus, "ROWS_PER_TASK", 50)
+    orders = spark.range(1200).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 30).alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority"))
+    orders.repartition(10).write.parquet(f"{tmp_path}/orders.parquet")
+    events = spark.range(900).select(F.col("id").alias("event_id"), F.lit("click").alias("event_type"))
+    events.repartition(10).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_tasks_grow_with_the_rows(spark, folder):
+    assert corpus.contracts(spark, folder).rdd.getNumPartitions() == 24
+    assert corpus.contract_rules(spark, folder, 0).rdd.getNumPartitions() == 24
+    assert corpus.detector_results(spark, folder).rdd.getNumPartitions() == 18
+    assert corpus.tasks_for(spark, 0) == 2 * spark.sparkContext.defaultParallelism
+    assert corpus.contracts(spark, folder).select("path").distinct().count() == 1200
+
+
+@pytest.mark.parametrize("arriving, rows", [(corpus.arriving_contracts, 1200), (corpus.arriving_shared_contracts, 1200), (corpus.arriving_results, 900)])
+def test_batches_do_not_grow_with_the_files(spark, folder, arriving, rows):
+    seen = []
+    query = arriving(spark, folder, f"{folder}/parts").writeStream.foreachBatch(
+        lambda batch, _: seen.append((batch.count(), batch.rdd.getNumPartitions()))).option(
+        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(n for n, _ in seen) == rows and 2 <= len(seen) <= corpus.PARTS
+    # Each batch is dealt by its rows, too.
+    assert all(tasks >= rows // corpus.PARTS // 50 for _, tasks in seen)
+
+
+def test_texts_are_not_built_before_their_keys_are_dealt(spark, folder):
+    plan = scan_sources(corpus.contracts(spark, folder), solidity_rules())._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "pragma" in plan and "pragma" not in below
