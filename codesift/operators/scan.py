@@ -125,21 +125,29 @@ def rule_array(pack: RulePack) -> Column:
     return literal_rows([rule_row(r) for r in pack.rules], RULE)
 
 
+def _has_literals(clean: Column, rule: Column) -> Column:
+    """Does the text hold what every match of the rule must hold?"""
+    return F.forall(rule["required"], lambda s: F.exists(s, lambda v: F.contains(clean, v)))
+
+
 def matching_rules(clean: Column, rules: Column) -> Column:
     """The rules that match anywhere, literals first."""
     def matches(rule: Column) -> Column:
-        literals = F.forall(rule["required"], lambda s: F.exists(s, lambda v: F.contains(clean, v)))
-        return F.when(literals, F.rlike(clean, rule["pattern"])).otherwise(F.lit(False))
+        return F.when(_has_literals(clean, rule), F.rlike(clean, rule["pattern"])).otherwise(F.lit(False))
 
     return F.filter(rules, matches)
 
 
 def _array_hits(clean: Column, mark: Column, rules: Column) -> Column:
+    """The matches of the rules whose literals occur. A pattern from a column is compiled for each use, so
+    its matches are marked at once, and a text without a mark has none."""
     def hits(rule: Column) -> Column:
         marked = F.regexp_replace(clean, rule["pattern"], F.concat(rule["before"], mark, rule["after"]))
-        return _line_hits(marked, mark, rule["neg_rank"], rule["rule_order"])
+        return let(marked, lambda m: F.when(
+            F.contains(m, mark), _line_hits(m, mark, rule["neg_rank"], rule["rule_order"])
+        ).otherwise(F.array().cast(f"array<{HIT}>")))
 
-    return F.flatten(F.transform(matching_rules(clean, rules), hits))
+    return F.flatten(F.transform(F.filter(rules, lambda rule: _has_literals(clean, rule)), hits))
 
 
 def findings_array(content: Column, clean: Column, pack: RulePack, unroll: bool = False) -> Column:

@@ -44,3 +44,13 @@ def test_texts_are_not_built_before_their_keys_are_dealt(spark, folder):
     plan = scan_sources(corpus.contracts(spark, folder), solidity_rules())._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("RepartitionByExpression"):]
     assert "pragma" in plan and "pragma" not in below
+
+
+def test_a_pattern_from_a_column_is_used_once_for_a_text(spark):
+    texts = ["tx . origin tx.origins tx.origin", "block.a timestamp", "block . timestamp; block.timestamp\nblock.timestamp", ""]
+    sources = spark.createDataFrame([(str(n), text) for n, text in enumerate(texts)], "path string, content string")
+    rows = scan_sources(sources, solidity_rules())
+    # A test before the marking would compile and run each pattern a second time.
+    assert "RLIKE" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = {row.path: [(f.line, f.occ) for f in row.findings] for row in rows.collect()}
+    assert found == {"0": [(1, 1), (1, 2)], "1": [], "2": [(1, 1), (1, 2), (2, 1)], "3": []}
