@@ -1,6 +1,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,20 @@ def test_empty_corpus(spark, tmp_path):
     sources = spark.createDataFrame([], SOURCE)
     signatures.store_corpus(sources, str(tmp_path / "store"), 3)
     assert signatures.rule_hit_flags_indexed(spark, str(tmp_path / "store"), solidity_rules()).count() == 0
+
+
+def test_a_task_sends_bitmaps_and_not_bits(spark):
+    """All n-grams of a part in a few rows, the same bits as those of the column; places inside a pair of surrogates are none."""
+    random_ = random.Random(5)
+    texts = ["".join(random_.choice("aé🙂\n字 b\0z漢ß") for _ in range(random_.randint(0, 9))) for _ in range(500)] + ["🙂xyz", "plain", "ab", "", None]
+    wanted = spark.createDataFrame([(t,) for t in texts], "t string").select(F.explode(signatures._bits_of(F.col("t"))).alias("bit"))
+    parts = [3] * 200 + [7] * (len(texts) - 200)
+    batch = pa.record_batch({"part": pa.array(parts, pa.int32()), "clean": pa.array([t and t.encode() for t in texts], pa.binary())})
+    rows = [r for b in signatures._bitmaps_of(iter([batch.slice(0, 100), batch.slice(100), batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert len(rows) <= 2 * (signatures.BITS // 32768 + 1) and {r["part"] for r in rows} == {3, 7}
+    bits = {r["bucket"] and r["bucket"] * 32768 - 32767 + 8 * at + bit
+            for r in rows for at, byte in enumerate(r["bitmap"]) for bit in range(8) if byte >> bit & 1}
+    assert bits == {r.bit for r in wanted.collect()}
+    assert len(spark.range(1).select(signatures._bits_of(F.lit("🙂xyz")).alias("b")).first().b) == 2
+    nothing = pa.record_batch({"part": pa.array([4], pa.int32()), "clean": pa.array([b"ab"], pa.binary())})
+    assert [(r["part"], r["bucket"]) for b in signatures._bitmaps_of(iter([nothing])) for r in b.to_pylist()] == [(4, None)]
